@@ -52,7 +52,11 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, stri
 
 
 def best_cuts(position: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
-    """The window ends that minimise padding plus penalties, by a monotone queue; the last position is always one."""
+    """The window ends that minimise padding plus penalties, by a monotone queue.
+
+    The last position always is one; what comes after the cut before it stays
+    open (it is carried on, or split at powers of two) and counts no padding.
+    """
     p, pen = [0, *position.tolist()], [0.0, *penalty.tolist()]
     value, back = [0.0] * len(p), [0] * len(p)
     queue: deque[int] = deque([0])
@@ -66,7 +70,8 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, length: int) -> list[in
         while queue and value[queue[-1]] + p[queue[-1]] > key:
             queue.pop()
         queue.append(j)
-    cuts, j = [], len(p) - 1
+    last = len(p) - 1
+    cuts, j = [p[last]], min((i for i in range(last) if p[last] - p[i] <= length), key=lambda i: (value[i], -i))
     while j:
         cuts.append(p[j])
         j = back[j]
