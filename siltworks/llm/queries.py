@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_planes
+from . import packing, pii, token_planes
 from .common import scratch
 
 END_ID = 2
@@ -30,7 +30,11 @@ def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op7_window_packing)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op7_window_packing, op9_pii)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}
