@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, token_planes
+from . import mcd_quality, packing, pii, token_planes
 from .common import scratch
 
 END_ID = 2
@@ -25,6 +25,10 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd_quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+
+
 def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -34,7 +38,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op7_window_packing, op9_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op7_window_packing, op9_pii)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}
