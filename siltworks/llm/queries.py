@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mcd_quality, packing, pii, token_planes
+from . import mcd_quality, packing, pii, token_planes, url_cascade
 from .common import scratch
 
 END_ID = 2
@@ -29,6 +29,18 @@ def op2_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
+#: The contract's rules: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts listed by themselves are those whose first label names them as spam."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = url_cascade.split_url(F.col("url"))[0]
+    listed = pages.select(host.alias("host")).where(F.col("host").rlike(r"^(spam|casino|porn|malware|phish)[a-z0-9-]*\.")).distinct()
+    return url_cascade.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
+
+
 def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -38,7 +50,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op7_window_packing, op9_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op4_url_cascade, op7_window_packing, op9_pii)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op4_url_cascade"] = """
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, regexp_extract(r, '^[^/?#]*') AS h, r FROM rest),
+urls AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM parts),
+rules(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+hits AS (
+  SELECT page_id, host, path, max({'n': length(rh || rp), 'k': rh || rp, 'v': v}) AS b
+  FROM urls LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  GROUP BY ALL)
+SELECT page_id, host, path, CASE WHEN b.n IS NULL THEN NULL ELSE b.k END AS rule,
+  CASE WHEN b.n IS NOT NULL THEN b.v WHEN regexp_matches(host, '^(spam|casino|porn|malware|phish)[a-z0-9-]*\\.') THEN 'block' ELSE 'allow' END AS verdict
+FROM hits
+"""
