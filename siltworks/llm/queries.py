@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mcd_quality, packing, pii, token_planes, url_cascade
+from . import decontaminate, mcd_quality, packing, pii, token_planes, unigram_counts, url_cascade
 from .common import scratch
 
 END_ID = 2
@@ -41,16 +41,25 @@ def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
 
 
+def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), unigram_counts.zipf_vocabulary(vocabulary("piece_bpe_32k.model")))
+
+
 def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with each place."""
+    return decontaminate.find_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op4_url_cascade, op7_window_packing, op9_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op4_url_cascade, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}
