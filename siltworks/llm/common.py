@@ -161,3 +161,131 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         return hash_spans(self.data, self.starts, self.ends)
+
+
+def word_sums(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each document's whole word sequence; 0 where it is empty."""
+    n = np.diff(first)
+    place = mix((np.arange(len(h)) - np.repeat(first[:-1], n)).astype(np.uint64) + _U(1))
+    out = []
+    for salt in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h * _U(salt) + place))))
+        out.append(total[first[1:]] - total[first[:-1]])
+    return out[0], out[1]
+
+
+def signed(h: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(h).view(np.int64)
+
+
+# ---------------------------------------------------------------- bitmaps
+#
+# A bitmap of fixed size says which hashes may occur (or occur twice) in all
+# the data.  Tasks send the sorted bit positions of their hashes, a few bytes
+# each; the blocks of the bitmap are counted apart from each other.  A bitmap only
+# spares work: what passes it is decided exactly afterwards, and one that is too
+# small for the data lets more pass.
+
+_BLOCKS = 256
+
+
+class Bitmap:
+    """Bit ``h >> (64 - bits)`` says whether a hash may have been seen."""
+
+    def __init__(self, data: np.ndarray, bits: int):
+        self.data, self.bits = data, bits
+
+    def test(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> _U(64 - self.bits)).astype(np.int64)
+        return (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def block_rows(hashes: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, positions) of a task's hashes."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    schema = pa.schema([("block", pa.int32()), ("positions", pa.binary())])
+    width = bits - (_BLOCKS - 1).bit_length()
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.sort(np.concatenate(held) >> _U(64 - bits))
+        edge = np.searchsorted(at >> _U(width), np.arange(_BLOCKS + 1, dtype=np.uint64))
+        low = (at & _U((1 << width) - 1)).astype("<u4")
+        rows = [k for k in range(_BLOCKS) if edge[k] < edge[k + 1]]
+        return batch(schema, rows, [press(np.diff(low[edge[k] : edge[k + 1]], prepend=np.uint32(0)).tobytes()) for k in rows])
+
+    held, n = [], 0
+    for h in hashes:
+        held.append(h)
+        n += len(h)
+        if n >= 1 << 21:
+            yield flush(held)
+            held, n = [], 0
+    if n:
+        yield flush(held)
+
+
+def merge_blocks(rows: DataFrame, bits: int, least: int) -> Bitmap:
+    """The bitmap of positions that occur ``least`` times (1 or 2) or more; 2 ** bits bits come to the driver."""
+    import zstandard
+
+    width = bits - (_BLOCKS - 1).bit_length()
+    schema = pa.schema([("block", pa.int32()), ("data", pa.binary())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        undo = zstandard.ZstdDecompressor().decompress
+        block, seen, done = None, None, None
+
+        def out() -> pa.RecordBatch:
+            return batch(schema, [block], [np.packbits(done if least > 1 else seen, bitorder="little").tobytes()])
+
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != block:
+                    if block is not None:
+                        yield out()
+                    block, seen, done = k, np.zeros(1 << width, bool), np.zeros(1 << width, bool)
+                at = np.cumsum(np.frombuffer(undo(data.as_py()), "<u4"), dtype=np.int64)
+                done[at[1:][np.diff(at) == 0]] = True
+                done[at[seen[at]]] = True
+                seen[at] = True
+        if block is not None:
+            yield out()
+
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    step = 1 << (width - 3)
+    for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, data binary").toLocalIterator():
+        whole[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["data"], np.uint8)
+    return Bitmap(whole, bits)
+
+
+def id_hash(ids: np.ndarray) -> np.ndarray:
+    return mix(np.asarray(ids, np.int64).view(np.uint64) + _U(0x51ED270B))
+
+
+def id_bitmap(ids: DataFrame, bits: int = 24) -> Bitmap:
+    """Of a table whose first column is an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return block_rows((id_hash(b.column(0).drop_null().to_numpy(zero_copy_only=False)) for b in batches), bits)
+
+    return merge_blocks(ids.select(F.col(ids.columns[0]).cast("long")).mapInArrow(run, "block int, positions binary"), bits, 1)
+
+
+def split_by_ids(docs: DataFrame, column: str, bitmap: Bitmap) -> tuple[DataFrame, DataFrame]:
+    """``docs`` that may be among the ids, and those that surely aren't (nulls too)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    at = docs.columns.index(column)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(at)
+                hit = shared.value.test(id_hash(ids.fill_null(0).to_numpy(zero_copy_only=False))) & ids.is_valid().to_numpy(zero_copy_only=False)
+                if (hit == wanted).any():
+                    yield b.filter(pa.array(hit == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(True), part(False)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mcd_quality, packing, pii, token_planes, unigram_counts, url_cascade
+from . import decontaminate, mcd_quality, packing, pii, substring_dedup, token_planes, unigram_counts, url_cascade
 from .common import scratch
 
 END_ID = 2
@@ -41,6 +41,11 @@ def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
 
 
+def op5_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), unigram_counts.zipf_vocabulary(vocabulary("piece_bpe_32k.model")))
 
@@ -59,7 +64,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op4_url_cascade, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op4_url_cascade, op5_difference_cover, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}

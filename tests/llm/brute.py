@@ -54,3 +54,26 @@ def pii_row(text: str | None) -> tuple:
     n = Counter(x[3] for x in base)
     joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in base)
     return n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(joined.encode()).hexdigest()
+
+
+# ------------------------------------------------------------------ op5
+
+
+def without_repeats(rows: list[tuple[int | None, str | None]], width: int = 50) -> list[tuple]:
+    """(doc_id, n_words, n_removed, kept_sha256) of each row."""
+    least: dict[tuple, int] = {}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - width + 1):
+            k = tuple(w[i : i + width])
+            if d is not None:
+                least[k] = min(least.get(k, d), d)
+    out = []
+    for d, t in rows:
+        w, gone = words(t), set()
+        for i in range(len(w) - width + 1):
+            if d is not None and least[tuple(w[i : i + width])] < d:
+                gone.update(range(i, i + width))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
