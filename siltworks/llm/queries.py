@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mcd_quality, packing, pii, substring_dedup, token_planes, unigram_counts, url_cascade
+from . import decontaminate, line_dedup, mcd_quality, packing, pii, substring_dedup, token_planes, unigram_counts, url_cascade
 from .common import scratch
 
 END_ID = 2
@@ -64,11 +64,33 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op4_url_cascade, op5_difference_cover, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that a similar earlier line replaces."""
+    return line_dedup.removed_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "line_no").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op4_url_cascade, op5_difference_cover, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii, op10_line_dedup)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op10_line_dedup"] = """
+WITH doc_lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL),
+numbered AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM doc_lines),
+sets AS (
+  SELECT doc_id, line_no::INTEGER AS line_no, list_distinct(regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+')) AS s FROM numbered),
+kept AS (SELECT doc_id, line_no, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) >= 5),
+firsts AS (SELECT s, n, min({'d': doc_id, 'l': line_no}) AS f FROM kept GROUP BY s, n),
+repeats AS (SELECT k.doc_id, k.line_no FROM kept k JOIN firsts f USING (s) WHERE (f.f.d, f.f.l) < (k.doc_id, k.line_no)),
+words AS (SELECT f, n, unnest(s) AS w FROM firsts),
+pairs AS (
+  SELECT b.f AS b, a.n AS an, b.n AS bn, count(*) AS shared
+  FROM words a JOIN words b ON a.w = b.w AND a.f < b.f AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.f, b.f, a.n, b.n)
+SELECT doc_id, line_no FROM repeats
+UNION SELECT b.d, b.l FROM pairs WHERE 100 * shared >= 90 * (an + bn - shared)
+"""
+
 ORACLE_SQL["op4_url_cascade"] = """
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
