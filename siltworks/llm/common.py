@@ -190,10 +190,16 @@ _BLOCKS = 256
 
 
 class Bitmap:
-    """Bit ``h >> (64 - bits)`` says whether a hash may have been seen."""
+    """Bit ``h >> (64 - bits)`` says whether a hash may have been seen; ``counts`` has how often, by its first ``COUNT_BITS`` bits."""
 
-    def __init__(self, data: np.ndarray, bits: int):
-        self.data, self.bits = data, bits
+    COUNT_BITS = 20
+
+    def __init__(self, data: np.ndarray, bits: int, counts: np.ndarray):
+        self.data, self.bits, self.counts = data, bits, counts
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """An upper bound of each hash's occurrences."""
+        return self.counts[(h >> _U(64 - self.COUNT_BITS)).astype(np.int64)]
 
     def test(self, h: np.ndarray) -> np.ndarray:
         at = (h >> _U(64 - self.bits)).astype(np.int64)
@@ -231,33 +237,38 @@ def merge_blocks(rows: DataFrame, bits: int, least: int) -> Bitmap:
     import zstandard
 
     width = bits - (_BLOCKS - 1).bit_length()
-    schema = pa.schema([("block", pa.int32()), ("data", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])
+    coarse = max(0, bits - Bitmap.COUNT_BITS)
+    cells = (1 << width) >> coarse
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         undo = zstandard.ZstdDecompressor().decompress
-        block, seen, done = None, None, None
+        block, seen, done, counts = None, None, None, None
 
         def out() -> pa.RecordBatch:
-            return batch(schema, [block], [np.packbits(done if least > 1 else seen, bitorder="little").tobytes()])
+            return batch(schema, [block], [np.packbits(done if least > 1 else seen, bitorder="little").tobytes()], [np.minimum(counts, (1 << 32) - 1).astype("<u4").tobytes()])
 
         for b in batches:
             for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if k != block:
                     if block is not None:
                         yield out()
-                    block, seen, done = k, np.zeros(1 << width, bool), np.zeros(1 << width, bool)
+                    block, seen, done, counts = k, np.zeros(1 << width, bool), np.zeros(1 << width, bool), np.zeros(cells, np.int64)
                 at = np.cumsum(np.frombuffer(undo(data.as_py()), "<u4"), dtype=np.int64)
                 done[at[1:][np.diff(at) == 0]] = True
                 done[at[seen[at]]] = True
                 seen[at] = True
+                counts += np.bincount(at >> coarse, minlength=cells)
         if block is not None:
             yield out()
 
     whole = np.zeros(1 << (bits - 3), np.uint8)
+    counts = np.zeros(_BLOCKS * cells, np.uint32)
     step = 1 << (width - 3)
-    for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, data binary").toLocalIterator():
+    for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, data binary, counts binary").collect():
         whole[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["data"], np.uint8)
-    return Bitmap(whole, bits)
+        counts[r["block"] * cells : (r["block"] + 1) * cells] = np.frombuffer(r["counts"], "<u4")
+    return Bitmap(whole, bits, counts)
 
 
 def id_hash(ids: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mcd_quality, packing, pii, substring_dedup, token_planes, unigram_counts, url_cascade
+from . import decontaminate, jaccard_join, line_dedup, mcd_quality, packing, pii, substring_dedup, token_planes, unigram_counts, url_cascade
 from .common import scratch
 
 END_ID = 2
@@ -29,6 +29,10 @@ def op2_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 #: The contract's rules: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -69,7 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "line_no").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op4_url_cascade, op5_difference_cover, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op3_jaccard_join, op4_url_cascade, op5_difference_cover, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii, op10_line_dedup)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}

@@ -77,3 +77,35 @@ def without_repeats(rows: list[tuple[int | None, str | None]], width: int = 50)
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+# ------------------------------------------------------------------ op3
+
+
+def shingle_set(text: str | None) -> frozenset:
+    w = words(lower(text))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def components(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """(doc_id, n_shingles, component_id) of each row."""
+    sets = [shingle_set(t) for _, t in rows]
+    holders: dict[tuple, list[int]] = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for k, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders[x] if j < k)
+        for j, n in shared.items():
+            a, b = rows[k][0], rows[j][0]
+            if a is not None and b is not None and 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = find(a), find(b)
+                up[max(a, b)] = min(a, b)
+    return [(d, len(s), None if d is None else find(d)) for (d, _), s in zip(rows, sets, strict=True)]
