@@ -1,0 +1 @@
+"""Labelled-corpus, embedding and evaluation analytics as functions of DataFrames."""
