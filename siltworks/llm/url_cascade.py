@@ -114,7 +114,7 @@ def _load(rows: list) -> dict[tuple[int, int], tuple[int, int, np.ndarray]]:
     out = {}
     for r in rows:
         bits = np.zeros(r["bits"] // 64 + 1, np.uint64)
-        if r["words"]:
+        if len(r["words"]):
             bits[[w["word"] for w in r["words"]]] = np.array([w["value"] for w in r["words"]], np.int64).view(np.uint64)
         out[r["shard"], r["level"]] = (r["k"], r["bits"], bits)
     return out
