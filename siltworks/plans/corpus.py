@@ -322,13 +322,13 @@ def filename_dim(spark: S, d: str) -> DataFrame:
 @query(f"""WITH {KEY_NAMES}, n AS (SELECT DISTINCT name, lower(split_part(name, '/', -1)) AS base, regexp_replace(lower(split_part(name, '/', -1)), '\\.[^.]*$', '') AS stem FROM key_names),
 tries AS (SELECT name, unnest([base, stem, stem || '.exe', stem || '.dll', base || '.exe', base || '.dll']) AS candidate, unnest(range(6)) AS priority FROM n),
 hit AS (SELECT name, min({{'p': priority, 'v': m.v}}) AS h FROM tries JOIN dim USING (candidate) GROUP BY 1)
-SELECT name, h.v AS value FROM n LEFT JOIN hit USING (name)""")
+SELECT name, h.v::VARCHAR AS value FROM n LEFT JOIN hit USING (name)""")
 def key_cascade(spark: S, d: str) -> DataFrame:
     base = table(spark, d, "supplier").select(F.col("s_name").alias("n"), F.col("s_suppkey").alias("k")).unionByName(table(spark, d, "customer").select(F.col("c_name").alias("n"), F.col("c_custkey").alias("k")))
     m = F.col("k") % 4
     name = F.when(m == 0, F.col("n")).when(m == 1, F.concat(F.lit("dir/"), "n", F.lit(".dll"))).when(m == 2, F.upper("n")).otherwise(F.concat("n", F.lit(".exe")))
     names = base.select(F.concat(name, F.when(F.col("k") % 11 == 0, "zz").otherwise("")).alias("name")).distinct()
-    return J.reconcile(names, "name", key_dimension(spark, d))
+    return J.reconcile(names, "name", key_dimension(spark, d)).select("name", F.col("value").cast("string").alias("value"))
 
 
 @query("SELECT k, coalesce(a.v, b.v) AS v FROM (SELECT c_custkey AS k, 'c' || c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT o_custkey AS k, 'o' || count(*) AS v FROM orders GROUP BY 1) b USING (k)")
