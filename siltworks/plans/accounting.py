@@ -39,7 +39,20 @@ def proportional_sample(spark: S, d: str) -> DataFrame:
     return P.proportional_sample(X.samples(spark, d), "source", "sample_id", 500, "42").select("sample_id", "source")
 
 
-@query()
+def quota_sql(tags: int, least: int, budget: int) -> str:
+    """One step a tag, rarest first, then the budget."""
+    steps = [f"""WITH {X.SAMPLES}, q0 AS (SELECT sample_id, tags, CASE WHEN first_seen < TIMESTAMP '2024-01-15' THEN 'train' WHEN first_seen < TIMESTAMP '2024-01-22' THEN 'val' ELSE 'test' END AS part,
+  sample_id % 1000 = 7 AS picked, sha256('42:' || sample_id) AS o FROM samples WHERE label = 1),
+names AS (SELECT tag, row_number() OVER (ORDER BY count(*), tag) AS k FROM (SELECT unnest(tags) AS tag FROM q0) GROUP BY 1)"""]
+    for k in range(1, tags + 1):
+        steps.append(f"""h{k} AS (SELECT q.*, list_contains(tags, tag) AS has FROM q{k - 1} q, (SELECT tag FROM names WHERE k = {k})),
+r{k} AS (SELECT *, count_if(has AND picked) OVER (PARTITION BY part) AS have, row_number() OVER (PARTITION BY part, picked, has ORDER BY o, sample_id) AS rn FROM h{k}),
+q{k} AS (SELECT sample_id, tags, part, picked OR (has AND NOT picked AND rn <= {least} - have) AS picked, o FROM r{k})""")
+    steps.append(f"last AS (SELECT *, count_if(picked) OVER (PARTITION BY part) AS have, row_number() OVER (PARTITION BY part, picked ORDER BY o, sample_id) AS rn FROM q{tags})")
+    return ", ".join(steps) + f" SELECT sample_id, part, array_to_string(tags, ',') AS tags FROM last WHERE picked OR rn <= {budget} - have"
+
+
+@query(quota_sql(4, 40, 150))
 def quota_sample(spark: S, d: str) -> DataFrame:
     s = X.samples(spark, d).where("label = 1").withColumn("part", P.temporal_split(F.col("first_seen"), "2024-01-15", "2024-01-22"))
     return P.quota_sample(s, "sample_id", "tags", "part", 40, 150, "42", F.col("sample_id") % 1000 == 7).select("sample_id", "part", F.array_join("tags", ",").alias("tags"))
