@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,21 +54,18 @@ def columns(df: DataFrame, *names: str) -> list[Column]:
 # ---------------------------------------------------------------- batches
 
 
-def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column; null is empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Consecutive rows i to j of a string column, of about ``limit`` bytes together (one row at least), as UTF-8; null is empty.
 
-
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts of about ``limit`` bytes together, one text at least."""
-    begin = total = 0
-    for i, t in enumerate(texts):
-        if i > begin and total + len(t) > limit:
-            yield begin, i
-            begin, total = i, 0
-        total += len(t) + 1
-    if begin < len(texts):
-        yield begin, len(texts)
+    Only a slice's texts exist as Python objects at a time.
+    """
+    column = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j, [x or b"" for x in column.slice(i, j - i).to_pylist()]
+        i = j
 
 
 def batch(schema: pa.Schema, *arrays: Iterable) -> pa.RecordBatch:
@@ -115,8 +113,8 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
-        # spans are hashed in stretches of about a megabyte, so that the tables of powers stay small
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20), "right")))
+        # spans are hashed in stretches of a quarter megabyte, so that the tables of powers stay small
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 18), "right")))
         lo, hi = int(starts[at]), int(ends[stop - 1])
         power, inverse = _powers(hi - lo + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
@@ -225,7 +223,7 @@ def block_rows(hashes: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBat
     for h in hashes:
         held.append(h)
         n += len(h)
-        if n >= 1 << 21:
+        if n >= 1 << 20:
             yield flush(held)
             held, n = [], 0
     if n:

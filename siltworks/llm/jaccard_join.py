@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Words, batch, block_rows, cut, id_bitmap, merge_blocks, mix, signed, slices, split_by_ids, utf8, window_hash, word_sums
+from .common import Bitmap, Words, batch, block_rows, cut, id_bitmap, merge_blocks, mix, signed, slices, split_by_ids, window_hash, word_sums
 
 SHINGLE, SIMILAR, MOST = 5, 75, 4
 BITMAP_BITS = 28
@@ -66,9 +66,8 @@ def _node(own: np.ndarray) -> int:
 
 
 def _sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    texts = utf8(b.column(1))
-    for i, j in slices(texts):
-        yield from zip(range(i, j), shingle_sets(texts[i:j]), strict=True)
+    for i, j, texts in slices(b.column(1)):
+        yield from zip(range(i, j), shingle_sets(texts), strict=True)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

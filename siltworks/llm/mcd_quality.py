@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch, cut, slices, utf8, window_hash
+from .common import Words, cut, slices, window_hash
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_GROUP, COVER, MAX_STEPS = 200, 0.75, 8
@@ -113,9 +113,8 @@ def measure(docs: DataFrame, *carry: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = utf8(b.column(b.num_columns - 1))
-            for i, j in slices(texts):
-                found = statistics(texts[i:j])
+            for i, j, texts in slices(b.column(b.num_columns - 1)):
+                found = statistics(texts)
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[k], pa.int64()) for k in _STATS)], names=[*own, *(f"__{k}" for k in _STATS)])
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, utf8
+from .common import batch, slices
 from .tokens import SegmentEncoder, with_end
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -145,9 +145,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, sente
             return out
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), utf8(b.column(1))
-            for i, j in slices(texts):
-                ids, n = with_end(*encoder.encode(texts[i:j]), end_id)
+            keys = b.column(0).to_pylist()
+            for i, j, texts in slices(b.column(1)):
+                ids, n = with_end(*encoder.encode(texts), end_id)
                 open_docs += [(k, m, 0) for k, m in zip(keys[i:j], n.tolist(), strict=True)]
                 held.append(ids)
                 n_held += len(ids)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Words, batch, block_rows, cut, id_bitmap, merge_blocks, signed, slices, split_by_ids, utf8, window_hash, word_sums
+from .common import Bitmap, Words, batch, block_rows, cut, id_bitmap, merge_blocks, signed, slices, split_by_ids, window_hash, word_sums
 
 WINDOW, PERIOD = 50, 31
 #: A perfect difference set modulo 31 (fixed values): every residue is a difference of two.
@@ -56,10 +56,9 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _documents(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], Words, np.ndarray]]:
     """First row, texts, words and word hashes of the slices of a batch whose second column is the text."""
-    texts = utf8(b.column(1))
-    for i, j in slices(texts):
-        w = Words(texts[i:j])
-        yield i, texts[i:j], w, w.hashes()
+    for i, _, texts in slices(b.column(1)):
+        w = Words(texts)
+        yield i, texts, w, w.hashes()
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +159,10 @@ def _cleaned(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = utf8(b.column(1))
-            for i, j in slices(texts):
+            for i, j, texts in slices(b.column(1)):
                 lists = [values(b.column(2)[k]) if listed else () for k in range(i, j)]
                 gone = [set(values(b.column(3)[k]).tolist()) if listed else set() for k in range(i, j)]
-                n, lost, kept = _removed(texts[i:j], lists, gone)
+                n, lost, kept = _removed(texts, lists, gone)
                 yield batch(schema, b.column(0).slice(i, j - i), n, lost, pa.array(kept, pa.binary()).cast(pa.string()))
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, slices, utf8
+from .common import batch, slices
 from .tokens import SegmentEncoder, with_end
 
 MAGIC = b"BPL1"
@@ -120,9 +120,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, b
             return out
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), utf8(b.column(1))
-            for i, j in slices(texts):
-                flat, n = with_end(*encoder.encode(texts[i:j]), end_id)
+            keys = b.column(0).to_pylist()
+            for i, j, texts in slices(b.column(1)):
+                flat, n = with_end(*encoder.encode(texts), end_id)
                 doc_ids += keys[i:j]
                 lengths.append(n)
                 ids.append(flat)

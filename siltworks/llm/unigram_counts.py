@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch, slices, utf8
+from .common import Words, batch, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -52,7 +52,7 @@ def zipf_vocabulary(path: str) -> list[tuple[str, float]]:
 class Counter:
     """Best scores and piece counts of words; keeps those of at most ``limit`` words."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], limit: int = 1_000_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], limit: int = 500_000):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -120,8 +120,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
             _counters.clear()
             _counters[key] = Counter(shared.value)
         for b in batches:
-            texts = utf8(b.column(1))
-            for i, j in slices(texts):
-                yield batch(_OUT, b.column(0).slice(i, j - i), *_counters[key].texts(texts[i:j]))
+            for i, j, texts in slices(b.column(1)):
+                yield batch(_OUT, b.column(0).slice(i, j - i), *_counters[key].texts(texts))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_pieces long, score double")
