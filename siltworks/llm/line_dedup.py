@@ -11,13 +11,14 @@ makes the order global without a join.  Two similar sets share a word within
 their first ``n - ceil(t n) + 1``.  Lines of one set are first reduced to the
 earliest; the prefixes of those are joined:
 
-1. each prefix word's earliest line is compared with all others of that word,
-   which settles most lines of a large group by one comparison a word;
+1. each prefix word's lines are taken in parts of bounded size; the earliest line
+   of a part is compared with its others, which settles most lines of a large
+   group by one comparison a word;
 2. lines that are still there are compared with every earlier line of their
-   prefix words, under length and positional filters.
+   prefix words, under length, positional and parity filters.
 
-Sets are verified by their full word hashes.  Both joins are equi-joins on a
-rare word; aggregates combine before they shuffle.
+Sets are verified by their full word hashes.  Joins are equi-joins on a rare
+word, which Spark may split; aggregates combine before they shuffle.
 
 Cases: a null or empty text has no lines to lose; rows of null ``doc_id`` neither
 remove nor lose lines; rows of one ``doc_id`` don't remove each other's line of
@@ -26,7 +27,7 @@ the same number; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -35,9 +36,11 @@ SIMILAR, MIN_WORDS = 90, 5
 BUCKETS, ID_BITS = 1 << 17, 1 << 20
 
 
-def _words(line: Column) -> Column:
-    """Distinct hashes of a line's words."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+def _spaced(text: Column) -> Column:
+    """Lower case, with the separators other than line ends as spaces; most texts have none and aren't rewritten."""
+    low = F.lower(text)
+    others = "\t\x0b\x0c\r"
+    return F.when(F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c")), F.translate(low, others, " " * len(others))).otherwise(low)
 
 
 def _lines(text: Column) -> Column:
@@ -52,18 +55,32 @@ def _dense(rows: DataFrame, size: int) -> Column:
 
 
 def _rarity(rows: DataFrame) -> Column:
-    """For each hash bucket the class of its count: sixteen classes for each doubling."""
-    counts = rows.select(F.explode(_lines(F.col("text"))).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
-    counts = counts.groupBy(F.pmod("w", F.lit(BUCKETS)).alias("slot")).agg(F.count("*").alias("n"))
+    """For each hash bucket the class of its count over all lines: four classes for each doubling."""
+    words = rows.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''")
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("slot")).agg(F.count("*").alias("n"))
     return _dense(cut(counts.select("slot", F.least(F.floor(F.log2("n") * 4), F.lit(250)).cast("long").alias("value")), "rarity"), BUCKETS)
 
 
 def _with_keys(lines: DataFrame, rarity: Column) -> DataFrame:
-    """``keys``: the words of ``line`` as longs in global order, rare ones first."""
-    shift = lambda w: F.call_function("shiftleft", F.element_at("__rarity", (F.pmod(w, F.lit(BUCKETS)) + 1).cast("int")), F.lit(55))
-    key = F.sort_array(F.transform(_words(F.col("line")), lambda w: shift(w).bitwiseOR(F.shiftrightunsigned(w, 9))))
+    """``keys``: the distinct words of ``line`` as longs in global order, rare ones first."""
+
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rare = F.element_at("__rarity", (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"))
+        return F.call_function("shiftleft", rare, F.lit(55)).bitwiseOR(F.shiftrightunsigned(h, 9))
+
+    words = F.array_remove(F.split(_spaced(F.col("line")), " "), "")
     # the array joins each row only as an operand: the two projections become one
-    return lines.withColumn("__rarity", rarity).withColumn("keys", key).drop("__rarity", "line")
+    return lines.withColumn("__rarity", rarity).withColumn("keys", F.sort_array(F.array_distinct(F.transform(words, key)))).drop("__rarity", "line")
+
+
+def _salt(word: Column, *line: str) -> Column:
+    """Which part of a word's lines a line is in: a word of n lines has about n / 2 ** 14 parts.
+
+    A key's head has the class of a count that is no less than its lines.
+    """
+    parts = F.pow(F.lit(2.0), F.greatest(F.floor(F.shiftrightunsigned(word, 55) / 4) - 14, F.lit(0))).cast("long")
+    return F.pmod(F.xxhash64(*line), parts)
 
 
 def _prefix(n: Column) -> Column:
@@ -102,6 +119,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, rarity: Column) -> DataFrame:
     return both.where(100 * shared >= SIMILAR * (n + m - shared)).select("b_doc", "b_line", F.xxhash64("b_keys").alias("set"))
 
 
+def _parity(keys: Column) -> Column:
+    """A long whose bits say of each of 64 hash classes whether an odd number of words is in it."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (k.bitwiseAND(F.lit(63).cast("long"))).cast("int"))))
+
+
+def _able(a: str, b: str) -> Column:
+    """Whether the sets of two lines that share a word of their prefixes may be similar.
+
+    By length; by place, as no shared word precedes a first one; and by parity, as
+    each word that only one of them has changes one bit at most.
+    """
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    need = _needed(n, m)
+    close = 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
+    placed = F.least(n - F.col(f"{a}_at"), m - F.col(f"{b}_at")) >= need
+    return close & placed & (F.bit_count(F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig"))) <= n + m - 2 * need)
+
+
 def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (F.col(f"{a}_line") < F.col(f"{b}_line")))
 
@@ -113,28 +148,32 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     keyed = rows.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
     keyed = _with_keys(keyed, rarity)
     n = F.size("keys")
-    lines = cut(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set"), F.xxhash64(F.lit(1), "keys").alias("set2"), n.alias("n"), F.slice("keys", 1, _prefix(n)).alias("prefix")), "lines").where(F.col("n") >= MIN_WORDS)
+    lines = cut(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set"), F.xxhash64(F.lit(1), "keys").alias("set2"), n.alias("n"), _parity(F.col("keys")).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix")), "lines").where(F.col("n") >= MIN_WORDS)
 
     # lines of one set: the earliest stands for all
-    firsts = cut(lines.groupBy("set", "set2").agg(F.min(F.struct("doc_id", "line_no", "n", "prefix")).alias("first")), "firsts")
+    firsts = cut(lines.groupBy("set", "set2").agg(F.min(F.struct("doc_id", "line_no", "n", "sig", "prefix")).alias("first")), "firsts")
     repeats = lines.select("doc_id", "line_no", "set", "set2").join(firsts.select("set", "set2", "first.doc_id", "first.line_no").toDF("set", "set2", "f_doc", "f_line"), ["set", "set2"])
     repeats = repeats.where((F.col("f_doc") < F.col("doc_id")) | ((F.col("f_doc") == F.col("doc_id")) & (F.col("f_line") < F.col("line_no")))).select("doc_id", "line_no", "set")
 
-    entries = firsts.select(F.col("first.doc_id").alias("b_doc"), F.col("first.line_no").alias("b_line"), F.col("first.n").alias("b_n"), F.posexplode("first.prefix").alias("b_at", "word"))
-    leaders = entries.groupBy("word").agg(F.count("*").alias("size"), F.min(F.struct("b_doc", "b_line", "b_n", "b_at")).alias("a")).where("size > 1")
-    shared = cut(entries.join(leaders, "word").select("word", "b_doc", "b_line", "b_n", "b_at", *(F.col(f"a.b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "at"))), "entries")
-    close = (100 * F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n")) & (1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1 >= _needed(F.col("a_n"), F.col("b_n")))
+    entries = firsts.select(F.col("first.doc_id").alias("b_doc"), F.col("first.line_no").alias("b_line"), F.col("first.n").alias("b_n"), F.col("first.sig").alias("b_sig"), F.posexplode("first.prefix").alias("b_at", "word"))
+    fields = ("doc", "line", "n", "at", "sig")
+    # a word's lines in parts of bounded size, each with its earliest
+    part = Window.partitionBy("word", "salt")
+    entries = entries.withColumn("salt", _salt(F.col("word"), "b_doc", "b_line"))
+    lead = entries.withColumn("size", F.count("*").over(part)).withColumn("a", F.min(F.struct("b_doc", "b_line", "b_n", "b_at", "b_sig")).over(part))
+    lead = lead.where((F.col("size") > 1) | (F.shiftrightunsigned("word", 55) >= 60))
+    shared = cut(lead.select("word", *(F.col(f"b_{c}") for c in fields), *(F.col(f"a.b_{c}").alias(f"a_{c}") for c in fields)), "entries")
     pair = ["a_doc", "a_line", "b_doc", "b_line"]
 
     # one comparison for each word with its earliest line
-    near = cut(_verified(cut(shared.where(close & _earlier("a", "b")).select(*pair).distinct(), "pairs"), rows, rarity), "near")
+    tried = cut(shared.where(_able("a", "b") & _earlier("a", "b")).select(*pair).distinct(), "pairs")
+    near = cut(_verified(tried, rows, rarity), "near")
     # what that leaves, with all earlier lines of its words
     found = near.select("b_doc", "b_line").distinct()
-    left = shared.select("word", "b_doc", "b_line", "b_n", "b_at").join(found, ["b_doc", "b_line"], "left_anti")
-    others = shared.select("word", *(F.col(f"b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "at")))
-    rest = left.join(others, "word").where(close & _earlier("a", "b")).select(*pair).distinct()
-    done = shared.where(close & _earlier("a", "b")).select(*pair).distinct()
-    near = near.unionByName(_verified(cut(rest.join(done, pair, "left_anti"), "pairs"), rows, rarity))
+    left = shared.select("word", *(f"b_{c}" for c in fields)).join(found, ["b_doc", "b_line"], "left_anti")
+    others = shared.select("word", *(F.col(f"b_{c}").alias(f"a_{c}") for c in fields))
+    rest = left.join(others, "word").where(_able("a", "b") & _earlier("a", "b")).select(*pair).distinct()
+    near = near.unionByName(_verified(cut(rest.join(tried, pair, "left_anti"), "pairs"), rows, rarity))
     # a set's later copies are gone already as repeats
     return repeats.union(near.select("b_doc", "b_line", "set")).distinct()
 
