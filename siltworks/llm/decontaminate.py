@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, mix, slices, window_hash
+from .common import batch, mix, window_hash
 
 Q, BUDGET, MIN_ITEM = 8, 0.08, 24
 #: Items of a block have at most this many characters together.
@@ -84,32 +84,36 @@ def least_shared(m: int) -> int:
 def align(item: np.ndarray, region: np.ndarray, k: int, low: int, high: int) -> tuple[int, int, int] | None:
     """Least edit distance of ``item`` to a part of ``region``, with its begin and end, or None if over k.
 
-    Only diagonals (place in region less place in item) from ``low`` to ``high`` count.
+    Only diagonals (place in region less place in item) from ``low`` to ``high``
+    count.  For 0, 1, 2, ... edits the furthest place of the item that each diagonal
+    reaches follows from the neighbours' at one edit less and a run of equal characters.
     """
-    m, n, width = len(item), len(region), high - low + 1
-    far = m + n + 1
+    m, n = len(item), len(region)
     lane = np.arange(low, high + 1)
-    cost = np.where((lane >= 0) & (lane <= n), 0, far)
-    begin = lane.copy()
-    padded = np.concatenate((np.full(max(0, -low) + 1, -1, np.int64), region.astype(np.int64), np.full(max(0, m + high - n) + 2, -2, np.int64)))
-    shift = max(0, -low) + 1
-    step = np.arange(width)
-    for i in range(1, m + 1):
-        # lane d stands for region place i + d
-        place = i + lane
-        symbol = padded[shift + place[0] - 1 : shift + place[-1]]
-        diagonal = cost + (symbol != item[i - 1])
-        skip = np.append(cost[1:] + 1, far)
-        new = np.where(skip < diagonal, skip, diagonal)
-        start = np.where(skip < diagonal, np.append(begin[1:], 0), begin)
-        new[(place < 0) | (place > n)] = far
-        # running insertions along the row
-        best = np.minimum.accumulate(new - step)
-        source = np.maximum.accumulate(np.where(new - step == best, step, 0))
-        cost, begin = best + step, start[source]
-        cost[(place < 0) | (place > n)] = far
-    j = int(np.argmin(cost))
-    return None if cost[j] > k else (int(cost[j]), int(begin[j]), int(m + low + j))
+    width, before = len(lane), max(0, -low)
+    padded = np.full(before + max(n, m + high + 1) + 1, -1, np.int64)
+    padded[before : before + n] = region
+    table = np.lib.stride_tricks.sliding_window_view(padded, width)[before + low : before + low + m]
+    # the next place of the item, from each on, that differs along the diagonal
+    differs = np.full((m + 1, width), m, np.int64)
+    differs[:m] = np.where(table == item[:, None].astype(np.int64), m, np.arange(m)[:, None])
+    differs = np.minimum.accumulate(differs[::-1])[::-1]
+    none, step = -m - 2, np.arange(width)
+    reach, begin = np.where((lane >= 0) & (lane <= n), differs[0], none), lane.copy()
+    for edits in range(k + 1):
+        if (reach >= m).any():
+            j = int(np.argmax(reach >= m))
+            return edits, int(begin[j]), m + int(lane[j])
+        moves = np.full((3, width), none, np.int64)
+        moves[0] = reach + 1
+        moves[1, 1:] = reach[:-1]
+        moves[2, :-1] = reach[1:] + 1
+        pick = np.argmax(moves, axis=0)
+        best = np.minimum(moves[pick, step], m)
+        begin = begin[np.clip(step + np.array([0, -1, 1])[pick], 0, width - 1)]
+        good = (best >= 0) & (best + lane >= 0) & (best + lane <= n)
+        reach = np.where(good, differs[np.where(good, best, 0), step], none)
+    return None
 
 
 class Items:
@@ -155,22 +159,23 @@ class Items:
         diagonal = place - within + self.m[item]
         band = diagonal // self.band[item]
         # bands are two strips wide and overlap by one, so any k + 1 neighbouring diagonals share a band
-        out = {}
         key, count = np.unique(np.concatenate((item << 40 | band, item << 40 | np.maximum(band - 1, 0))), return_counts=True)
-        for x in key[count >= self.least[key >> 40]].tolist():
+        good = count >= self.least[key >> 40]
+        out, free = set(), np.ones(len(place), bool)
+        # bands with most hits first; hits within a place that was found count no more
+        for x in key[good][np.argsort(-count[good], kind="stable")].tolist():
             i, b = x >> 40, x & ((1 << 40) - 1)
             m, k, w = int(self.m[i]), int(self.k[i]), int(self.band[i])
-            # one region for each stretch of hits in the band
+            if (free & (item == i) & ((band == b) | (band == b + 1))).sum() < self.least[i]:
+                continue
             low, high = b * w - m, (b + 2) * w - 1 - m
             begin, end = max(0, low - k), min(len(points), high + m + k)
             found = align(self.points[i], points[begin:end], k, low - begin - k, high - begin + k)
             if found:
                 d, s, e = found
-                spot = (self.ids[i], int(at[begin + s]), int(at[begin + e - 1]) + 1, d)
-                near = (i, (begin + s) // max(m, 1))
-                if near not in out or out[near][3] > d:
-                    out[near] = spot
-        return sorted(set(out.values()), key=lambda x: (x[1], x[2], str(x[0])))
+                out.add((self.ids[i], int(at[begin + s]), int(at[begin + e - 1]) + 1, d))
+                free &= (item != i) | (place < begin + s) | (place >= begin + e)
+        return sorted(out, key=lambda x: (x[1], x[2], str(x[0])))
 
 
 def _blocks(items: DataFrame) -> Iterator[DataFrame]:
