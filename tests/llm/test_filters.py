@@ -93,6 +93,15 @@ def test_outliers_go_and_usual_rows_stay(spark, docs):
     assert mcd_quality.judge(df.limit(0), "doc_id").count() == 0
 
 
+def test_verdicts_follow_the_quality_labels(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = mcd_quality.judge(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").where("not base_failed").join(labels, "doc_id").collect()
+    bad, good = [x.kept for x in rows if x.quality == 0], [x.kept for x in rows if x.quality == 1]
+    assert len(bad) > 10 and sum(bad) <= 0.1 * len(bad)
+    assert len(good) > 100 and sum(good) >= 0.985 * len(good)
+
+
 # ---------------------------------------------------------------- URLs
 
 URLS = [None, "", "no scheme", "http://A.Example.COM/en/7x?q#f", "http://example.com/en/8", "https://x.com?y=/en/", "http://x.de/de/8", "https://sub.example.net/de/8/9", "http://example.net/de/9", "http://com/en/", "a://b://c/d", "http://org/es/", "http://xorg/es/", "http://host.org#/es/", "://", "http://..com/en/"]
