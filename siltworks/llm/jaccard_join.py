@@ -9,7 +9,7 @@ first, then others by estimated frequency, then by hash.  Both come from one
 pass over all shingles into tables of fixed size (a bitmap of what may occur
 twice, and counts by hash bucket).  With a prefix of ``n - ceil(t n) + l`` shingles,
 linked documents share at least the smaller ``l`` of their prefixes.  Each document
-takes the ``l`` up to ``MOST`` of least cost: its entries plus the candidates, by
+takes the ``l`` of least cost, up to ``MOST`` and to ``ceil(t n)``: its entries plus the candidates, by
 the shingles' estimated frequencies over ``l``.  Shingles of one document only are
 counted in the prefix but never sent.
 
@@ -89,7 +89,8 @@ def choose_prefix(flag: np.ndarray, cost: np.ndarray) -> tuple[int, int]:
     n = len(flag)
     base = n - -(-SIMILAR * n // 100)
     entries, candidates = np.cumsum(flag), np.cumsum(np.where(flag, cost, 0))
-    best = min(range(1, MOST + 1), key=lambda m: (entries[min(base + m, n) - 1] + candidates[min(base + m, n) - 1] / m, m))
+    # a prefix can't be asked for more shared shingles than its set's least intersection
+    best = min(range(1, min(MOST, n - base) + 1), key=lambda m: (entries[min(base + m, n) - 1] + candidates[min(base + m, n) - 1] / m, m))
     return best, min(base + best, n)
 
 

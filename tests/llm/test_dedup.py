@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from siltworks.llm import jaccard_join, line_dedup, substring_dedup
@@ -52,6 +53,14 @@ def test_components_of_odd_rows(docs):
     assert jaccard_join.near_duplicates(docs([(1, "a")]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 12))
+def test_prefixes_ask_for_no_more_than_a_link_shares(n):
+    flag, cost = np.ones(n, bool), np.full(n, 1000)
+    l, length = jaccard_join.choose_prefix(flag, cost)
+    least = -(-jaccard_join.SIMILAR * n // 100)
+    assert l <= least and length == n - least + l
+
+
 def test_keep_one_keeps_columns(docs):
     df = docs([(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "other words are here now"), (None, "a b c d e f"), (4, None), (5, None), (6, "six"), (6, "six")])
     out = jaccard_join.keep_one(df)
