@@ -64,6 +64,13 @@ def overlap_pairs(df: DataFrame, key: str, tags: str) -> DataFrame:
     return a.join(b, "tag").where("a < b").select("a", "b").distinct()
 
 
+def batch_pairs(df: DataFrame, batch: str, key: str, tags: str, label: str) -> DataFrame:
+    """Pairs a < b of one batch that share a tag or both have ``label`` 0, once each. Batches are of fixed size."""
+    t = df.select(batch, F.col(key), F.explode(F.concat(F.transform(tags, lambda x: F.concat(F.lit("t:"), x)), F.when(F.col(label) == 0, F.array(F.lit("clean"))).otherwise(F.array()))).alias("tag"))
+    a, b = t.select(batch, F.col(key).alias("a"), "tag"), t.select(batch, F.col(key).alias("b"), "tag")
+    return a.join(b, [batch, "tag"]).where("a < b").select("a", "b").distinct()
+
+
 def expand_pairs(pairs: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
     """(a, b, label) with both sides' values."""
     left = values.select(F.col(key).alias("a"), F.col(value).alias(f"a_{value}"))

@@ -388,6 +388,30 @@ def pair_expand(spark: S, d: str) -> DataFrame:
     return J.expand_pairs(pos.unionByName(neg), v.select(F.col("vec_id").alias("id"), F.round(F.col("emb")[0], 6).alias("x")), "id", "x")
 
 
+def batch_positives(spark: S, d: str) -> DataFrame:
+    """The reference's positive pairs: over all rows of a batch."""
+    v = X.vectors(spark, d).withColumn("batch", F.floor(F.col("vec_id") / 32).cast("long"))
+    return J.batch_pairs(v, "batch", "vec_id", "tags", "y")
+
+
+BATCH_POSITIVES = "SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.vec_id // 32 = y.vec_id // 32 AND x.vec_id < y.vec_id WHERE len(list_intersect(x.tags, y.tags)) > 0 OR (x.y = 0 AND y.y = 0)"
+
+
+@query(f"WITH {X.VECTORS} {BATCH_POSITIVES}")
+def positive_pairs_all(spark: S, d: str) -> DataFrame:
+    return batch_positives(spark, d)
+
+
+@query(f"""WITH {X.VECTORS}, pos AS ({BATCH_POSITIVES}),
+v AS (SELECT vec_id AS id, round(emb[1], 6) AS x FROM vectors), neg AS (SELECT a, b + 1 AS b, -1 AS label FROM pos WHERE b + 1 <> a)
+SELECT a, b, label, p.x AS a_x, q.x AS b_x FROM (SELECT a, b, 1 AS label FROM pos UNION ALL SELECT * FROM neg) JOIN v p ON p.id = a JOIN v q ON q.id = b""")
+def pair_expand_all(spark: S, d: str) -> DataFrame:
+    v = X.vectors(spark, d)
+    pos = batch_positives(spark, d).withColumn("label", F.lit(1))
+    neg = pos.select("a", (F.col("b") + 1).alias("b"), F.lit(-1).alias("label")).where("a <> b")
+    return J.expand_pairs(pos.unionByName(neg), v.select(F.col("vec_id").alias("id"), F.round(F.col("emb")[0], 6).alias("x")), "id", "x")
+
+
 # ---------------------------------------------------------------- set operations
 
 
