@@ -58,11 +58,14 @@ def best_of(*names: str) -> Column:
     return reduce(lambda a, n: a.when(F.col(n) == best, n), names[1:], F.when(F.col(names[0]) == best, names[0]))
 
 
-def infonce(df: DataFrame, batch: str, key: str, vector: str, tags: str, temperature: float) -> DataFrame:
-    """Multi-label contrastive loss by batch; anchors without a partner count not. Batches are of fixed size."""
-    v = df.select(batch, key, unit(F.col(vector)).alias("u"), tags)
-    other = v.select(batch, F.col(key).alias("__k"), F.col("u").alias("__u"), F.col(tags).alias("__t"))
-    pairs = v.join(other, batch).where(F.col(key) != F.col("__k")).select(batch, key, F.exp(dot(F.col("u"), F.col("__u")) / temperature).alias("e"), F.arrays_overlap(tags, "__t").alias("pos"))
+def infonce(df: DataFrame, batch: str, key: str, vector: str, tags: str, temperature: float, label: str | None = None) -> DataFrame:
+    """Multi-label contrastive loss by batch; anchors without a partner count not. Batches are of fixed size.
+
+    With ``label``, rows where it is 0 are partners of each other too.
+    """
+    v = df.select(batch, key, unit(F.col(vector)).alias("u"), tags, (F.lit(False) if label is None else F.col(label) == 0).alias("clean"))
+    other = v.select(batch, F.col(key).alias("__k"), F.col("u").alias("__u"), F.col(tags).alias("__t"), F.col("clean").alias("__clean"))
+    pairs = v.join(other, batch).where(F.col(key) != F.col("__k")).select(batch, key, F.exp(dot(F.col("u"), F.col("__u")) / temperature).alias("e"), (F.arrays_overlap(tags, "__t") | (F.col("clean") & F.col("__clean"))).alias("pos"))
     sums = pairs.groupBy(batch, key).agg(F.sum("e").alias("den"), F.sum(F.when(F.col("pos"), F.col("e"))).alias("num")).where("num is not null")
     return sums.groupBy(batch).agg(F.count("*").alias("anchors"), F.round(F.avg(-F.log(F.col("num") / F.col("den"))), 6).alias("loss"))
 

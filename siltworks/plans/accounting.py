@@ -252,6 +252,15 @@ def infonce_loss(spark: S, d: str) -> DataFrame:
     return G.infonce(v, "batch", "vec_id", "emb", "tags", 0.2)
 
 
+@query(f"""WITH {X.VECTORS}, v AS (SELECT vec_id, vec_id // 32 AS batch, y, tags, list_transform(emb, lambda x: x / sqrt(list_sum(list_transform(emb, lambda z: z * z)))) AS u FROM vectors),
+p AS (SELECT a.batch, a.vec_id, exp(list_dot_product(a.u, b.u) / 0.2) AS e, len(list_intersect(a.tags, b.tags)) > 0 OR (a.y = 0 AND b.y = 0) AS pos FROM v a JOIN v b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
+s AS (SELECT batch, vec_id, sum(e) AS den, sum(e) FILTER (pos) AS num FROM p GROUP BY ALL)
+SELECT batch, count(*) AS anchors, round(avg(-ln(num / den)), 6) AS loss FROM s WHERE num IS NOT NULL GROUP BY 1""")
+def infonce_loss_all(spark: S, d: str) -> DataFrame:
+    v = X.vectors(spark, d).withColumn("batch", F.floor(F.col("vec_id") / 32).cast("long"))
+    return G.infonce(v, "batch", "vec_id", "emb", "tags", 0.2, "y")
+
+
 @query(f"""WITH {X.SAMPLES}, p AS (SELECT sample_id, tags FROM samples WHERE label = 1), t AS (SELECT sample_id, unnest(tags) AS tag FROM p), c AS (SELECT tag FROM t GROUP BY 1 HAVING count(*) > 1)
 SELECT count(*) AS n, round(avg((sample_id IN (SELECT sample_id FROM t JOIN c USING (tag)))::INTEGER), 6) AS rate FROM p""")
 def anchor_valid_rate(spark: S, d: str) -> DataFrame:
