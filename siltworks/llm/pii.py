@@ -3,7 +3,8 @@
 Each kind has a pattern that proposes spans (leftmost, not overlapping within a
 kind) and a validator that confirms them: numbers of an IP address up to 255, the
 Luhn sum of a card, the number of a phone's digits, ISO 7064 mod 97-10 of an
-IBAN.  A failed span is dropped without another try inside it.  Every span has a
+IBAN.  An IBAN ends at its country's length; those of countries without a known
+length take all upper-case letters and digits that follow.  A failed span is dropped without another try inside it.  Every span has a
 score: the kind's base value plus ``CONTEXT_BONUS`` where one of the kind's
 context words stands within ``CONTEXT_CHARS`` characters before it.
 
@@ -36,6 +37,12 @@ CONTEXT = {
     "iban": "iban|account|bank|transfer|konto|cuenta|compte",
 }
 CONTEXT_CHARS, CONTEXT_BONUS = 40, 0.2
+#: Lengths of IBANs by country, and their countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 _MARK, _OTHER, _BREAK = "\x01", "\x02", "\x03"
 
 
@@ -108,7 +115,12 @@ def _find(kind: str, text: Column) -> Column:
     if kind == "iban":
         t = F.regexp_replace(text, "(?<![A-Z0-9]) | (?![A-Z0-9])", _BREAK)
         plain = lambda s: F.replace(s["value"], F.lit(" "), F.lit(""))
-        found = F.filter(_marked(t, "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}[A-Z0-9 ]{7,36}(?![A-Za-z0-9])"), lambda s: F.length(plain(s)).between(15, 34) & mod97(plain(s)))
+        sized = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}} ?[A-Z0-9]{{4}}{' ?[A-Z0-9]' * (n - 8)}" for n, c in IBAN_LENGTHS.items())
+        known = F.filter(_marked(t, f"(?<![A-Za-z0-9])(?:{sized})(?![A-Za-z0-9])"), lambda s: mod97(plain(s)))
+        countries = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+        others = _marked(t, f"(?<![A-Za-z0-9])(?!{countries})[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}[A-Z0-9 ]{{7,36}}(?![A-Za-z0-9])")
+        others = F.filter(others, lambda s: F.length(plain(s)).between(15, 34) & mod97(plain(s)) & ~F.exists(known, lambda k: (k["start"] < s["stop"]) & (s["start"] < k["stop"])))
+        found = F.concat(known, others)
         return F.when(text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), found)
     raise ValueError(kind)
 

@@ -35,6 +35,21 @@ def test_iban_and_context(docs):
     assert rows[2].spans == "iban:0:22" and rows[2].scores == "0.8"
 
 
+def test_iban_ends_before_other_upper_case(docs):
+    texts = {
+        "DE89 3704 0044 0532 0130 00 EUR 20": ["iban:0:27"],
+        "DE89370400440532013000 BIC COBADEFFXXX": ["iban:0:22"],
+        "DE89370400440532013000 GB82 WEST 1234 5698 7654 32": ["iban:0:22", "iban:23:50"],
+        "AB12 3456 DE89 3704 0044 0532 0130 00": ["iban:10:37"],
+        "DE89 3704 0044 0532 0130 00EUR": [],
+        "DE89 3704 0044 0532 0130 01 EUR 20": [],
+    }
+    rows = list(enumerate(texts))
+    found = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.digest(docs(rows)).collect()}
+    assert found == dict(enumerate(texts.values()))
+    assert pii.redact(docs([(1, "pay DE89370400440532013000 BIC COBADEFFXXX")])).first().text == "pay <IBAN> BIC COBADEFFXXX"
+
+
 def test_redact_and_edge_rows(spark, docs):
     out = pii.redact(docs([(None, "mail a@b.c now"), (1, None), (1, None)])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "mail <EMAIL> now"), (1, ""), (1, "")]
