@@ -3,7 +3,8 @@
 A line's set is its distinct lower-cased words.  A line is removed if an earlier
 line (by ``doc_id``, then line number, as the input has them) has a set of
 Jaccard similarity ``SIMILAR`` percent or more.  Lines of fewer than ``MIN_WORDS``
-distinct words always stay.
+distinct words are never near matches; exact repeats of their sets go where
+``short`` is asked for, as :func:`drop_lines` does.
 
 Words are ordered by rarity: by the count of their hash bucket over all lines,
 then by hash.  The bucket counts are a table of fixed size (``BUCKETS``), which
@@ -141,21 +142,24 @@ def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (F.col(f"{a}_line") < F.col(f"{b}_line")))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, set): the lines to remove from ``docs`` (doc_id, text), by place and by the set's hash."""
+def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, set): the lines to remove from ``docs`` (doc_id, text), by place and by the set's hash.
+
+    ``short``: repeats of the sets of fewer than ``MIN_WORDS`` words too.
+    """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rarity = _rarity(rows)
     keyed = rows.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
     keyed = _with_keys(keyed, rarity)
     n = F.size("keys")
-    lines = cut(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set"), F.xxhash64(F.lit(1), "keys").alias("set2"), n.alias("n"), _parity(F.col("keys")).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix")), "lines").where(F.col("n") >= MIN_WORDS)
+    lines = cut(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set"), F.xxhash64(F.lit(1), "keys").alias("set2"), n.alias("n"), _parity(F.col("keys")).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix")), "lines").where(F.col("n") >= (1 if short else MIN_WORDS))
 
     # lines of one set: the earliest stands for all
     firsts = cut(lines.groupBy("set", "set2").agg(F.min(F.struct("doc_id", "line_no", "n", "sig", "prefix")).alias("first")), "firsts")
     repeats = lines.select("doc_id", "line_no", "set", "set2").join(firsts.select("set", "set2", "first.doc_id", "first.line_no").toDF("set", "set2", "f_doc", "f_line"), ["set", "set2"])
     repeats = repeats.where((F.col("f_doc") < F.col("doc_id")) | ((F.col("f_doc") == F.col("doc_id")) & (F.col("f_line") < F.col("line_no")))).select("doc_id", "line_no", "set")
 
-    entries = firsts.select(F.col("first.doc_id").alias("b_doc"), F.col("first.line_no").alias("b_line"), F.col("first.n").alias("b_n"), F.col("first.sig").alias("b_sig"), F.posexplode("first.prefix").alias("b_at", "word"))
+    entries = firsts.where(F.col("first.n") >= MIN_WORDS).select(F.col("first.doc_id").alias("b_doc"), F.col("first.line_no").alias("b_line"), F.col("first.n").alias("b_n"), F.col("first.sig").alias("b_sig"), F.posexplode("first.prefix").alias("b_at", "word"))
     fields = ("doc", "line", "n", "at", "sig")
     # a word's lines in parts of bounded size, each with its earliest
     part = Window.partitionBy("word", "salt")
@@ -183,7 +187,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
     A document that loses all its lines goes as a whole.
     """
-    lost = cut(removed_lines(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "set")).alias("__lost")).withColumnRenamed("doc_id", "__id"), "lost")
+    lost = cut(removed_lines(docs, short=True).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "set")).alias("__lost")).withColumnRenamed("doc_id", "__id"), "lost")
     names = docs.columns
     place, text = names.index("doc_id"), names.index("text")
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))

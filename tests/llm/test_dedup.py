@@ -139,3 +139,10 @@ def test_drop_lines(docs):
     assert out == {1: "a b c d e f\nkeep this one", 2: "and more", None: "a b c d e f", 4: None, 5: ""}
     assert line_dedup.drop_lines(df).columns == df.columns
     assert line_dedup.removed_lines(df.limit(0)).count() == 0
+
+
+def test_repeats_of_short_lines_go(docs):
+    df = docs([(1, "all rights reserved\none two three four"), (2, "All rights reserved\none two three five\n\nall rights reserved"), (3, "all rights reserved"), (None, "all rights reserved")])
+    out = {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()}
+    assert out == {1: "all rights reserved\none two three four", 2: "one two three five\n", None: "all rights reserved"}
+    assert line_dedup.removed_lines(df).count() == 0
