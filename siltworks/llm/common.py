@@ -22,35 +22,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("siltworks.scratch", None)
+    """A new path below ``spark.checkpoint.dir``; where that is unset, as in tests, below a temporary folder, but only on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siltworks.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("siltworks.scratch", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: a lineage cut that outlives executors."""
+    """Write ``df`` to the shared scratch folder and read it back: a lineage cut that outlives executors.
+
+    Dictionary pages may be large, as hashes that repeat compress in no other way.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.dictionary.page.size", 8 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a table made by :func:`cut` once nothing reads it any more."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()[:1]}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def columns(df: DataFrame, *names: str) -> list[Column]:
-    """The named columns; missing ones come as typed nulls, so a table may lack an optional column."""
-    return [F.col(f"`{n}`") if n in df.columns else F.lit(None).cast("string").alias(n) for n in names]
-
-
 # ---------------------------------------------------------------- batches
 
 
@@ -75,27 +66,12 @@ def batch(schema: pa.Schema, *arrays: Iterable) -> pa.RecordBatch:
 # ---------------------------------------------------------------- hashes
 
 _U = np.uint64
-_BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_power: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _power:
-        both = []
-        for base in (_BASE, _INVERSE):
-            p = np.ones(size, np.uint64)
-            p[1:] = _U(base)
-            both.append(np.multiply.accumulate(p))
-        _power.clear()
-        _power[size] = tuple(both)
-    return _power[size]
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,21 +84,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one little-endian number."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+
+
+def _pieces(eights: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All eight-byte pieces but the first of spans longer than that: the pieces, their number within the span, and the pieces of each span."""
+    n = (lengths - 1) >> 3
+    no = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + 1
+    at, left = np.repeat(starts, n) + 8 * no, np.repeat(lengths, n) - 8 * no
+    return eights[at] & _FIRST[np.minimum(left, 8)], no, n
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span ``data[start:end]``; spans ascend and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        # spans are hashed in stretches of a quarter megabyte, so that the tables of powers stay small
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 18), "right")))
-        lo, hi = int(starts[at]), int(ends[stop - 1])
-        power, inverse = _powers(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * power[: hi - lo], out=total[1:])
-        s, e = starts[at:stop] - lo, ends[at:stop] - lo
-        out[at:stop] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
-        at = stop
-    return out
+    """64-bit hash of each byte span ``data[start:end]``: of its eight-byte pieces, each scrambled with its place, and its length."""
+    eights, lengths = _eights(data), ends - starts
+    total = mix(eights[starts] & _FIRST[np.minimum(lengths, 8)])
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        piece, no, n = _pieces(eights, starts[long], lengths[long])
+        total[long] += np.add.reduceat(mix(piece ^ mix(no.astype(np.uint64))), np.cumsum(n) - n)
+    return mix(total + lengths.astype(np.uint64))
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each distinct byte string, and which of them each span equals; equal by bytes, not by hash alone."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    _, at, back = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+    other, eights, lengths = at[back], _eights(data), ends - starts
+    same = (lengths == lengths[other]).all() and (eights[starts] & _FIRST[np.minimum(lengths, 8)] == (eights[starts] & _FIRST[np.minimum(lengths, 8)])[other]).all()
+    if same and len(long := np.flatnonzero(lengths > 8)):
+        same = bool((_pieces(eights, starts[long], lengths[long])[0] == _pieces(eights, starts[other[long]], lengths[long])[0]).all())
+    if not same:
+        raw, seen = data.tobytes(), {}
+        back = np.fromiter((seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        at = np.unique(back, return_index=True)[1]
+    return at, back
 
 
 def window_hash(h: np.ndarray, width: int) -> np.ndarray:
@@ -185,6 +185,13 @@ def signed(h: np.ndarray) -> np.ndarray:
 # small for the data lets more pass.
 
 _BLOCKS = 256
+#: Bitmaps have at least 2 ** 28 bits (32 MB), and at most 2 ** 31 (256 MB).
+LEAST_BITS, MOST_BITS = 28, 31
+
+
+def bitmap_bits(n: int) -> int:
+    """The size of a bitmap for ``n`` hashes, as a power of two: four bits a hash within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (4 * n).bit_length()))
 
 
 class Bitmap:
@@ -269,32 +276,33 @@ def merge_blocks(rows: DataFrame, bits: int, least: int) -> Bitmap:
     return Bitmap(whole, bits, counts)
 
 
-def id_hash(ids: np.ndarray) -> np.ndarray:
-    return mix(np.asarray(ids, np.int64).view(np.uint64) + _U(0x51ED270B))
+# ---------------------------------------------------------------- ids
 
 
-def id_bitmap(ids: DataFrame, bits: int = 24) -> Bitmap:
-    """Of a table whose first column is an id."""
+def dense(rows: DataFrame, size: int) -> Column:
+    """An array of ``size`` values from (slot, value), as a scalar subquery; a slot without a row has 0."""
+    all_slots = rows.sparkSession.range(size).select(F.col("id").alias("slot")).join(rows, "slot", "left")
+    packed = all_slots.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("value", F.lit(0).cast("long")).alias("value")))).alias("a"))
+    return packed.select(F.transform("a", lambda s: s["value"])).scalar()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return block_rows((id_hash(b.column(0).drop_null().to_numpy(zero_copy_only=False)) for b in batches), bits)
 
-    return merge_blocks(ids.select(F.col(ids.columns[0]).cast("long")).mapInArrow(run, "block int, positions binary"), bits, 1)
+def among(ids: DataFrame, column: Column) -> Column:
+    """Whether a value may be in ``ids``, a written table whose first column is an id; null surely isn't.
 
+    A bit array of eight to sixteen bits an id, between 2 ** 20 and 2 ** 24 in
+    all, that spares shuffling other rows; what passes it is joined afterwards.
+    """
+    bits = min(24, max(20, (8 * ids.count()).bit_length()))
+    slot = lambda c: F.xxhash64(c.cast("long")).bitwiseAND(F.lit((1 << bits) - 1))
+    own = slot(F.col(ids.columns[0]))
+    words = ids.select(F.shiftright(own, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (own % 64).cast("int")).alias("bit"))
+    array = dense(cut(words.groupBy("slot").agg(F.bit_or("bit").alias("value")), "bits"), 1 << (bits - 6))
+    mine = slot(column)
+    hit = F.call_function("getbit", F.element_at(array, (F.shiftright(mine, 6) + 1).cast("int")), (mine % 64).cast("int")) == 1
+    return column.isNotNull() & hit
 
-def split_by_ids(docs: DataFrame, column: str, bitmap: Bitmap) -> tuple[DataFrame, DataFrame]:
-    """``docs`` that may be among the ids, and those that surely aren't (nulls too)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    at = docs.columns.index(column)
-
-    def part(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(at)
-                hit = shared.value.test(id_hash(ids.fill_null(0).to_numpy(zero_copy_only=False))) & ids.is_valid().to_numpy(zero_copy_only=False)
-                if (hit == wanted).any():
-                    yield b.filter(pa.array(hit == wanted))
-
-        return docs.mapInArrow(run, docs.schema)
 
-    return part(True), part(False)
+def split_by_ids(docs: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` that may be among the ids, and those that surely aren't (nulls too)."""
+    hit = among(ids, F.col(column))
+    return docs.where(hit), docs.where(~hit)

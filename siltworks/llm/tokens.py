@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import _LOWER, _SPACE, hash_spans
+from .common import _LOWER, _SPACE, distinct_spans
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -53,7 +53,7 @@ class SegmentEncoder:
         return _encoders[path, limit]
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.start, self.length, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self.ids, self.n_ids = np.zeros(1 << 14, np.uint32), 0
 
@@ -71,8 +71,8 @@ class SegmentEncoder:
             found[i] = x
         return found
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        found = self._encode_segments(texts)
+    def _learn(self, keys: list[bytes]) -> None:
+        found = self._encode_segments([k.decode("utf-8", "replace") for k in keys])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         for name, need in (("start", self.n + len(keys)), ("length", self.n + len(keys)), ("ids", self.n_ids + len(flat))):
@@ -112,16 +112,14 @@ class SegmentEncoder:
         first = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        keys, at, back = np.unique(hash_spans(low, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slots) + len(keys) > self.limit:
+        at, back = distinct_spans(low, starts, ends)
+        if len(self.slots) + len(at) > self.limit:
             self.clear()
-        listed = keys.tolist()
-        slot = np.fromiter((self.slots.get(k, -1) for k in listed), np.int64, len(listed))
-        if len(new := np.flatnonzero(slot < 0)):
-            raw = low.tobytes()
-            spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
-            self._learn([listed[i] for i in new.tolist()], [raw[s:e].decode("utf-8", "replace") for s, e in spans])
-            slot = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))
+        raw = low.tobytes()
+        keys = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if new := [k for k in keys if k not in self.slots]:
+            self._learn(new)
+        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
         slot = slot[back]
         n = self.length[slot]
         stop = np.cumsum(n)

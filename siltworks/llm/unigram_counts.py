@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch, slices
+from .common import Words, batch, distinct_spans, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -64,7 +64,7 @@ class Counter:
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.limit = limit
-        self.known: dict[int, tuple[int, float]] = {}
+        self.known: dict[bytes, tuple[int, float]] = {}
 
     def count(self, word: str) -> tuple[int, float]:
         """Pieces and score of ``word``, its mark included."""
@@ -94,14 +94,16 @@ class Counter:
         n = np.diff(w.first)
         if not len(w.starts):
             return n, np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        keys, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.limit:
+        at, back = distinct_spans(w.raw, w.starts, w.ends)
+        if len(self.known) + len(at) > self.limit:
             self.known.clear()
-        raw, listed = w.raw.tobytes(), keys.tolist()
-        for k, s, e in zip(listed, w.starts[at].tolist(), w.ends[at].tolist(), strict=True):
-            if k not in self.known:
-                self.known[k] = self.count(MARK + raw[s:e].decode("utf-8", "replace"))
-        values = [self.known[k] for k in listed]
+        raw, values = w.raw.tobytes(), []
+        for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True):
+            key = raw[s:e]
+            found = self.known.get(key)
+            if found is None:
+                found = self.known[key] = self.count(MARK + key.decode("utf-8", "replace"))
+            values.append(found)
         pieces = np.fromiter((v[0] for v in values), np.int64, len(values))[back]
         score = np.fromiter((v[1] for v in values), np.float64, len(values))[back]
         doc = np.repeat(np.arange(len(texts)), n)
