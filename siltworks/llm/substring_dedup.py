@@ -8,7 +8,7 @@ is a shift below the period that brings both to cover positions.  So only runs o
 ``WINDOW - PERIOD + 1`` words at cover positions are hashed; two equal windows
 hold an equal anchor at the same place within them.  Steps:
 
-1. a bitmap of fixed size of anchors that may occur in two documents;
+1. a bitmap, sized by their number up to a bound, of anchors that may occur in two documents;
 2. anchors that pass it, aggregated to those in two documents indeed, and
    listed by document;
 3. all windows around listed anchors, by hash with the least ``doc_id``;
@@ -35,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Words, batch, block_rows, cut, id_bitmap, merge_blocks, signed, slices, split_by_ids, window_hash, word_sums
+from .common import Bitmap, Words, batch, bitmap_bits, block_rows, cut, merge_blocks, signed, slices, split_by_ids, window_hash, word_sums
 
 WINDOW, PERIOD = 50, 31
 #: A perfect difference set modulo 31 (fixed values): every residue is a difference of two.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-BITMAP_BITS = 28
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -69,11 +68,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(schema, b.column(0).slice(i, len(texts)), np.diff(w.first), signed(a), signed(c))
 
 
-def _twice(rows: DataFrame) -> Bitmap:
+def _twice(rows: DataFrame, bits: int) -> Bitmap:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return block_rows((np.unique(anchors(h[s:e])[1]) for b in batches for _, _, w, h in _documents(b) for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)), BITMAP_BITS)
+        return block_rows((np.unique(anchors(h[s:e])[1]) for b in batches for _, _, w, h in _documents(b) for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)), bits)
 
-    return merge_blocks(rows.mapInArrow(run, "block int, positions binary"), BITMAP_BITS, 2)
+    return merge_blocks(rows.mapInArrow(run, "block int, positions binary"), bits, 2)
 
 
 def _passing(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
@@ -176,13 +175,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     firsts = cut(signature.groupBy("w1", "w2").agg(F.min("doc_id").alias("least")), "firsts")
     copies = signature.join(firsts, ["w1", "w2"]).where("doc_id > least").select("doc_id", "w1")
 
-    passing = cut(_passing(known, _twice(known)), "anchors")
+    n_anchors = (signature.agg(F.sum("n_words")).first()[0] or 0) * len(COVER) // PERIOD
+    passing = cut(_passing(known, _twice(known, bitmap_bits(n_anchors))), "anchors")
     lists = passing.join(_in_two(passing, "anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("list"))
     lists = cut(lists.join(firsts.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"), "lists")
-    near, _ = split_by_ids(known, "doc_id", id_bitmap(lists))
+    near, _ = split_by_ids(known, "doc_id", lists)
     windows = cut(_windows(near.join(lists, "doc_id").select("doc_id", "text", "list")).distinct(), "windows")
     taken = windows.join(_in_two(windows, "window"), "window").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("window").alias("list"))
     gone = copies.groupBy("doc_id").agg(F.collect_set("w1").alias("gone"))
     work = cut(taken.join(gone, "doc_id", "full"), "work")
-    touched, rest = split_by_ids(rows, "doc_id", id_bitmap(work))
+    touched, rest = split_by_ids(rows, "doc_id", work)
     return _cleaned(touched.join(work, "doc_id", "left").select("doc_id", "text", "list", "gone")).unionByName(_cleaned(rest))
