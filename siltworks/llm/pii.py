@@ -3,10 +3,13 @@
 Each kind has a pattern that proposes spans (leftmost, not overlapping within a
 kind) and a validator that confirms them: numbers of an IP address up to 255, the
 Luhn sum of a card, the number of a phone's digits, ISO 7064 mod 97-10 of an
-IBAN.  An IBAN ends at its country's length; those of countries without a known
+IBAN, letters and digits in a secret of 20 characters or more.  An IBAN ends at its country's length; those of countries without a known
 length take all upper-case letters and digits that follow.  A failed span is dropped without another try inside it.  Every span has a
 score: the kind's base value plus ``CONTEXT_BONUS`` where one of the kind's
-context words stands within ``CONTEXT_CHARS`` characters before it.
+context words stands within ``CONTEXT_CHARS`` characters before or after it, up to
+the next match of the kind's pattern.  The
+base kinds (email, ip, card, phone) are found whatever their score; the others
+need ``LEAST_SCORE``, so a secret is one only by its context.
 
 Spans are found by one ``regexp_replace`` a kind that puts a control character
 around each match, and one ``split`` at it; running lengths give the places.  A
@@ -22,21 +25,26 @@ results are replaced, others are kept out of the way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans at one place are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban")
-BASE_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.6, "phone": 0.5, "iban": 0.8}
+KINDS = (*BASE_KINDS, "iban", "secret")
+BASE_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.6, "phone": 0.5, "iban": 0.8, "secret": 0.4}
 CONTEXT = {
     "email": "mail|e-mail|email|contact|write to",
     "ip": "ip|address|host|server|login",
     "card": "card|visa|mastercard|credit|payment|karte|tarjeta|carte",
     "phone": "phone|tel|call|mobile|fax|telefon",
     "iban": "iban|account|bank|transfer|konto|cuenta|compte",
+    "secret": "token|secret|password|passwd|pwd|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer",
 }
 CONTEXT_CHARS, CONTEXT_BONUS = 40, 0.2
+#: Spans of the kinds that the method adds need this score; base spans always stay.
+LEAST_SCORE = 0.6
 #: Lengths of IBANs by country, and their countries.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -46,20 +54,47 @@ IBAN_LENGTHS = {
 _MARK, _OTHER, _BREAK = "\x01", "\x02", "\x03"
 
 
+#: Parts of a split text that are summed up together; an even number, so that a block's odd parts are matches.
+_BLOCK = 256
+_NO_SPANS = "array<struct<start:int,stop:int,value:string,near:string>>"
+
+
 def _marked(text: Column, pattern: str) -> Column:
-    """Structs (start, stop, value) of a pattern's matches in ``text``, which holds no mark."""
+    """Structs (start, stop, value, near) of a pattern's matches in ``text``, which holds no mark; ``near`` is the text around.
+
+    Running lengths give the places, first within blocks of parts, then over the
+    blocks, so that the time is in proportion to the matches.
+    """
     parts = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("spans"))
-    # odd parts are matches; the running length gives each part's place
-    walked = F.aggregate(
-        F.transform(parts, lambda p, i: F.struct(p.alias("p"), (i % 2 == 1).alias("hit"))),
-        empty,
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"])).alias("at"),
-            F.when(x["hit"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x["p"])).alias("stop"), x["p"].alias("value"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    return walked["spans"]
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("spans"))
+
+    def walked(parts: Column, first: Column) -> Column:
+        """The length of a block of parts and its spans; odd parts are matches."""
+        return F.aggregate(
+            F.transform(F.slice(parts, first + 1, _BLOCK), lambda p, i: F.struct(p.alias("p"), (first + i).alias("i"))),
+            empty,
+            lambda a, x: F.struct((a["at"] + F.length(x["p"])).alias("at"), F.when(x["i"] % 2 == 1, F.concat(a["spans"], F.array(span(parts, a["at"], x)))).otherwise(a["spans"]).alias("spans")),
+        )
+
+    def span(parts: Column, at: Column, x: Column) -> Column:
+        near = F.concat(F.right(F.get(parts, x["i"] - 1), F.lit(CONTEXT_CHARS)), F.lit("\n"), F.left(F.get(parts, x["i"] + 1), F.lit(CONTEXT_CHARS)))
+        return F.struct(at.alias("start"), (at + F.length(x["p"])).alias("stop"), x["p"].alias("value"), near.alias("near"))
+
+    def placed(parts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int")), lambda i: walked(parts, i * _BLOCK))
+        return _let(blocks, lambda x: _let(F.aggregate(x, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"]))), lambda at: moved(x, at)))
+
+    def moved(blocks: Column, before: Column) -> Column:
+        spans = F.zip_with(blocks, before, lambda b, at: F.transform(b["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["stop"] + at).alias("stop"), s["value"].alias("value"), s["near"].alias("near"))))
+        return F.flatten(F.filter(spans, lambda x: x.isNotNull()))
+
+    # texts without a match, most of them, take no walk
+    return _let(parts, lambda x: F.when(F.size(x) > 1, placed(x)).otherwise(F.array().cast(_NO_SPANS)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _digits(value: Column) -> Column:
@@ -122,6 +157,9 @@ def _find(kind: str, text: Column) -> Column:
         others = F.filter(others, lambda s: F.length(plain(s)).between(15, 34) & mod97(plain(s)) & ~F.exists(known, lambda k: (k["start"] < s["stop"]) & (s["start"] < k["stop"])))
         found = F.concat(known, others)
         return F.when(text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), found)
+    if kind == "secret":
+        found = _marked(text, "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
+        return F.when(text.rlike("[A-Za-z0-9+/_-]{20}"), F.filter(found, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")))
     raise ValueError(kind)
 
 
@@ -129,13 +167,12 @@ def _scored(no: int, kind: str) -> Column:
     """A kind's spans with its number and score."""
 
     def one(s: Column) -> Column:
-        begin = F.greatest(s["start"] + 1 - CONTEXT_CHARS, F.lit(1))
-        near = F.lower(F.substring(F.col("__t"), begin, s["start"] + 1 - begin))
-        bonus = F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})\b"), CONTEXT_BONUS).otherwise(0.0)
+        bonus = F.when(F.lower(s["near"]).rlike(rf"(?<![a-z0-9])(?:{CONTEXT[kind]})(?![a-z0-9])"), CONTEXT_BONUS).otherwise(0.0)
         fields = {"start": s["start"], "kind_no": F.lit(no), "stop": s["stop"], "kind": F.lit(kind), "value": F.translate(s["value"], _BREAK, "."), "score": F.round(F.lit(BASE_SCORE[kind]) + bonus, 2)}
         return F.struct(*(v.alias(k) for k, v in fields.items()))
 
-    return F.transform(F.col(f"__{kind}"), one)
+    scored = F.transform(F.col(f"__{kind}"), one)
+    return scored if kind in BASE_KINDS else F.filter(scored, lambda x: x["score"] >= LEAST_SCORE)
 
 
 def find_pii(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -145,7 +182,7 @@ def find_pii(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), f"{_MARK}{_BREAK}", _OTHER * 2)
     df = docs.drop("pii").withColumn("__t", text)
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
+    none = F.array().cast(_NO_SPANS)
     for k in kinds:
         df = df.withColumn(f"__{k}", F.coalesce(_find(k, F.col("__t")), none))
     found = [_scored(no, k) for no, k in enumerate(KINDS) if k in kinds]

@@ -23,7 +23,20 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}[A-Z0-9 ]{7,36}(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+SECRET_WORDS = re.compile(r"(?<![a-z0-9])(token|secret|password|passwd|pwd|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer)(?![a-z0-9])")
+
+
+def secrets(text: str | None) -> list[str]:
+    """``secret:start:stop`` of each token with letters and digits near a context word."""
+    text, out = text or "", []
+    found = list(SECRET.finditer(text))
+    ends, starts = [0, *(m.end() for m in found)], [*(m.start() for m in found[1:]), len(text)]
+    for m, before, after in zip(found, ends, starts, strict=False):
+        near = text[max(before, m.start() - 40) : m.start()].lower() + "\n" + text[m.end() : min(after, m.end() + 40)].lower()
+        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and SECRET_WORDS.search(near):
+            out.append(f"secret:{m.start()}:{m.end()}")
+    return out
 
 
 def luhn(digits: str) -> bool:

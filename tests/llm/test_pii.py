@@ -4,6 +4,7 @@ import brute
 import pytest
 
 from siltworks.llm import pii
+from siltworks.llm.queries import QUERIES
 
 ODD = [
     None, "", "a@b.c", "x a@b.c_d@e.f y", "..@x.y", "a@.b.c", "a@b..c", "a@b.c..d@e.f.", "a@b.c.@d.e", "1.2.3.4.5.6.7.8", "256.1.1.1 01.002.3.0004",
@@ -24,8 +25,29 @@ def test_base_spans_match_plain_regexes(spark, docs, sf_dir):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute.pii_row(texts[r.doc_id]), repr(texts[r.doc_id][:200])
-    for r in pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").collect():
-        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute.pii_row(r.text)
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    added = 0
+    for r in QUERIES["op9_pii"](spark, "/root/testdata/sf0.01").collect():
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute.pii_row(texts[r.doc_id])
+        found = [x for x in r.spans.split(",") if x.startswith("secret")]
+        assert found == brute.secrets(texts[r.doc_id])
+        added += len(found)
+    assert added > 5
+
+
+def test_secrets_need_context_and_both_kinds_of_characters(docs):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{key}"', f"the hash {key} of it", f"{key} is my password", "token abcdefghijabcdefghijabcdefghij", f"tokens {key}", f"api_key={key[:19]}", f"API-KEY: {key[:20]} x"]
+    rows = pii.digest(docs(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [[x for x in r.spans.split(",") if x.startswith("secret")] for r in rows] == [brute.secrets(t) for t in texts]
+    assert [bool(brute.secrets(t)) for t in texts] == [True, False, True, False, False, False, True]
+
+
+@pytest.mark.parametrize("n", [127, 128, 129, 255, 256, 257, 40000])
+def test_many_spans_in_one_text(docs, n):
+    text = "a@b.cd, " * n
+    r = pii.digest(docs([(1, text)])).first()
+    assert (r.n_email, r.base_sha256) == (n, brute.pii_row(text)[4])
 
 
 def test_iban_and_context(docs):
