@@ -2,28 +2,31 @@
 
 A line's set is its distinct lower-cased words.  A line is removed if an earlier
 line (by ``doc_id``, then line number, as the input has them) has a set of
-Jaccard similarity ``SIMILAR`` percent or more.  Lines of fewer than ``MIN_WORDS``
-distinct words are never near matches; exact repeats of their sets go where
-``short`` is asked for, as :func:`drop_lines` does.
-
-Words are ordered by rarity: by the count of their hash bucket over all lines,
-then by hash.  The bucket counts are a table of fixed size (``BUCKETS``), which
-makes the order global without a join.  Two similar sets share a word within
-their first ``n - ceil(t n) + 1``.  Lines of one set are first reduced to the
-earliest; the prefixes of those are joined:
-
-1. each prefix word's lines are taken in parts of bounded size; the earliest line
-   of a part is compared with its others, which settles most lines of a large
-   group by one comparison a word;
-2. lines that are still there are compared with every earlier line of their
-   prefix words, under length, positional and parity filters.
-
-Sets are verified by their full word hashes.  Joins are equi-joins on a rare
-word, which Spark may split; aggregates combine before they shuffle.
+Jaccard similarity ``SIMILAR`` percent or more; an exact repeat of a set at any
+length is one.  Lines without words stay.
+
+Each line's words are hashed once, into a table of sorted word hashes that all
+later steps read.  Words are ordered by rarity: by the number of lines of their
+hash bucket, then by hash.  The bucket counts are a table of at most ``BUCKETS``
+numbers, which makes the order global without a join.  Two similar sets share
+a word within their first ``n - ceil(t n) + 1``.  Lines of one set are first reduced
+to the earliest; sets of under ``LEAST`` words are similar to none but themselves,
+and the prefixes of the others are joined:
+
+1. words with over ``FEW`` lines: their lines are taken in parts of bounded size, in
+   the order of the input, and compared with the part's earliest and with the
+   ``NEAR`` lines before them, which settles most of a large group of near copies;
+2. all words: lines are compared with each other, but for those of which both are
+   already removed, by a join that reads one shuffle twice.
+
+Only pairs that pass length, positional and parity filters are verified, by
+their full word hashes.  Joins are equi-joins on a rare word, which Spark may
+split; aggregates combine before they shuffle.
 
 Cases: a null or empty text has no lines to lose; rows of null ``doc_id`` neither
 remove nor lose lines; rows of one ``doc_id`` don't remove each other's line of
-the same number; an empty table gives no rows; other columns pass through.
+the same number; repeated rows therefore lose nothing to each other; an empty
+table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import among, cut, dense
 
-SIMILAR, MIN_WORDS = 90, 5
-BUCKETS, ID_BITS = 1 << 17, 1 << 20
+SIMILAR = 90
+#: The least words of a set that can be similar to another one.
+LEAST = 100 // (100 - SIMILAR) - 1
+BUCKETS, FEW, NEAR = 1 << 20, 64, 6
 
 
 def _spaced(text: Column) -> Column:
@@ -48,40 +53,28 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _dense(rows: DataFrame, size: int) -> Column:
-    """An array of ``size`` values from (slot, value), as a scalar subquery; a slot without a row has 0."""
-    all_slots = rows.sparkSession.range(size).select(F.col("id").alias("slot")).join(rows, "slot", "left")
-    packed = all_slots.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("value", F.lit(0).cast("long")).alias("value")))).alias("a"))
-    return packed.select(F.transform("a", lambda s: s["value"])).scalar()
-
-
-def _rarity(rows: DataFrame) -> Column:
-    """For each hash bucket the class of its count over all lines: four classes for each doubling."""
-    words = rows.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("slot")).agg(F.count("*").alias("n"))
-    return _dense(cut(counts.select("slot", F.least(F.floor(F.log2("n") * 4), F.lit(250)).cast("long").alias("value")), "rarity"), BUCKETS)
+def _hashes(line: Column) -> Column:
+    """The distinct words of a line as hashes, ascending."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(_spaced(line), " "), ""), lambda w: F.xxhash64(w))))
 
 
-def _with_keys(lines: DataFrame, rarity: Column) -> DataFrame:
-    """``keys``: the distinct words of ``line`` as longs in global order, rare ones first."""
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rare = F.element_at("__rarity", (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"))
-        return F.call_function("shiftleft", rare, F.lit(55)).bitwiseOR(F.shiftrightunsigned(h, 9))
+def _parity(words: Column) -> Column:
+    """A long whose bits say of each of 64 hash classes whether an odd number of words is in it."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
-    words = F.array_remove(F.split(_spaced(F.col("line")), " "), "")
-    # the array joins each row only as an operand: the two projections become one
-    return lines.withColumn("__rarity", rarity).withColumn("keys", F.sort_array(F.array_distinct(F.transform(words, key)))).drop("__rarity", "line")
 
+def _rarity(lines: DataFrame) -> tuple[Column, int]:
+    """For each hash bucket the class of its count over all lines, four classes for each doubling; and the number of buckets."""
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    buckets = min(BUCKETS, max(1 << 12, 1 << (total // 64).bit_length()))
+    words = lines.select(F.explode("words").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(F.lit(buckets - 1)).alias("slot")).agg(F.count("*").alias("n"))
+    return dense(cut(counts.select("slot", F.least(F.floor(F.log2("n") * 4), F.lit(250)).cast("long").alias("value")), "rarity"), buckets), buckets
 
-def _salt(word: Column, *line: str) -> Column:
-    """Which part of a word's lines a line is in: a word of n lines has about n / 2 ** 14 parts.
 
-    A key's head has the class of a count that is no less than its lines.
-    """
-    parts = F.pow(F.lit(2.0), F.greatest(F.floor(F.shiftrightunsigned(word, 55) / 4) - 14, F.lit(0))).cast("long")
-    return F.pmod(F.xxhash64(*line), parts)
+def _ordered(words: Column, rarity: Column, buckets: int) -> Column:
+    """Word hashes as longs in global order: the bucket's class, then the hash but for its last bits."""
+    return F.sort_array(F.transform(words, lambda h: F.call_function("shiftleft", F.element_at(rarity, (h.bitwiseAND(F.lit(buckets - 1)) + 1).cast("int")), F.lit(55)).bitwiseOR(F.shiftrightunsigned(h, 9))))
 
 
 def _prefix(n: Column) -> Column:
@@ -93,108 +86,117 @@ def _needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * SIMILAR / F.lit(100.0 + SIMILAR))
 
 
-def _id_slot(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(ID_BITS))
-
-
-def _among(ids: DataFrame, doc_id: Column) -> Column:
-    """Whether a doc_id may be in ``ids``: a bit array of fixed size that spares shuffling other texts."""
-    slot = _id_slot(F.col("doc_id"))
-    words = ids.select(F.shiftright(slot, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
-    bits = _dense(cut(words.groupBy("slot").agg(F.bit_or("bit").alias("value")), "bits"), ID_BITS // 64)
-    mine = _id_slot(doc_id)
-    return F.call_function("getbit", F.element_at(bits, (F.shiftright(mine, 6) + 1).cast("int")), (mine % 64).cast("int")) == 1
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, rarity: Column) -> DataFrame:
-    """Those of ``pairs`` (a_doc, a_line, b_doc, b_line) whose lines' sets are similar."""
-    ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line"))
-    wanted = cut(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "wanted")
-    texts = docs.where(_among(wanted, F.col("doc_id"))).join(wanted, "doc_id")
-    lines = texts.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"), "wanted").where(F.array_contains("wanted", F.col("line_no")))
-    # rows of one doc_id may differ in text: all their lines of that number are tried
-    sets = cut(_with_keys(lines.drop("wanted"), rarity), "sets")
-    a, b = (sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("keys").alias(f"{s}_keys")) for s in "ab")
-    both = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
-    shared, n, m = F.size(F.array_intersect("a_keys", "b_keys")), F.size("a_keys"), F.size("b_keys")
-    return both.where(100 * shared >= SIMILAR * (n + m - shared)).select("b_doc", "b_line", F.xxhash64("b_keys").alias("set"))
-
-
-def _parity(keys: Column) -> Column:
-    """A long whose bits say of each of 64 hash classes whether an odd number of words is in it."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (k.bitwiseAND(F.lit(63).cast("long"))).cast("int"))))
-
-
-def _able(a: str, b: str) -> Column:
+def _able(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Whether the sets of two lines that share a word of their prefixes may be similar.
 
     By length; by place, as no shared word precedes a first one; and by parity, as
     each word that only one of them has changes one bit at most.
     """
-    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    n, m = a["n"], b["n"]
     need = _needed(n, m)
     close = 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
-    placed = F.least(n - F.col(f"{a}_at"), m - F.col(f"{b}_at")) >= need
-    return close & placed & (F.bit_count(F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig"))) <= n + m - 2 * need)
+    placed = F.least(n - a["at"], m - b["at"]) >= need
+    return close & placed & (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= n + m - 2 * need)
 
 
-def _earlier(a: str, b: str) -> Column:
-    return (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (F.col(f"{a}_line") < F.col(f"{b}_line")))
+_PLACE, _SET = ("doc", "line"), ("set", "sig")
+_ENTRY = (*_SET, "n", "at")
+_PAIR = [f"{s}_{c}" for s in "ab" for c in _SET]
 
 
-def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, set): the lines to remove from ``docs`` (doc_id, text), by place and by the set's hash.
+def _before(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """An order of sets, so that each pair comes once."""
+    return (a["set"] < b["set"]) | ((a["set"] == b["set"]) & (a["sig"] < b["sig"]))
 
-    ``short``: repeats of the sets of fewer than ``MIN_WORDS`` words too.
-    """
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rarity = _rarity(rows)
-    keyed = rows.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
-    keyed = _with_keys(keyed, rarity)
-    n = F.size("keys")
-    lines = cut(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set"), F.xxhash64(F.lit(1), "keys").alias("set2"), n.alias("n"), _parity(F.col("keys")).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix")), "lines").where(F.col("n") >= (1 if short else MIN_WORDS))
-
-    # lines of one set: the earliest stands for all
-    firsts = cut(lines.groupBy("set", "set2").agg(F.min(F.struct("doc_id", "line_no", "n", "sig", "prefix")).alias("first")), "firsts")
-    repeats = lines.select("doc_id", "line_no", "set", "set2").join(firsts.select("set", "set2", "first.doc_id", "first.line_no").toDF("set", "set2", "f_doc", "f_line"), ["set", "set2"])
-    repeats = repeats.where((F.col("f_doc") < F.col("doc_id")) | ((F.col("f_doc") == F.col("doc_id")) & (F.col("f_line") < F.col("line_no")))).select("doc_id", "line_no", "set")
-
-    entries = firsts.where(F.col("first.n") >= MIN_WORDS).select(F.col("first.doc_id").alias("b_doc"), F.col("first.line_no").alias("b_line"), F.col("first.n").alias("b_n"), F.col("first.sig").alias("b_sig"), F.posexplode("first.prefix").alias("b_at", "word"))
-    fields = ("doc", "line", "n", "at", "sig")
-    # a word's lines in parts of bounded size, each with its earliest
+
+def _neighbours(entries: DataFrame) -> DataFrame:
+    """Pairs of each line with its word's earliest and with the lines shortly before it; a word of many lines is taken in parts of about 2 ** 14."""
     part = Window.partitionBy("word", "salt")
-    entries = entries.withColumn("salt", _salt(F.col("word"), "b_doc", "b_line"))
-    lead = entries.withColumn("size", F.count("*").over(part)).withColumn("a", F.min(F.struct("b_doc", "b_line", "b_n", "b_at", "b_sig")).over(part))
-    lead = lead.where((F.col("size") > 1) | (F.shiftrightunsigned("word", 55) >= 60))
-    shared = cut(lead.select("word", *(F.col(f"b_{c}") for c in fields), *(F.col(f"a.b_{c}").alias(f"a_{c}") for c in fields)), "entries")
-    pair = ["a_doc", "a_line", "b_doc", "b_line"]
-
-    # one comparison for each word with its earliest line
-    tried = cut(shared.where(_able("a", "b") & _earlier("a", "b")).select(*pair).distinct(), "pairs")
-    near = cut(_verified(tried, rows, rarity), "near")
-    # what that leaves, with all earlier lines of its words
-    found = near.select("b_doc", "b_line").distinct()
-    left = shared.select("word", *(f"b_{c}" for c in fields)).join(found, ["b_doc", "b_line"], "left_anti")
-    others = shared.select("word", *(F.col(f"b_{c}").alias(f"a_{c}") for c in fields))
-    rest = left.join(others, "word").where(_able("a", "b") & _earlier("a", "b")).select(*pair).distinct()
-    near = near.unionByName(_verified(cut(rest.join(tried, pair, "left_anti"), "pairs"), rows, rarity))
+    order = part.orderBy(*_PLACE, "set")
+    me = F.struct(*_ENTRY)
+    placed = entries.withColumn("salt", F.pmod(F.xxhash64("set"), F.shiftright("lines", 14) + 1)).withColumn("with0", F.first(me).over(order))
+    placed = placed.withColumns({f"with{k}": F.lag(me, k).over(order) for k in range(1, NEAR + 1)})
+    x = {c: F.col(c) for c in _ENTRY}
+    others = [{c: F.col(f"with{k}.{c}") for c in _ENTRY} for k in range(NEAR + 1)]
+    good = [F.coalesce(_able(x, y) & (_before(x, y) | _before(y, x)), F.lit(False)) for y in others]
+    pairs = placed.select(F.struct(*_SET).alias("x"), F.explode(F.array_compact(F.array(*(F.when(g, F.struct(*(y[c].alias(c) for c in _SET))) for g, y in zip(good, others, strict=True))))).alias("y"))
+    x, y = ({c: F.col(f"{s}.{c}") for c in _SET} for s in "xy")
+    low = lambda c: F.when(_before(x, y), x[c]).otherwise(y[c])
+    high = lambda c: F.when(_before(x, y), y[c]).otherwise(x[c])
+    return pairs.select(*(low(c).alias(f"a_{c}") for c in _SET), *(high(c).alias(f"b_{c}") for c in _SET)).distinct()
+
+
+def _sharing(firsts: DataFrame) -> DataFrame:
+    """Pairs that share a prefix word, not both ``gone``."""
+    numbers = lambda at: F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(F.call_function("shiftleft", at.cast("long"), F.lit(1))).bitwiseOR(F.col("gone").cast("long"))
+    entries = firsts.select(*_SET, "n", "gone", F.posexplode("prefix").alias("at", "word")).select("word", *_SET, numbers(F.col("at")).alias("numbers"))
+    entries = entries.repartition("word")
+    sides, cols = [], []
+    for s in "ab":
+        sides.append(entries.select(F.col("word").alias(f"{s}_word"), *(F.col(c).alias(f"{s}_{c}") for c in (*_SET, "numbers"))))
+        packed = F.col(f"{s}_numbers")
+        cols.append({c: F.col(f"{s}_{c}") for c in _SET} | {"n": F.shiftright(packed, 32).cast("int"), "at": F.shiftright(packed.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int"), "gone": packed.bitwiseAND(F.lit(1))})
+    a, b = cols
+    both = sides[0].join(sides[1], F.col("a_word") == F.col("b_word")).where(_before(a, b) & (a["gone"] + b["gone"] < 2) & _able(a, b))
+    return both.select(*_PAIR).distinct()
+
+
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, line, set, sig) of the later set's earliest line, for those ``pairs`` whose sets are similar."""
+    wanted = cut(pairs.select(F.col("a_set").alias("set")).union(pairs.select("b_set")).distinct(), "wanted")
+    sets = cut(lines.where(among(wanted, F.col("set"))).groupBy(*_SET).agg(F.first("words").alias("words"), F.min(F.struct(*_PLACE)).alias("place")), "sets")
+    both = pairs
+    for s in "ab":
+        both = both.join(sets.select(*(F.col(c).alias(f"{s}_{c}") for c in (*_SET, "words", "place"))), [f"{s}_{c}" for c in _SET])
+    shared, n, m = F.size(F.array_intersect("a_words", "b_words")), F.size("a_words"), F.size("b_words")
+    both = both.where((100 * shared >= SIMILAR * (n + m - shared)) & (F.col("a_place") != F.col("b_place")))
+    later = lambda c: F.when(F.col("a_place") < F.col("b_place"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
+    return both.select(later("place"), *(later(c) for c in _SET)).select("place.*", *_SET).distinct()
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, set): the lines to remove from ``docs`` (doc_id, text), by place and by the set's hash."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(_lines(F.col("text").cast("string"))).alias("line", "x"))
+    lines = rows.select("doc", "line", _hashes(F.col("x")).alias("words")).where(F.size("words") > 0)
+    lines = cut(lines.select("doc", "line", F.xxhash64("words").alias("set"), _parity(F.col("words")).alias("sig"), F.size("words").alias("n"), "words"), "lines")
+
+    # lines of one set: the earliest stands for all; the array joins each row only as an operand, so the two projections become one
+    rarity, buckets = _rarity(lines)
+    prefix = F.when(F.col("n") >= LEAST, F.slice(_ordered(F.col("words"), F.col("rarity"), buckets), 1, _prefix(F.col("n"))))
+    firsts = lines.withColumn("rarity", rarity).select(*_SET, "n", "doc", "line", prefix.alias("prefix")).groupBy(*_SET, "n").agg(F.count("*").alias("copies"), F.min(F.struct(*_PLACE)).alias("p"), F.first("prefix").alias("prefix"))
+    firsts = cut(firsts.select(*_SET, "n", "copies", "p.*", "prefix"), "firsts")
+    several = cut(firsts.where("copies > 1").select(*_SET, *(F.col(c).alias(f"f_{c}") for c in _PLACE)), "several")
+    repeats = lines.where(among(several, F.col("set"))).select(*_PLACE, *_SET).join(several, list(_SET))
+    repeats = repeats.where((F.col("f_doc") < F.col("doc")) | ((F.col("f_doc") == F.col("doc")) & (F.col("f_line") < F.col("line")))).select(*_PLACE, *_SET)
+
+    firsts = firsts.where(F.col("n") >= LEAST)
+    entries = firsts.select(*_PLACE, *_SET, "n", F.posexplode("prefix").alias("at", "word"))
+    many = cut(entries.groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > FEW), "many")
+    tried = cut(_neighbours(entries.where(among(many, F.col("word"))).join(many, "word")), "pairs")
+    near = cut(_verified(tried, lines), "near")
+    gone = near.select(*_SET).distinct().withColumn("gone", F.lit(True))
+    maybe = among(near.select("set"), F.col("set"))
+    marked = firsts.where(maybe).join(gone, list(_SET), "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    marked = marked.unionByName(firsts.where(~maybe).withColumn("gone", F.lit(False)))
+    more = _verified(cut(_sharing(marked).join(tried, _PAIR, "left_anti"), "pairs"), lines)
     # a set's later copies are gone already as repeats
-    return repeats.union(near.select("b_doc", "b_line", "set")).distinct()
+    return repeats.unionByName(near).unionByName(more).select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no"), "set").distinct()
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``; other columns as they were.
 
-    A document that loses all its lines goes as a whole.
+    A document that loses all its lines with words goes as a whole.
     """
-    lost = cut(removed_lines(docs, short=True).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "set")).alias("__lost")).withColumnRenamed("doc_id", "__id"), "lost")
+    lost = cut(removed_lines(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "set")).alias("__lost")).withColumnRenamed("doc_id", "__id"), "lost")
     names = docs.columns
     place, text = names.index("doc_id"), names.index("text")
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
     doc_id, body = F.col(f"c{place}").cast("long"), F.col(f"c{text}").cast("string")
-    hit = F.coalesce(_among(lost.select(F.col("__id").alias("doc_id")), doc_id), F.lit(False))
+    hit = among(lost, doc_id)
     touched = rows.where(hit).join(lost, doc_id == F.col("__id"), "left")
-    stays = F.filter(F.transform(_lines(body), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.transform("__lost", lambda y: y["line_no"]), s["i"]))
+    # rows of one doc_id may differ in text, so a line goes by its number and its set
+    stays = F.filter(F.transform(_lines(body), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("__lost", F.struct(s["i"].alias("line_no"), F.xxhash64(_hashes(s["x"])).alias("set"))))
     kept = F.array_join(F.transform(stays, lambda s: s["x"]), "\n")
     touched = touched.withColumn("__kept", F.when(F.col("__lost").isNull(), body).otherwise(kept)).where(F.col("__lost").isNull() | F.col("__kept").rlike("[^\\x20\\x09-\\x0D]"))
     touched = touched.select(*(F.col("__kept").alias(f"c{i}") if i == text else F.col(f"c{i}") for i in range(len(names))))

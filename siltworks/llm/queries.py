@@ -109,7 +109,7 @@ WITH doc_lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documen
 numbered AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM doc_lines),
 sets AS (
   SELECT doc_id, line_no::INTEGER AS line_no, list_distinct(regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+')) AS s FROM numbered),
-kept AS (SELECT doc_id, line_no, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) >= 5),
+kept AS (SELECT doc_id, line_no, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) >= 1),
 firsts AS (SELECT s, n, min({'d': doc_id, 'l': line_no}) AS f FROM kept GROUP BY s, n),
 repeats AS (SELECT k.doc_id, k.line_no FROM kept k JOIN firsts f USING (s) WHERE (f.f.d, f.f.l) < (k.doc_id, k.line_no)),
 words AS (SELECT f, n, unnest(s) AS w FROM firsts),
