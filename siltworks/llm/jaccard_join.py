@@ -6,20 +6,28 @@ more; the result has each document's component.
 
 Shingles have one global order: those that surely occur in one document only come
 first, then others by estimated frequency, then by hash.  Both come from one
-pass over all shingles into tables of fixed size (a bitmap of what may occur
-twice, and counts by hash bucket).  With a prefix of ``n - ceil(t n) + l`` shingles,
-linked documents share at least the smaller ``l`` of their prefixes.  Each document
-takes the ``l`` of least cost, up to ``MOST`` and to ``ceil(t n)``: its entries plus the candidates, by
-the shingles' estimated frequencies over ``l``.  Shingles of one document only are
-counted in the prefix but never sent.
+pass over all shingles into a bitmap of what may occur twice, sized by the number
+of shingles up to a bound, and counts by hash bucket.  With a prefix of
+``n - ceil(t n) + l`` shingles, linked documents share at least the smaller ``l`` of
+their prefixes.  Each document takes the ``l``, up to its least intersection, of
+least cost: ``ENTRY_COST`` for each entry it sends, ``TEST_COST`` for each pair that
+shares one, by the shingles' estimated frequencies, and those pairs over ``l`` for
+verifying; so documents of frequent shingles get longer prefixes.  Shingles of one document only are counted in the prefix but
+never sent.
 
 1. Documents of one set are one node.
-2. Of each prefix shingle, all documents are compared with the one of the fewest
-   shingles of its own; links found this way are joined to components.  A group of
-   near copies takes one comparison a document here.
-3. Pairs of different components that share enough prefix shingles, and whose
-   lengths and places in the order allow the overlap, are compared; no pair that
-   could join components is left out, so components are exact.
+2. Of each prefix shingle, all documents are compared with one leader, that of the
+   fewest shingles of its own; links found this way are joined to components.  A
+   group of near copies takes one comparison a document here.  While many pairs of
+   different components are left, further rounds compare the others with a
+   changing leader from the shingle's largest component.
+3. Pairs of different components are compared; no pair that could join components
+   is left out, so components are exact.
+
+A pair is verified only if it shares ``l`` prefix shingles, and if lengths, places
+in the order and the sets' parity sketches (each shingle in one set only changes
+one of ``SKETCH`` bits at most) allow the overlap.  The join of step 3 tests these,
+so of a group of near copies whose members don't link it emits no pairs.
 
 Sets are compared by full 64-bit shingle hashes.  Steps are aggregations and
 equi-joins that combine before they shuffle and may be split by Spark.
@@ -36,13 +44,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Words, batch, block_rows, cut, id_bitmap, merge_blocks, mix, signed, slices, split_by_ids, window_hash, word_sums
+from .common import Bitmap, Words, batch, bitmap_bits, block_rows, cut, merge_blocks, mix, signed, slices, split_by_ids, window_hash, word_sums
 
-SHINGLE, SIMILAR, MOST = 5, 75, 4
-BITMAP_BITS = 28
+SHINGLE, SIMILAR = 5, 75
+#: What sending a prefix shingle, and testing one pair that shares it, cost in verified pairs.
+ENTRY_COST, TEST_COST = 8.0, 1.0
+#: Bits of a set's parity sketch.
+SKETCH = 1024
+#: Another round of leaders is worth its while above so many pairs a row, and as long as rounds settle that share of them.
+PAIRS_A_ROW, SETTLED = 64, 0.2
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -70,40 +84,49 @@ def _sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield from zip(range(i, j), shingle_sets(texts), strict=True)
 
 
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """For each of SKETCH hash classes whether the set has an odd number of shingles in it, as longs."""
+    odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+_SIGNATURE = "doc_id long, n long, node long, sketch array<long>"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64()))])
     for b in batches:
-        found = [(len(s), _node(s)) for _, s in _sets(b)]
-        yield batch(schema, b.column(0), [x[0] for x in found], [x[1] for x in found])
+        found = [(len(s), _node(s), _sketch(s)) for _, s in _sets(b)]
+        yield batch(schema, b.column(0), *([x[k] for x in found] for k in range(3)))
 
 
-def _twice(rows: DataFrame) -> Bitmap:
+def _twice(rows: DataFrame, bits: int) -> Bitmap:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return block_rows((s for b in batches for _, s in _sets(b)), BITMAP_BITS)
+        return block_rows((s for b in batches for _, s in _sets(b)), bits)
 
-    return merge_blocks(rows.mapInArrow(run, "block int, positions binary"), BITMAP_BITS, 2)
+    return merge_blocks(rows.mapInArrow(run, "block int, positions binary"), bits, 2)
 
 
 def choose_prefix(flag: np.ndarray, cost: np.ndarray) -> tuple[int, int]:
     """(l, prefix length) for shingles in global order: whether each may have partners, and its estimated candidates."""
     n = len(flag)
     base = n - -(-SIMILAR * n // 100)
-    entries, candidates = np.cumsum(flag), np.cumsum(np.where(flag, cost, 0))
     # a prefix can't be asked for more shared shingles than its set's least intersection
-    best = min(range(1, min(MOST, n - base) + 1), key=lambda m: (entries[min(base + m, n) - 1] + candidates[min(base + m, n) - 1] / m, m))
-    return best, min(base + best, n)
+    l = np.arange(1, n - base + 1)
+    entries, candidates = np.cumsum(flag)[base:], np.cumsum(np.where(flag, cost, 0))[base:]
+    best = int(np.argmin(ENTRY_COST * entries + candidates * (TEST_COST + 1 / l))) + 1
+    return best, base + best
 
 
-def _entries(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
+def _entries(rows: DataFrame, shared: Broadcast[Bitmap]) -> DataFrame:
     """(shingle, node, n, at, l, own): the prefixes' shingles that may have partners."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    usual = max(1, int(bitmap.counts.mean()))
+    usual = max(1, int(shared.value.counts.mean()))
     schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("l", pa.int32()), ("own", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
         for b in batches:
-            held = [[] for _ in schema]
+            held, n_held = [[] for _ in schema], 0
             for _, s in _sets(b):
                 if not len(s):
                     continue
@@ -117,6 +140,10 @@ def _entries(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
                 fixed = (_node(s), len(s), m, len(s) - int(flag.sum()))
                 for k, x in enumerate((signed(s[order][at]), fixed[0], fixed[1], at, fixed[2], fixed[3])):
                     held[k].append(x if isinstance(x, np.ndarray) else np.full(len(at), x, np.int64))
+                n_held += len(at)
+                if n_held >= 1 << 17:
+                    yield batch(schema, *(np.concatenate(x) for x in held))
+                    held, n_held = [[] for _ in schema], 0
             if held[0]:
                 yield batch(schema, *(np.concatenate(x) for x in held))
 
@@ -128,11 +155,36 @@ def _needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * SIMILAR / F.lit(100.0 + SIMILAR))
 
 
+def _close(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """Whether the sizes and sketches of two sets allow a link."""
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (differ <= n + m - 2 * _needed(n, m))
+
+
+def _able(a: str, b: str) -> Column:
+    """Whether two sets that share a prefix shingle may link, by sizes and by what can follow it: at most ``l`` - 1 shared ones stand before."""
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    rest = F.least(n - F.col(f"{a}_at"), m - F.col(f"{b}_at")) - 1
+    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (F.least(f"{a}_l", f"{b}_l") + rest >= _needed(n, m))
+
+
+def _sharing(pairs: DataFrame, entries: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches are close and that share ``l`` prefix shingles."""
+    for s in "ab":
+        pairs = pairs.join(sketches.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch")), s)
+    near = pairs.where(_close(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"))).select("a", "b")
+    near = cut(near, "near")
+    for s in "ab":
+        own = entries.select(F.col("node").alias(s), "shingle", F.col("l").alias(f"{s}_l"))
+        near = near.join(own, s if s == "a" else ["b", "shingle"])
+    return near.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("a_l", "b_l")).alias("least")).where("shared >= least").select("a", "b")
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, signature: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) that link."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = cut(signature.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "node"), "chosen")
-    near, _ = split_by_ids(rows, "doc_id", id_bitmap(chosen))
+    near, _ = split_by_ids(rows, "doc_id", chosen)
     texts = near.join(chosen, "doc_id").select("node", "text")
     out = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
 
@@ -150,6 +202,31 @@ def _linked(pairs: DataFrame, rows: DataFrame, signature: DataFrame) -> DataFram
     return both.where(100 * shared >= SIMILAR * (n + m - shared)).select("a", "b")
 
 
+def _leader_pairs(open_: DataFrame, no: int) -> DataFrame:
+    """(a, b): each row's node with the leader of its shingle, where they are of different components.
+
+    The leader is of the component with most rows: in round 0 the node with fewest
+    shingles of its own, later one by a hash of the round.
+    """
+    fields = ["node", "n", "at", "l"]
+    order = F.col("own").cast("long") if no == 0 else F.xxhash64("node", F.lit(no))
+    by_label = open_.groupBy("shingle", "label").agg(F.count("*").alias("rows"), F.min(F.struct(order.alias("order"), *fields)).alias("x"))
+    lead = by_label.groupBy("shingle").agg(F.min(F.struct(-F.col("rows"), "x", "label")).alias("x")).select("shingle", F.col("x.label").alias("b_label"), *(F.col(f"x.x.{f}").alias(f"b_{f}") for f in fields))
+    both = open_.select("shingle", F.col("label").alias("a_label"), *(F.col(f).alias(f"a_{f}") for f in fields)).join(lead, "shingle")
+    both = both.where((F.col("a_label") != F.col("b_label")) & _able("a", "b"))
+    return both.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def _still_open(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows of shingles that nodes of different components share, labelled; their number, and that of pairs of different components."""
+    named = entries.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    many = named.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
+    open_ = cut(named.join(many, "shingle", "left_semi"), "open")
+    by_shingle = open_.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    got = by_shingle.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("same")) / 2.0)).first()
+    return open_, got[0] or 0, got[1] or 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each component of ``edges`` (a, b); nodes without edges are left out.
 
@@ -170,39 +247,46 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signature = cut(rows.mapInArrow(_signatures, "doc_id long, n long, node long"), "signatures")
+    signature = cut(rows.mapInArrow(_signatures, _SIGNATURE), "signatures")
     known = rows.where(F.col("doc_id").isNotNull())
     alive = signature.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-
-    entries = _entries(known, _twice(known))
-    leaders = entries.groupBy("shingle").agg(F.count("*").alias("size"), F.min(F.struct("own", "node", "n")).alias("lead")).where("size > 1")
-    entries = cut(entries.join(leaders, "shingle").select("shingle", "node", "n", "at", "l", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "entries")
-    close = 100 * F.least("n", "lead_n") >= SIMILAR * F.greatest("n", "lead_n")
-    tried = cut(entries.where((F.col("lead") != F.col("node")) & close).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "tried")
-    links = cut(_linked(tried, known, alive), "links")
-    labels = components(links)
+    sketches = alive.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
+    seen = docs.sparkSession.sparkContext.broadcast(_twice(known, bitmap_bits(alive.agg(F.sum("n")).first()[0] or 0)))
+    entries = _entries(known, seen)
+    several = entries.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1").select("shingle")
+    entries = cut(entries.join(several, "shingle", "left_semi").withColumn("label", F.col("node")), "entries")
+    seen.destroy()  # of at most 2 ** MOST_BITS bits; its table is written
+    open_, links, tried, left, no = entries, None, None, None, 0
+    while True:
+        pairs = cut(_leader_pairs(open_, no), "pairs")
+        new = pairs if tried is None else cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = new if tried is None else tried.unionByName(new)
+        found = cut(_linked(cut(_sharing(new, entries, sketches), "sharing"), known, alive), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        open_, n_rows, n_pairs = _still_open(open_, labels)
+        if n_pairs <= PAIRS_A_ROW * n_rows or (left is not None and n_pairs > (1 - SETTLED) * left):
+            break
+        left, no = n_pairs, no + 1
 
     # pairs that could still join two components
-    named = entries.select("shingle", "node", "n", "at", "l").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = named.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
-    named = cut(named.join(open_, "shingle", "left_semi"), "open")
-    a, b = (named.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "at", "l", "label"))) for s in "ab")
-    fewer = F.least("a_l", "b_l")
-    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
-    able = (100 * F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n")) & (fewer + rest >= _needed(F.col("a_n"), F.col("b_n")))
+    drawn = cut(open_.join(sketches.select("node", "sketch"), "node"), "open")
+    a, b = (drawn.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "at", "l", "label", "sketch"))) for s in "ab")
+    able = _able("a", "b") & _close(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"))
     pairs = a.join(b, "shingle").where((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & able)
-    pairs = pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("shared"), F.min(fewer).alias("least")).where("shared >= least").select("a", "b")
+    pairs = pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("a_l", "b_l")).alias("least")).where("shared >= least").select("a", "b")
     more = _linked(cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), known, alive)
 
     # rows of one doc_id are one document
     same = alive.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("doc_id", "a")
-    same = alive.join(same, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
+    same = alive.select("doc_id", "node").join(same, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
     labels = components(links.unionByName(more).unionByName(same))
-    placed = alive.join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    placed = alive.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     first = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     # by document, as a document without words may have another row with some
     of_doc = placed.join(first, "label").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = signature.join(of_doc, "doc_id", "left")
+    out = signature.select("doc_id", "n").join(of_doc, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -215,7 +299,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     names = docs.columns
     place, text = names.index("doc_id"), names.index("text")
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    touched, rest = split_by_ids(plain.withColumn(f"c{place}", F.col(f"c{place}").cast("long")), f"c{place}", id_bitmap(work))
+    touched, rest = split_by_ids(plain.withColumn(f"c{place}", F.col(f"c{place}").cast("long")), f"c{place}", work)
     touched = touched.join(work, F.col(f"c{place}") == F.col("__id"), "left").where(F.coalesce("__gone", F.lit(False)) == F.lit(False))
     once = touched.withColumn("__no", F.row_number().over(Window.partitionBy(f"c{place}").orderBy(f"c{text}"))).where("__no = 1")
     return once.select(*plain.columns).unionByName(rest).toDF(*names)

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from siltworks.llm import jaccard_join, line_dedup, substring_dedup
+from siltworks.llm import common, jaccard_join, line_dedup, substring_dedup
 from siltworks.llm.queries import QUERIES
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -53,9 +53,71 @@ def test_components_of_odd_rows(docs):
     assert jaccard_join.near_duplicates(docs([(1, "a")]).limit(0)).count() == 0
 
 
+def short_and_long_rows():
+    """7- and 8-word texts that link, their copies, and longer texts that share their shingles and sort first."""
+    r, out = random.Random(9), []
+    for _ in range(12):
+        w = [r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(8)]
+        more = " ".join(r.choice(WORDS) for _ in range(30))
+        out += [" ".join(w[:7])] * 6 + [" ".join(w)] * 6 + [" ".join(w) + " " + more] * 3 + [" ".join(w[1:]) + " " + " ".join(r.choice(WORDS) for _ in range(12)) for _ in range(30)]
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_links_of_short_texts_stay(docs):
+    rows = short_and_long_rows()
+    assert sorted(tuple(r) for r in jaccard_join.near_duplicates(docs(rows)).collect()) == sorted(brute.components(rows))
+
+
+def test_near_copies_that_do_not_link_with_their_leader(docs, monkeypatch):
+    """A group with up to six edits each: some link with few others only, which takes several rounds and the pair join."""
+    r = random.Random(11)
+    base = [f"{x}{i}" for i, x in enumerate(r.choice(WORDS) for _ in range(150))]
+    rows = []
+    for d in range(250):
+        w = list(base)
+        for at in r.sample(range(15), r.randint(1, 6)):
+            w[at * 10] = r.choice("abc") + str(at)
+        rows.append((d, " ".join(w)))
+    rounds, pairs = [], jaccard_join._leader_pairs
+    monkeypatch.setattr(jaccard_join, "_leader_pairs", lambda open_, no: rounds.append(no) or pairs(open_, no))
+    got = sorted(tuple(x) for x in jaccard_join.near_duplicates(docs(rows)).collect())
+    assert got == sorted(brute.components(rows)) and len(rounds) > 1 and len({x[2] for x in got}) > 3
+
+
+def thue_morse(n=10):
+    """A word of 2 ** n letters and its complement, which collide under polynomial hashes modulo a power of two."""
+    t = "a"
+    for _ in range(n):
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+def test_words_that_collide_under_polynomial_hashes(docs):
+    t, c = thue_morse()
+    tail = " ".join(WORDS[:60])
+    rows = [(1, f"p q {t} r s"), (2, f"p q {c} r s"), (3, f"{t} {tail}"), (4, f"{c} {tail}"), (5, f"{t} " + " ".join(WORDS[100:149])), (6, f"{c} " + " ".join(WORDS[100:149]))]
+    assert sorted(tuple(r) for r in jaccard_join.near_duplicates(docs(rows)).collect()) == sorted(brute.components(rows))
+    assert digest(substring_dedup.remove_repeats(docs(rows))) == sorted(brute.without_repeats(rows), key=str)
+
+
+def test_equal_spans_are_equal_bytes(monkeypatch):
+    texts = [b"aa b aa " + b"x" * 20 + b" b " + b"y" * 20]
+    w = common.Words(texts)
+    expected = [0, 1, 0, 2, 1, 3]
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(common, "hash_spans", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        at, back = common.distinct_spans(w.raw, w.starts, w.ends)
+        word = lambda i: w.raw[w.starts[i] : w.ends[i]].tobytes()
+        assert [word(at[b]) for b in back] == [word(i) for i in range(6)] and len(at) == 4
+        assert (back[:, None] == back).tolist() == (np.array(expected)[:, None] == np.array(expected)).tolist()
+
+
 @pytest.mark.parametrize("n", range(1, 12))
-def test_prefixes_ask_for_no_more_than_a_link_shares(n):
-    flag, cost = np.ones(n, bool), np.full(n, 1000)
+@pytest.mark.parametrize("frequent", [1, 100000])
+def test_prefixes_ask_for_no_more_than_a_link_shares(n, frequent):
+    flag, cost = np.ones(n, bool), np.full(n, frequent)
     l, length = jaccard_join.choose_prefix(flag, cost)
     least = -(-jaccard_join.SIMILAR * n // 100)
     assert l <= least and length == n - least + l
@@ -107,7 +169,7 @@ def similar_lines(rows):
     for d, t in rows:
         if d is not None and t is not None:
             lines += [(d, i, frozenset(brute.words(x.lower()))) for i, x in enumerate(t.split("\n"))]
-    lines = sorted(((d, i, s) for d, i, s in lines if len(s) >= line_dedup.MIN_WORDS), key=lambda x: x[:2])
+    lines = sorted(((d, i, s) for d, i, s in lines if s), key=lambda x: x[:2])
     return {(d, i) for d, i, s in lines for e, j, z in lines if (e, j) < (d, i) and 100 * len(s & z) >= line_dedup.SIMILAR * len(s | z)}
 
 
@@ -145,4 +207,16 @@ def test_repeats_of_short_lines_go(docs):
     df = docs([(1, "all rights reserved\none two three four"), (2, "All rights reserved\none two three five\n\nall rights reserved"), (3, "all rights reserved"), (None, "all rights reserved")])
     out = {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()}
     assert out == {1: "all rights reserved\none two three four", 2: "one two three five\n", None: "all rights reserved"}
-    assert line_dedup.removed_lines(df).count() == 0
+    assert sorted((r.doc_id, r.line_no) for r in line_dedup.removed_lines(df).collect()) == [(2, 0), (2, 3), (3, 0)]
+
+
+def test_lines_go_by_their_own_text(docs):
+    """Rows of one doc_id with other texts, a long line, many lines of one rare word."""
+    long = " ".join(f"w{i}" for i in range(6000))
+    rows = [(1, "p q r"), (2, "p q r\nx"), (2, "keep me\nx"), (3, long), (4, long + " end"), (4, long + " end")]
+    rows += [(10 + i, " ".join(["rare", *(f"v{(i * 7 + k) % 40}" for k in range(12 + i % 9))])) for i in range(90)]
+    out = sorted((r.doc_id, r.text) for r in line_dedup.drop_lines(docs(rows)).collect())
+    gone = similar_lines(rows)
+    assert {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(docs(rows)).collect()} == gone
+    assert [t for d, t in out if d == 2] == ["keep me", "x"] or [t for d, t in out if d == 2] == ["keep me\nx", "x"]
+    assert not {4} & {d for d, _ in out}
