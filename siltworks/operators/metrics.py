@@ -97,19 +97,19 @@ def _tempered(t: float) -> Column:
     return at_temperature(F.col("p"), t)
 
 
-def label_retrieval(neighbours: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
-    """By k: P@k, nDCG@k (ideal from what was retrieved), recall over min(R, k), F1, and accuracy of the majority vote.
+def label_retrieval(neighbours: DataFrame, labels: DataFrame, index: DataFrame, ks: list[int]) -> DataFrame:
+    """By k: P@k, nDCG@k (ideal from what was retrieved), recall over min(R, k) with R relevant rows in the index, F1, and accuracy of the majority vote.
 
-    Votes: most rows first, then the label whose best rank is smallest.  ``labels`` is (id, y).
+    Votes: most rows first, then the label whose best rank is smallest.  ``labels`` is (id, y) of queries and index, ``index`` that of the index alone.
     """
     n = neighbours.join(labels.toDF("idx_id", "y"), "idx_id").join(labels.toDF("query_id", "qy"), "query_id")
-    total = labels.toDF("id", "qy").join(neighbours.select(F.col("idx_id").alias("id")).distinct(), "id", "left_semi").groupBy("qy").agg(F.count("*").alias("r"))
+    total = index.toDF("id", "qy").groupBy("qy").agg(F.count("*").alias("r"))
     at = n.select("query_id", "rank", "y", "qy", F.explode(F.array(*map(F.lit, ks))).alias("k")).where("rank <= k")
     rel = (F.col("y") == F.col("qy")).cast("int")
     votes = at.groupBy("query_id", "k", "qy", "y").agg(F.count("*").alias("n"), F.min("rank").alias("first")).groupBy("query_id", "k", "qy").agg(F.min_by("y", F.struct(-F.col("n"), "first")).alias("vote"))
     q = at.groupBy("query_id", "k", "qy").agg(F.sum(rel).alias("hits"), F.sum(rel / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("hits", F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
-    q = q.join(F.broadcast(total), "qy", "left").join(votes.select("query_id", "k", "vote"), ["query_id", "k"])
+    q = q.join(total, "qy", "left").join(votes.select("query_id", "k", "vote"), ["query_id", "k"])
     p, rc = F.col("hits") / F.col("k"), F.col("hits") / F.greatest(F.least("r", "k"), F.lit(1))
     f1 = F.when(p + rc > 0, 2 * p * rc / (p + rc)).otherwise(0.0)
     scores = {"precision": p, "ndcg": F.when(F.col("hits") > 0, F.col("dcg") / ideal).otherwise(0.0), "recall": rc, "f1": f1, "vote_accuracy": (F.col("vote") == F.col("qy")).cast("int")}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..operators import corpus as C
 from ..operators import joins as J
 from ..sources import manifest as M
 from . import fixtures as X
-from .registry import query, table
+from .registry import query, table, workspace
 
 S = SparkSession
 
@@ -58,8 +56,7 @@ def manifest_chunks(spark: S, d: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def sink_roundtrip(spark: S, d: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    out = M.round_trip(table(spark, d, "orders"), f"{base}/roundtrip-{spark.sparkContext.applicationId}")
+    out = M.round_trip(table(spark, d, "orders"), workspace(spark, "roundtrip"))
     return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 

@@ -154,13 +154,14 @@ def fit_temperature(spark: S, d: str) -> DataFrame:
 
 
 @query(f"""WITH {neighbour_sql()}, n AS (SELECT query_id, rank, i.label AS y, q.label AS qy FROM nb JOIN vectors i ON i.vec_id = idx_id JOIN vectors q ON q.vec_id = query_id),
-tot AS (SELECT label AS qy, count(*) AS r FROM vectors WHERE vec_id IN (SELECT idx_id FROM nb) GROUP BY 1), tops AS (SELECT * FROM n, (SELECT unnest([1, 5, 10]) AS k) WHERE rank <= k),
+tot AS (SELECT label AS qy, count(*) AS r FROM vectors WHERE part <> 'test' GROUP BY 1), tops AS (SELECT * FROM n, (SELECT unnest([1, 5, 10]) AS k) WHERE rank <= k),
 v AS (SELECT query_id, k, y, row_number() OVER (PARTITION BY query_id, k ORDER BY count(*) DESC, min(rank)) AS o FROM tops GROUP BY query_id, k, y),
 q AS (SELECT query_id, k, qy, sum((y = qy)::INTEGER) AS hits, sum((y = qy)::INTEGER / log2(rank + 1)) AS dcg FROM tops GROUP BY ALL),
 e AS (SELECT q.*, coalesce(r, NULL) AS r, v.y AS vote, hits / q.k AS p, hits / greatest(least(r, q.k), 1) AS rc, list_sum(list_transform(range(1, greatest(hits, 1)::BIGINT + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM q LEFT JOIN tot USING (qy) JOIN v ON v.query_id = q.query_id AND v.k = q.k AND v.o = 1)
 SELECT k::INTEGER AS k, count(*) AS n, round(avg(p), 6) AS precision, round(avg(CASE WHEN hits > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg, round(avg(rc), 6) AS recall, round(avg(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END), 6) AS f1, round(avg((vote = qy)::INTEGER), 6) AS vote_accuracy FROM e GROUP BY 1""")
 def label_retrieval_at_k(spark: S, d: str) -> DataFrame:
-    return M.label_retrieval(neighbours(spark, d), X.vectors(spark, d).select("vec_id", "label"), [1, 5, 10])
+    v = X.vectors(spark, d)
+    return M.label_retrieval(neighbours(spark, d), v.select("vec_id", "label"), v.where("part <> 'test'").select("vec_id", "label"), [1, 5, 10])
 
 
 @query(f"""WITH {neighbour_sql(query_where="part = 'test' AND y = 1", index_where="part <> 'test' AND y = 1")}, ix AS (SELECT * FROM vectors WHERE part <> 'test' AND y = 1), qs AS (SELECT * FROM vectors WHERE part = 'test' AND y = 1),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from ..operators import models as L
 from ..streaming import chunks as T
 from . import fixtures as X
 from .corpus import fusable
-from .registry import query, table
+from .registry import query, table, workspace
 
 S = SparkSession
 CATS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -173,11 +171,6 @@ def dropout_sweep(spark: S, d: str) -> DataFrame:
 # ---------------------------------------------------------------- streams
 
 
-def workspace(spark: S, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 ROW = "sample_id long, first_seen timestamp, label int, detections long, grp string"
 
 
