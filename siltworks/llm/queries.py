@@ -38,10 +38,10 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 
 
 def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts listed by themselves are those whose first label names them as spam."""
+    """The hosts listed by themselves are an eighth of the table's, spread over it by their digests."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = url_cascade.split_url(F.col("url"))[0]
-    listed = pages.select(host.alias("host")).where(F.col("host").rlike(r"^(spam|casino|porn|malware|phish)[a-z0-9-]*\.")).distinct()
+    listed = pages.select(host.alias("host")).where((F.col("host") != "") & F.substring(F.md5(F.col("host").cast("binary")), 1, 1).isin("0", "1")).distinct()
     return url_cascade.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
 
 
@@ -132,8 +132,10 @@ rules(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', '
 hits AS (
   SELECT page_id, host, path, max({'n': length(rh || rp), 'k': rh || rp, 'v': v}) AS b
   FROM urls LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
-  GROUP BY ALL)
+  GROUP BY ALL),
+listed AS (SELECT DISTINCT host AS lh FROM urls WHERE host <> '' AND left(md5(host), 1) IN ('0', '1')),
+spoiled AS (SELECT host, bool_or(lh IS NOT NULL) AS bad FROM (SELECT DISTINCT host FROM urls) LEFT JOIN listed ON host = lh OR ends_with(host, '.' || lh) GROUP BY host)
 SELECT page_id, host, path, CASE WHEN b.n IS NULL THEN NULL ELSE b.k END AS rule,
-  CASE WHEN b.n IS NOT NULL THEN b.v WHEN regexp_matches(host, '^(spam|casino|porn|malware|phish)[a-z0-9-]*\\.') THEN 'block' ELSE 'allow' END AS verdict
-FROM hits
+  CASE WHEN b.n IS NOT NULL THEN b.v WHEN bad THEN 'block' ELSE 'allow' END AS verdict
+FROM hits JOIN spoiled USING (host)
 """

@@ -34,7 +34,7 @@ from .common import cut
 #: Listed keys in a shard, and the bytes of filters that may be broadcast.
 SHARD_KEYS, BROADCAST_BYTES = 1 << 20, 32 << 20
 #: Level 1 lets one in RATE of the other keys pass; later levels one in two.
-FIRST_RATE, RATE = 1 / 64, 0.5
+FIRST_RATE, RATE = 1 / 8, 0.5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:

@@ -147,6 +147,18 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert got.where(F.col("listed") != (F.abs(F.xxhash64("key")) % 10 == 0)).count() == 0
 
 
+def test_op4_takes_several_levels(spark, monkeypatch):
+    depths, build = [], url_cascade.build
+
+    def noted(*args):
+        depths.append((c := build(*args)).depth)
+        return c
+
+    monkeypatch.setattr(url_cascade, "build", noted)
+    rows = QUERIES["op4_url_cascade"](spark, "/root/testdata/sf0.01").collect()
+    assert max(depths) > 1 and {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
+
+
 # ---------------------------------------------------------------- token counts
 
 
