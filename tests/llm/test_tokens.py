@@ -124,3 +124,19 @@ def test_cuts_are_the_best(steps):
     assert all(b - a <= 20 for a, b in zip(edges, edges[1:], strict=False))
     cost = sum(penalty[list(position).index(b)] + 20 - (b - a) for a, b in zip(edges[:-2], edges[1:-1], strict=True))
     assert cost == pytest.approx(brute_cut_cost(position.tolist(), penalty.tolist(), 20))
+
+
+def test_words_that_collide_under_polynomial_hashes():
+    """A Thue-Morse word of 1,024 letters and its complement keep their own ids and counts."""
+    from siltworks.llm.unigram_counts import Counter
+
+    t = "a"
+    for _ in range(10):
+        t += t.translate({97: 98, 98: 97})
+    c = t.translate({97: 98, 98: 97})
+    e = SegmentEncoder.of(vocabulary())
+    flat, n = e.encode([t.encode(), c.encode()])
+    expected = [e.tokenizer.encode(x, add_special_tokens=False).ids for x in (t, c)]
+    assert n.tolist() == [len(x) for x in expected] and flat.tolist() == expected[0] + expected[1]
+    counter = Counter([("▁", -1.0), ("a", -2.0), ("b", -2.0), ("ab", -2.5)])
+    assert counter.texts([t.encode(), c.encode()])[1].tolist() == [counter.count("▁" + x)[0] for x in (t, c)]
