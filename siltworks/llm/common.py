@@ -185,8 +185,10 @@ def signed(h: np.ndarray) -> np.ndarray:
 # small for the data lets more pass.
 
 _BLOCKS = 256
-#: Bitmaps have at least 2 ** 28 bits (32 MB), and at most 2 ** 31 (256 MB).
-LEAST_BITS, MOST_BITS = 28, 31
+#: Bitmaps have at least 2 ** 24 bits (2 MB), and at most 2 ** 31 (256 MB).
+LEAST_BITS, MOST_BITS = 24, 31
+#: The driver reads a written bitmap in so many parts, one at a time.
+_PARTS = 8
 
 
 def bitmap_bits(n: int) -> int:
@@ -238,7 +240,7 @@ def block_rows(hashes: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBat
 
 
 def merge_blocks(rows: DataFrame, bits: int, least: int) -> Bitmap:
-    """The bitmap of positions that occur ``least`` times (1 or 2) or more; 2 ** bits bits come to the driver."""
+    """The bitmap of positions that occur ``least`` times (1 or 2) or more; 2 ** bits bits come to the driver, by parts of a written table."""
     import zstandard
 
     width = bits - (_BLOCKS - 1).bit_length()
@@ -270,7 +272,8 @@ def merge_blocks(rows: DataFrame, bits: int, least: int) -> Bitmap:
     whole = np.zeros(1 << (bits - 3), np.uint8)
     counts = np.zeros(_BLOCKS * cells, np.uint32)
     step = 1 << (width - 3)
-    for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, data binary, counts binary").collect():
+    blocks = cut(rows.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, data binary, counts binary"), "bitmap")
+    for r in blocks.coalesce(_PARTS).toLocalIterator():
         whole[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["data"], np.uint8)
         counts[r["block"] * cells : (r["block"] + 1) * cells] = np.frombuffer(r["counts"], "<u4")
     return Bitmap(whole, bits, counts)

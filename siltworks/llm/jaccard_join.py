@@ -118,9 +118,8 @@ def choose_prefix(flag: np.ndarray, cost: np.ndarray) -> tuple[int, int]:
     return best, base + best
 
 
-def _entries(rows: DataFrame, shared: Broadcast[Bitmap]) -> DataFrame:
-    """(shingle, node, n, at, l, own): the prefixes' shingles that may have partners."""
-    usual = max(1, int(shared.value.counts.mean()))
+def _entries(rows: DataFrame, shared: Broadcast[Bitmap], usual: int) -> DataFrame:
+    """(shingle, node, n, at, l, own): the prefixes' shingles that may have partners; ``usual`` is the mean of the bitmap's counts."""
     schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("l", pa.int32()), ("own", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +251,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alive = signature.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     sketches = alive.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
-    seen = docs.sparkSession.sparkContext.broadcast(_twice(known, bitmap_bits(alive.agg(F.sum("n")).first()[0] or 0)))
-    entries = _entries(known, seen)
+    found = _twice(known, bitmap_bits(alive.agg(F.sum("n")).first()[0] or 0))
+    seen, usual = docs.sparkSession.sparkContext.broadcast(found), max(1, int(found.counts.mean()))
+    del found  # the driver's Python keeps no copy
+    entries = _entries(known, seen, usual)
     several = entries.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1").select("shingle")
     entries = cut(entries.join(several, "shingle", "left_semi").withColumn("label", F.col("node")), "entries")
     seen.destroy()  # of at most 2 ** MOST_BITS bits; its table is written
