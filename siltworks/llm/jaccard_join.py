@@ -56,7 +56,7 @@ ENTRY_COST, TEST_COST = 8.0, 1.0
 #: Bits of a set's parity sketch.
 SKETCH = 1024
 #: Another round of leaders is worth its while above so many pairs a row, and as long as rounds settle that share of them.
-PAIRS_A_ROW, SETTLED = 64, 0.2
+PAIRS_A_ROW, SETTLED = 256, 0.2
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -243,6 +243,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) of components with ``edges`` (a, b) added.
+
+    The edges are taken between labels, so the rounds grow with the new edges' width alone.
+    """
+    for s in "ab":
+        edges = edges.join(labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label")), s, "left")
+    edges = edges.select(*(F.coalesce(f"{s}_label", s).alias(s) for s in "ab"))
+    above = components(edges).toDF("old", "above")
+    moved = labels.join(above, F.col("label") == F.col("old"), "left").select("node", F.coalesce("above", "label").alias("label"))
+    added = above.join(labels, F.col("old") == F.col("node"), "left_anti").toDF("node", "label")
+    return cut(moved.unionByName(added), "labels")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -258,14 +272,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = entries.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1").select("shingle")
     entries = cut(entries.join(several, "shingle", "left_semi").withColumn("label", F.col("node")), "entries")
     seen.destroy()  # of at most 2 ** MOST_BITS bits; its table is written
-    open_, links, tried, left, no = entries, None, None, None, 0
+    open_, labels, tried, left, no = entries, None, None, None, 0
     while True:
-        pairs = cut(_leader_pairs(open_, no), "pairs")
-        new = pairs if tried is None else cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = _leader_pairs(open_, no)
+        new = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = new if tried is None else tried.unionByName(new)
         found = cut(_linked(cut(_sharing(new, entries, sketches), "sharing"), known, alive), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = components(found) if labels is None else joined(labels, found)
         open_, n_rows, n_pairs = _still_open(open_, labels)
         if n_pairs <= PAIRS_A_ROW * n_rows or (left is not None and n_pairs > (1 - SETTLED) * left):
             break
@@ -282,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # rows of one doc_id are one document
     same = alive.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("doc_id", "a")
     same = alive.select("doc_id", "node").join(same, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
-    labels = components(links.unionByName(more).unionByName(same))
+    labels = joined(labels, more.unionByName(same))
     placed = alive.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     first = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     # by document, as a document without words may have another row with some
