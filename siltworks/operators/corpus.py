@@ -74,18 +74,21 @@ def machine_field(content: Column) -> Column:
 
 
 def normal_operand(kind: Column, value: Column, base: Column, scale: Column, disp: Column, least: int = -5000, most: int = 5000) -> Column:
-    """One operand as text: registers by name, small immediates in hex, others ``HIMM``, memory by its parts."""
-    small = value.cast("bigint")
+    """One operand as text: registers by name, small immediates in hex, others ``HIMM``, memory by its parts; null for other kinds.
+
+    Memory without a base, or of base 0, is ``[MEM]``; a missing scale is 1, a missing displacement 0.
+    """
+    small = value.try_cast("bigint")
     number = F.when(small.between(least, most), F.concat(F.when(small < 0, "-").otherwise(""), F.lit("0x"), F.lower(F.hex(F.abs(small))))).otherwise("HIMM")
-    shown = F.when(disp.between(least, most), disp.cast("string")).otherwise("HIMM")
-    memory = F.when(base.isNull(), F.concat(F.lit("["), F.lit("MEM"), F.lit("]"))).otherwise(F.concat(F.lit("["), base, F.lit("*"), F.coalesce(scale, F.lit(1)).cast("string"), F.lit("+"), shown, F.lit("]")))
-    return F.when(kind == "reg", value).when(kind == "imm", number).otherwise(memory)
+    parts = F.concat(F.lit("["), base, F.lit("*"), F.coalesce(scale, F.lit(1)).cast("string"), F.lit("+"), F.coalesce(disp, F.lit(0)).cast("string"), F.lit("]"))
+    memory = F.when(base.isNull() | (base == "0"), F.lit("[MEM]")).otherwise(parts)
+    return F.when(kind == "reg", value).when(kind == "imm", number).when(kind == "mem", memory)
 
 
 def normal_instruction(mnemonic: Column, operands: Column, prefix: str = "X_") -> Column:
-    """An instruction as one token: operand structs (type, value, base, scale, disp), spaces as underscores."""
-    parts = F.transform(operands, lambda o: normal_operand(o["type"], o["value"], o["base"], o["scale"], o["disp"]))
-    return F.concat(F.lit(prefix), F.replace(F.concat_ws(" ", mnemonic, F.array_join(parts, ",")), F.lit(" "), F.lit("_")))
+    """An instruction as one token: operand structs (type, value, base, scale, disp), each after a space, commas between, spaces as underscores."""
+    parts = F.transform(operands, lambda o: F.coalesce(F.concat(F.lit(" "), normal_operand(o["type"], o["value"], o["base"], o["scale"], o["disp"])), F.lit("")))
+    return F.concat(F.lit(prefix), F.replace(F.concat(mnemonic, F.coalesce(F.array_join(parts, ","), F.lit(""))), F.lit(" "), F.lit("_")))
 
 
 def bucketed_number(token: Column, most: int = 5000) -> Column:

@@ -59,9 +59,9 @@ def test_header_fields(spark):
 
 def test_instruction_tokens(spark):
     schema = "mnemonic string, operands array<struct<type:string,value:string,base:string,scale:int,disp:bigint>>"
-    df = spark.createDataFrame([("mov", [("reg", "eax", None, None, None), ("imm", "16", None, None, None)]), ("push", [("imm", "99999", None, None, None)]), ("lea", [("reg", "rax", None, None, None), ("mem", None, "rbx", 2, 8)]), ("ret", [])], schema)
+    df = spark.createDataFrame([("mov", [("reg", "eax", None, None, None), ("imm", "16", None, None, None)]), ("push", [("imm", "99999", None, None, None)]), ("lea", [("reg", "rax", None, None, None), ("mem", None, "rbx", 2, 9000)]), ("ret", []), ("jmp", [("mem", None, "0", None, 4)]), ("inc", [("mem", None, "rcx", None, None)]), ("sub", [("imm", "-16", None, None, None)])], schema)
     got = [r[0] for r in df.select(corpus.normal_instruction(F.col("mnemonic"), F.col("operands"))).collect()]
-    assert got == ["X_mov_eax,0x10", "X_push_HIMM", "X_lea_rax,[rbx*2+8]", "X_ret_"]
+    assert got == ["X_mov_eax,_0x10", "X_push_HIMM", "X_lea_rax,_[rbx*2+9000]", "X_ret", "X_jmp_[MEM]", "X_inc_[rcx*1+0]", "X_sub_-0x10"]
 
 
 def test_binary_files(spark, tmp_path):
