@@ -201,6 +201,20 @@ def select_threshold(spark: S, d: str) -> DataFrame:
     return M.select_threshold(X.tag_scores(spark, d), [5 * i / 100 for i in range(1, 19)])
 
 
+@query(f"""WITH {X.TAG_SCORES}, grid AS (SELECT (5 * i) / 100.0 AS t FROM range(1, 19) r(i)), c AS (SELECT t, count_if(score >= t AND truth = 1) AS tp, count_if(score >= t AND truth = 0) AS fp, count_if(score < t AND truth = 1) AS fn FROM tag_scores, grid WHERE part = 'val' GROUP BY 1),
+b AS (SELECT t FROM c ORDER BY round(2 * tp / greatest(2 * tp + fp + fn, 1), 9) DESC, t LIMIT 1),
+e AS (SELECT count_if(score >= t AND truth = 1)::BIGINT AS tp, count_if(score >= t AND truth = 0)::BIGINT AS fp, count_if(score < t AND truth = 1)::BIGINT AS fn FROM tag_scores, b WHERE part = 'test')
+SELECT t::DOUBLE AS threshold, tp, fp, fn, round(2 * tp / greatest(2 * tp + fp + fn, 1), 6) AS micro_f1 FROM e, b""")
+def threshold_from_val(spark: S, d: str) -> DataFrame:
+    """The threshold that is best on the validation part, and what it gives on the test part."""
+    scores = X.tag_scores(spark, d)
+    best = M.select_threshold(scores.where("part = 'val'"), [5 * i / 100 for i in range(1, 19)]).select("threshold")
+    hit, true = F.col("score") >= F.col("threshold"), F.col("truth") == 1
+    test = scores.where("part = 'test'").withColumn("threshold", best.scalar())
+    counts = test.agg(F.max("threshold").alias("threshold"), F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"))
+    return counts.withColumn("micro_f1", F.round(2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)), 6))
+
+
 FUSED = f"""{SCORED}, f AS (SELECT query_id, y, score AS knn, round(1 / (1 + exp(-8 * emb[1])), 3) AS head FROM cls JOIN vectors ON vec_id = query_id),
 al AS (SELECT i / 10.0 AS alpha, y, round((i / 10.0) * head + (1 - i / 10.0) * knn, 6) AS score FROM f, range(11) r(i)),
 g AS (SELECT alpha, score, count_if(y = 1)::BIGINT AS pos, count_if(y = 0)::BIGINT AS neg FROM al GROUP BY 1, 2),
