@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mcd_quality, packing, pii, substring_dedup, token_planes, unigram_counts, url_cascade
+from . import decontaminate, jaccard_join, line_dedup, mcd_quality, packing, pii, substring_dedup, token_alignment, token_planes, unigram_counts, url_cascade, vector_codes, vector_neardup
 from .common import scratch
 
 END_ID = 2
@@ -73,7 +73,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "line_no").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bit_planes, op2_mcd_quality, op3_jaccard_join, op4_url_cascade, op5_difference_cover, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii, op10_line_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    by_label = found.rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    rows = found.rows.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neardup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.Alignment(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).documents()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_bit_planes, op2_mcd_quality, op3_jaccard_join, op4_url_cascade, op5_difference_cover, op6_unigram_counts, op7_window_packing, op8_benchmark_passages, op9_pii, op10_line_dedup, op11_vector_codes, op12_near_vectors, op13_token_alignment)
+}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}
@@ -139,3 +157,50 @@ SELECT page_id, host, path, CASE WHEN b.n IS NULL THEN NULL ELSE b.k END AS rule
   CASE WHEN b.n IS NOT NULL THEN b.v WHEN bad THEN 'block' ELSE 'allow' END AS verdict
 FROM hits JOIN spoiled USING (host)
 """
+
+_ROUNDS = 4
+ORACLE_SQL["op11_vector_codes"] = (
+    """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+p AS (SELECT vec_id, part, x[part * len(x) // 4 + 1:(part + 1) * len(x) // 4] AS x FROM v, range(4) t(part)),
+n AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM p),
+least AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v ORDER BY vec_id LIMIT 256),
+book0 AS MATERIALIZED (SELECT part, k, x AS c, xx AS cc FROM n JOIN least USING (vec_id)),
+"""
+    + "".join(
+        f"""
+at{r} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := (xx - 2 * list_inner_product(x, c) + cc)::BIGINT, k := k)) AS best FROM n JOIN book{r} USING (part) GROUP BY ALL),
+"""
+        + (
+            ""
+            if r == _ROUNDS
+            else f"""
+sums{r} AS (
+  SELECT part, k, i, floor(sum(e) / count(*)) AS m
+  FROM (SELECT part, best.k AS k, unnest(x) AS e, unnest(range(len(x))) AS i FROM at{r} JOIN n USING (vec_id, part)) GROUP BY ALL),
+lists{r} AS (SELECT part, k, list(m ORDER BY i) AS c FROM sums{r} GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT part, k, coalesce(l.c, b.c) AS c, list_inner_product(coalesce(l.c, b.c), coalesce(l.c, b.c)) AS cc FROM book{r} b LEFT JOIN lists{r} l USING (part, k)),
+"""
+        )
+        for r in range(_ROUNDS + 1)
+    )
+    + f"""
+coded AS (SELECT vec_id, string_agg(lower(printf('%02x', best.k::INTEGER)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM at{_ROUNDS} GROUP BY vec_id),
+whole AS (
+  SELECT sha256(string_agg(e::BIGINT::VARCHAR, ',' ORDER BY part, k, i)) AS codebooks_sha256
+  FROM (SELECT part, k, unnest(c) AS e, unnest(range(len(c))) AS i FROM book{_ROUNDS}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (vec_id), whole
+"""
+)
+
+ORACLE_SQL["op12_near_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+pairs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, p.b FROM reach JOIN pairs p ON p.a = reach.r),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM reach LEFT JOIN links ON a = vec_id GROUP BY vec_id
+"""
