@@ -15,9 +15,9 @@ pairs' scores and adds them up over its bitmaps' documents.  Texts are read and
 encoded once.
 
 Texts are cut into segments before a single space or line feed between other
-characters, where neither tokenizer's tokens can span (checked on the
-vocabularies; otherwise whole texts are segments), and each distinct segment is
-encoded and aligned once per worker.
+characters, and between a letter and punctuation, where neither tokenizer's
+tokens can span (checked on the vocabularies; otherwise whole texts are
+segments), and each distinct segment is encoded and aligned once per worker.
 
 Memory: a worker keeps at most ``MOST_SEGMENTS`` segments; a block ends at the
 first document that brings it to ``BLOCK_LINKS`` links or 65,536 documents.
@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -47,7 +48,7 @@ from .common import batch, distinct_spans, slices
 from .tables import Tables
 
 #: Segments that a worker remembers; links and documents of a block.
-MOST_SEGMENTS, BLOCK_LINKS, BLOCK_DOCS = 300_000, 1 << 21, 1 << 16
+MOST_SEGMENTS, BLOCK_LINKS, BLOCK_DOCS = 700_000, 1 << 22, 1 << 16
 #: A bitmap with more than one document in so many is stored as bits.
 DENSE = 16
 _MARK = "▁"
@@ -63,6 +64,14 @@ def byte_alphabet() -> dict[str, int]:
 # ---------------------------------------------------------------- segments
 
 
+#: Segments of these letters alone are one word to the first tokenizer's splitting.
+_WORD = re.compile("(?=.)[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]*")
+_LETTER, _PUNCTUATION = (np.array([k in range(*r[0]) or any(k in range(*x) for x in r[1:]) for k in range(256)]) for r in (((65, 91), (97, 123)), ((33, 48), (58, 65), (91, 97), (123, 127))))
+#: A link's id pair is one number.
+_SHIFT = 24
+_LOW = (1 << _SHIFT) - 1
+
+
 class Aligner:
     """Aligns segments of texts; remembers each distinct one."""
 
@@ -75,63 +84,91 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         letters = byte_alphabet()
-        self.a_bytes = [b"" for _ in range(self.a.get_vocab_size())]
+        self.shown = {byte: c for c, byte in letters.items()}
+        a_bytes = [b"" for _ in range(self.a.get_vocab_size())]
         for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.a_bytes[i] = bytes(letters[c] for c in token)
+            a_bytes[i] = bytes(letters[c] for c in token)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(_MARK, " ").encode() for i, x in enumerate(names)]
-        self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
-        # segments: one tokenizer splits at white space, the other has no piece over a segment's edge
+        if max(len(a_bytes), len(names)) >= 1 << 23:
+            raise ValueError("vocabularies of 2 ** 23 ids and more don't fit a pair's number")
+        self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (a_bytes, self.b_bytes))
+        #: Ids in decimal with room for a separator.
+        self.digits = np.zeros((max(len(a_bytes), len(names)), 8), np.uint8)
+        self.n_digits = np.array([len(str(k)) for k in range(len(self.digits))])
+        for k in range(len(self.digits)):
+            self.digits[k, : self.n_digits[k]] = np.frombuffer(str(k).encode(), np.uint8)
+        # segments: one tokenizer splits at white space and before punctuation, the other has no piece over a segment's edge
         whole = json.loads(self.a.to_str())
         split = whole["normalizer"] is None and whole["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         usual = [x for i, x in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.split = split and not any(_MARK in x.lstrip(_MARK) or "\n" in x for x in usual) and self.b.encode(" \na", out_type=str)[0] == _MARK * 2
+        self.word = split and whole["model"]["type"] == "BPE" and not whole["model"].get("ignore_merges")
+        self.apart = _LETTER[:, None] & _PUNCTUATION
+        for x in usual:
+            x = x.encode()
+            for k in range(len(x) - 1):
+                self.apart[x[k], x[k + 1]] = False
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.names: list[str] = []
-        #: Tokens of either kind, groups, whether the bytes are kept; links from ``first`` on.
+        #: Tokens of either kind, groups, and whether the bytes are kept; links, and the groups as text, from ``first`` and ``begin`` on.
         self.stats, self.fine = np.zeros((0, 3), np.int64), np.zeros(0, bool)
         self.first, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.begin, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+
+    def _encode_a(self, keys: list[bytes], texts: list[str]) -> list[list[int]]:
+        whole, model = _WORD.fullmatch, self.a.model.tokenize
+        out = [[t.id for t in model(k.decode("latin-1").translate(self.shown))] if self.word and whole(x) else None for k, x in zip(keys, texts, strict=True)]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.a.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = x.ids
+        return out
+
+    def _encode_b(self, texts: list[str]) -> list[list[int]]:
+        """The tokenizer adds a space itself; before a line feed, which no piece holds, it is a piece of its own."""
+        lead = [0 if t[:1] == " " else 1 if t[:1] == "\n" else 2 for t in texts]
+        out = self.b.encode([t[1:] if n == 0 else t if n == 1 else "\n" + t for t, n in zip(texts, lead, strict=True)], num_threads=1)
+        return [x[n:] if n else x for x, n in zip(out, lead, strict=True)]
 
     def learn(self, keys: list[bytes]) -> None:
-        """Encode and align new segments; all begin with a space, or with a line feed."""
+        """Encode and align new segments."""
         texts = [k.decode() for k in keys]
-        led = [t[:1] == " " for t in texts]
-        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        # the second tokenizer adds the space itself; before a line feed it is a piece of its own
-        b = self.b.encode([t[1:] if s else t for t, s in zip(texts, led, strict=True)], num_threads=1)
-        b = [x if s else x[1:] for x, s in zip(b, led, strict=True)]
-        kept = [b"".join(map(self.b_bytes.__getitem__, x)) == k for x, k in zip(b, keys, strict=True)]
-        a, b = ([x if ok else [] for x, ok in zip(t, kept, strict=True)] for t in (a, b))
+        a, b, kept = self._encode_a(keys, texts), self._encode_b(texts), [True] * len(keys)
+        ids_b = np.fromiter(chain.from_iterable(b), np.int64)
+        if b"".join(map(self.b_bytes.__getitem__, ids_b.tolist())) != b"".join(keys):
+            kept = [b"".join(map(self.b_bytes.__getitem__, x)) == k for x, k in zip(b, keys, strict=True)]
+            a, b = ([x if ok else [] for x, ok in zip(t, kept, strict=True)] for t in (a, b))
+            ids_b = np.fromiter(chain.from_iterable(b), np.int64)
         n_a, n_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (a, b))
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(t), np.int64) for t in (a, b))
+        ids_a = np.fromiter(chain.from_iterable(a), np.int64)
         end_a, end_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
         ends = np.union1d(end_a, end_b)
-        links = ids_a[np.searchsorted(end_a, ends)] << 32 | ids_b[np.searchsorted(end_b, ends)]
-        size = np.where(kept, np.fromiter(map(len, keys), np.int64, len(keys)), 0)
-        stop = np.cumsum(size)
+        links = ids_a[np.searchsorted(end_a, ends)] << _SHIFT | ids_b[np.searchsorted(end_b, ends)]
+        stop = np.cumsum(np.where(kept, np.fromiter(map(len, keys), np.int64, len(keys)), 0))
         per = np.diff(np.searchsorted(ends, stop, "right"), prepend=0)
         # groups end where both end
         both = np.intersect1d(end_a, end_b, assume_unique=True)
         groups = np.diff(np.searchsorted(both, stop, "right"), prepend=0)
-        cut_a, cut_b = np.searchsorted(end_a, both, "right"), np.searchsorted(end_b, both, "right")
-        words_a, words_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        x = y = g = 0
-        for n, ok in zip(groups.tolist(), kept, strict=True):
-            said = []
-            for k in range(g, g + n):
-                p, q = int(cut_a[k]), int(cut_b[k])
-                said.append(f"{','.join(words_a[x:p])}|{','.join(words_b[y:q])}")
-                x, y = p, q
-            g += n
-            self.names.append(";".join(said))
+        text, lengths = self._shown(ids_a, ids_b, np.searchsorted(both, end_a), np.searchsorted(both, end_b), len(both))
+        size = np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(both, stop, "right")], prepend=0)
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.stats = np.concatenate((self.stats, np.stack((n_a, n_b, groups), axis=1)))
         self.fine = np.concatenate((self.fine, np.array(kept, bool)))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(per)))
-        self.pairs = np.concatenate((self.pairs, links))
+        self.first, self.pairs = np.concatenate((self.first, self.first[-1] + np.cumsum(per))), np.concatenate((self.pairs, links))
+        self.begin, self.text = np.concatenate((self.begin, self.begin[-1] + np.cumsum(size))), np.concatenate((self.text, text))
+
+    def _shown(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Groups as text, ``a1,a2|b1;`` each, and the length of each."""
+        ids, of_b = np.concatenate((ids_a, ids_b)), np.repeat([False, True], [len(ids_a), len(ids_b)])
+        side = 2 * np.concatenate((group_a, group_b)) + of_b
+        order = np.argsort(side, kind="stable")
+        ids, of_b, side = ids[order], of_b[order], side[order]
+        last = np.append(side[1:] != side[:-1], True) if len(side) else np.zeros(0, bool)
+        rows, width = self.digits[ids], self.n_digits[ids]
+        rows[np.arange(len(ids)), width] = np.where(last, np.where(of_b, ord(";"), ord("|")), ord(","))
+        return rows[np.arange(8) <= width[:, None]], np.bincount(side >> 1, width + 1, n).astype(np.int64)
 
     def segments(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each segment of " " + text of all texts, one after another, and each text's number of segments."""
@@ -141,10 +178,11 @@ class Aligner:
         if self.split:
             space = white(data)
             begin[1:-1] = ((data[1:-1] == 32) | (data[1:-1] == 10)) & ~space[:-2] & ~space[2:]
-        begin[edge[:-1]] = True
+            begin[1:] |= self.apart[data[:-1], data[1:]]
+        begin[edge] = True
         starts = np.flatnonzero(begin)
         first = np.searchsorted(starts, edge)
-        ends = np.append(starts[1:], edge[-1])
+        starts, ends = starts[:-1], starts[1:]
         at, back = distinct_spans(data, starts, ends)
         if len(self.known) + len(at) > MOST_SEGMENTS:
             self.clear()
@@ -155,6 +193,12 @@ class Aligner:
         return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back], np.diff(first)
 
 
+def spans(first: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of spans ``first[k]`` to ``first[k + 1]`` for each k of ``which``, one after another."""
+    size = first[which + 1] - first[which]
+    return np.repeat(first[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 #: Lead bytes of characters beyond ASCII that are white space, and what may follow (None: anything).
 _WIDE = {b"\xc2": (b"\x85", b"\xa0"), b"\xe1": (b"\x9a\x80",), b"\xe2": (*(b"\x80" + bytes([k]) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"), b"\xe3": (b"\x80\x80",)}
 
@@ -232,7 +276,8 @@ class Postings:
             links[row] += count.astype(np.int64) << bit
             links[dense] += np.bitwise_count(bits).sum(axis=1, dtype=np.int64) << bit
         no, doc, _ = self.entries()
-        docs += np.bincount(np.unique(no << 16 | doc) >> 16, minlength=len(self.pairs))
+        key = np.sort(no << 16 | doc)
+        docs += np.bincount(key[np.diff(key, prepend=-1) != 0] >> 16, minlength=len(self.pairs))
         return docs, links
 
     @classmethod
@@ -310,28 +355,20 @@ class Builder:
         doc = np.repeat(np.arange(len(texts)), n)
         bad = np.array([not t for t in texts])
         bad[doc[~tool.fine[segment]]] = True
-        use = ~bad[doc]
-        per = np.bincount(doc[use], np.diff(tool.first)[segment[use]], len(texts)).astype(np.int64)
+        links = np.diff(tool.first)
+        per = np.where(bad, 0, np.bincount(doc, links[segment], len(texts)).astype(np.int64))
         room = min(len(texts), BLOCK_DOCS - sum(p.n for p in self.parts))
         taken = min(room, 1 + int(np.searchsorted(np.cumsum(per), max(1, BLOCK_LINKS - self.links))))
-        use &= doc < taken
-        stats = np.stack([np.bincount(doc[use], tool.stats[segment[use], k], len(texts)) for k in range(3)]).astype(np.int64)[:, :taken]
-        hashes, edge = [], np.concatenate(([0], np.cumsum(n)))
-        for i in range(taken):
-            hashes.append("" if bad[i] else hashlib.sha256(";".join(map(tool.names.__getitem__, segment[edge[i] : edge[i + 1]].tolist())).encode()).hexdigest())
+        use = ~bad[doc] & (doc < taken)
+        segment, doc = segment[use], doc[use]
+        stats = np.stack([np.bincount(doc, tool.stats[segment, k], taken) for k in range(3)]).astype(np.int64)
+        said = tool.text[spans(tool.begin, segment)].tobytes()
+        edge = np.concatenate(([0], np.cumsum(np.bincount(doc, np.diff(tool.begin)[segment], taken)))).astype(np.int64).tolist()
+        hashes = ["" if bad[i] else hashlib.sha256(said[edge[i] : edge[i + 1] - 1]).hexdigest() for i in range(taken)]
         self.docs.append(batch(_DOCS, ids.slice(0, taken), *stats, per[:taken], hashes))
-        # distinct segments of each document, then their links
-        key, times = np.unique(doc[use] << 32 | segment[use], return_counts=True)
-        d, s = key >> 32, key & 0xFFFFFFFF
-        size = np.diff(tool.first)[s]
-        at = np.repeat(tool.first[s] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        pairs, no = np.unique(tool.pairs[at], return_inverse=True)
-        key = no << 16 | np.repeat(d, size)
-        order = np.argsort(key, kind="stable")
-        key, times = key[order], np.repeat(times, size)[order]
+        key = np.sort(tool.pairs[spans(tool.first, segment)] << 16 | np.repeat(doc, links[segment]))
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        total = np.add.reduceat(times, edge) if len(key) else times
-        self.parts.append(Postings.of(taken, pairs[key[edge] >> 16], key[edge] & 0xFFFF, total))
+        self.parts.append(Postings.of(taken, key[edge] >> 16, key[edge] & 0xFFFF, np.diff(np.append(edge, len(key)))))
         self.links += int(per[:taken].sum())
         return taken
 
@@ -376,7 +413,7 @@ class Alignment:
     def documents(self) -> DataFrame:
         """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document."""
         asked = self.by_block.select("block", "a", "b").join(self.pairs.select("a", "b", "links", "best"), ["a", "b"])
-        replies = asked.select("block", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("pair"), "links", "best")
+        replies = asked.select("block", F.shiftleft(F.col("a").cast("long"), _SHIFT).bitwiseOR(F.col("b").cast("long")).alias("pair"), "links", "best")
 
         def back(block: pa.Table, scores: pa.Table) -> pa.Table:
             out = []
@@ -398,7 +435,7 @@ class Alignment:
         def find(block: pa.Table, pairs: pa.Table) -> pa.Table:
             out = [pa.table({n: pa.array([], t) for n, t in (("a", pa.int32()), ("b", pa.int32()), ("doc_id", pa.int64()), ("times", pa.int64()))})]
             if pairs.num_rows:
-                key = pairs["a"].to_numpy().astype(np.int64) << 32 | pairs["b"].to_numpy()
+                key = pairs["a"].to_numpy().astype(np.int64) << _SHIFT | pairs["b"].to_numpy()
                 for docs, data in zip(block["docs"].to_pylist(), block["postings"].to_pylist(), strict=True):
                     postings, ids = Postings.load(data), pa.ipc.open_stream(docs).read_all()["doc_id"]
                     no, doc, bit = postings.entries()
@@ -407,7 +444,7 @@ class Alignment:
                     times = np.zeros(len(held), np.int64)
                     np.add.at(times, back, np.int64(1) << bit[at])
                     pair = postings.pairs[held >> 16]
-                    out.append(pa.table({"a": (pair >> 32).astype(np.int32), "b": (pair & 0xFFFFFFFF).astype(np.int32), "doc_id": ids.take(pa.array(held & 0xFFFF)).combine_chunks(), "times": times}))
+                    out.append(pa.table({"a": (pair >> _SHIFT).astype(np.int32), "b": (pair & _LOW).astype(np.int32), "doc_id": ids.take(pa.array(held & 0xFFFF)).combine_chunks(), "times": times}))
             return pa.concat_tables(out)
 
         return self.blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(find, "a int, b int, doc_id long, times long")
@@ -423,4 +460,4 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             postings = Postings.load(data.as_py())
             docs, links = postings.counts()
             if len(docs):
-                yield batch(_COUNTS, np.full(len(docs), block), (postings.pairs >> 32).astype(np.int32), (postings.pairs & 0xFFFFFFFF).astype(np.int32), docs, links)
+                yield batch(_COUNTS, np.full(len(docs), block), (postings.pairs >> _SHIFT).astype(np.int32), (postings.pairs & _LOW).astype(np.int32), docs, links)
