@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import seeded
+from .running import rank_within
 
 BINS, TOP = 16, math.log(10001)
 
@@ -66,15 +70,17 @@ def profile_histogram(profile: DataFrame, names: list[str]) -> DataFrame:
     return frame.join(counts, ["graph_id", "stat", "bin"], "left").select("graph_id", "stat", "bin", F.round(F.coalesce("c", F.lit(0)) / F.col("n"), 6).alias("share"))
 
 
-def statistics(nodes: DataFrame, edges: DataFrame, functions: DataFrame) -> DataFrame:
-    """Sizes, density, external share, mean log length and relative greatest degree of each graph."""
+def statistics(nodes: DataFrame, edges: DataFrame, functions: DataFrame, categories: list[str]) -> DataFrame:
+    """Sizes, density, external share, mean log length and relative greatest degree of each graph, and the mean category mix of its own functions."""
     both = edges.select("graph_id", F.col("src").alias("node")).union(edges.select("graph_id", "dst"))
     top = both.groupBy("graph_id", "node").agg(F.count("*").alias("d")).groupBy("graph_id").agg(F.max("d").alias("top"))
     n = nodes.groupBy("graph_id").agg(F.count("*").alias("n"), F.avg("external").alias("external"))
     e = edges.groupBy("graph_id").agg(F.count("*").alias("e"))
-    f = functions.groupBy("graph_id").agg(F.avg(F.log1p("ninstr")).alias("log_len"))
+    mix = [F.avg(F.coalesce((F.col("cat") == c).cast("double"), F.lit(0.0))).alias(f"mix_{i}") for i, c in enumerate(categories)]
+    f = functions.groupBy("graph_id").agg(F.avg(F.log1p("ninstr")).alias("log_len"), *mix)
     t = n.join(e, "graph_id", "left").join(top, "graph_id", "left").join(f, "graph_id", "left").na.fill(0)
-    return t.select("graph_id", *(F.round(x, 6).alias(k) for k, x in {"log_n": F.log1p("n"), "log_e": F.log1p("e"), "density": F.col("e") / F.greatest(F.col("n") * (F.col("n") - 1), F.lit(1)), "external": F.col("external"), "log_len": F.col("log_len"), "top_degree": F.col("top") / F.col("n")}.items()))
+    named = {"log_n": F.log1p("n"), "log_e": F.log1p("e"), "density": F.col("e") / F.greatest(F.col("n") * (F.col("n") - 1), F.lit(1)), "external": F.col("external"), "log_len": F.col("log_len"), "top_degree": F.col("top") / F.col("n")}
+    return t.select("graph_id", *(F.round(x, 6).alias(k) for k, x in (named | {f"mix_{i}": F.col(f"mix_{i}") for i in range(len(categories))}).items()))
 
 
 def top_degree(edges: DataFrame, n: int) -> DataFrame:
@@ -105,17 +111,68 @@ def random_walks(edges: DataFrame, length: int, per_node: int, seed: str) -> Dat
     return walks.select("graph_id", "walk", "path")
 
 
-def walk_embedding(walks: DataFrame, dim: int, seed: int = 1) -> DataFrame:
-    """(graph_id, n, mean): one Word2Vec model over all walks, pooled by graph."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+def walk_embedding(edges: DataFrame, dim: int = 128, walks: int = 20, length: int = 30, window: int = 10, most_nodes: int = 5000, negatives: int = 5, rounds: int = 60, seed: int = 42, directed: bool = True) -> DataFrame:
+    """(graph_id, node, vector, graph_vector): skip-gram vectors of seeded random walks, and their mean of length 1 by graph.
 
-    from .account import mean_pool
-
-    model = Word2Vec(vectorSize=dim, windowSize=5, minCount=1, maxIter=1, seed=seed, inputCol="path", outputCol="v").fit(walks)
-    nodes = walks.select("graph_id", F.explode("path").alias("word")).distinct()
-    named = nodes.join(model.getVectors(), "word").select("graph_id", vector_to_array("vector").alias("v"))
-    return mean_pool(named, "graph_id", "v")
+    A graph keeps its ``most_nodes`` nodes of highest degree, which bounds the rows
+    of a graph in one task; graphs are fitted apart from each other, each with its
+    own walks, which follow edges in their direction (``directed``) and end where
+    there is none, or go either way.  The loss is that of skip-gram with ``negatives`` noise words, whose expectation over
+    all pairs within the window is minimised, so no pair is listed: counts of
+    pairs are a matrix of nodes.  Graphs without an edge give no row.
+    """
+    kept = top_degree(edges.where("src != dst").select("graph_id", "src", "dst").distinct(), most_nodes)
+
+    def fit(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate((f["src"].to_numpy(), f["dst"].to_numpy())).astype(str), return_inverse=True)
+        src, dst = at[: len(f)], at[len(f) :]
+        rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode())])
+        vectors = skip_gram(pair_counts(*((src, dst) if directed else (at, np.concatenate((dst, src)))), len(names), walks, length, window, rng), dim, negatives, rounds, rng)
+        mean = vectors.mean(axis=0)
+        mean /= max(float(np.sqrt((mean * mean).sum())), 1e-12)
+        return pd.DataFrame({"graph_id": key[0], "node": names, "vector": list(vectors.astype(np.float32)), "graph_vector": [mean.astype(np.float32)] * len(names)})
+
+    return kept.groupBy("graph_id").applyInPandas(fit, f"graph_id {edges.schema['graph_id'].dataType.simpleString()}, node string, vector array<float>, graph_vector array<float>")
+
+
+def pair_counts(src: np.ndarray, dst: np.ndarray, n: int, walks: int, length: int, window: int, rng: np.random.Generator) -> np.ndarray:
+    """How often nodes i and j lie within ``window`` steps of each other, either one first, over ``walks`` walks from each node along the edges."""
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    first, degree = np.searchsorted(src, np.arange(n)), np.bincount(src, minlength=n)
+    counts = np.zeros(n * n, np.float32)
+    for _ in range(walks):
+        path = np.full((length, n), -1)
+        path[0] = np.arange(n)
+        for i in range(1, length):
+            on = np.flatnonzero((path[i - 1] >= 0) & (degree[path[i - 1]] > 0))
+            if not len(on):
+                break
+            here = path[i - 1, on]
+            path[i, on] = dst[first[here] + (rng.random(len(on)) * degree[here]).astype(np.int64)]
+        for gap in range(1, window + 1):
+            x, y = path[:-gap], path[gap:]
+            counts += np.bincount((x * n + y)[y >= 0], minlength=n * n).astype(np.float32)
+    counts = counts.reshape(n, n)
+    return counts + counts.T
+
+
+def skip_gram(counts: np.ndarray, dim: int, negatives: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Node vectors that minimise the expected skip-gram loss with noise drawn by frequency to the power 3/4, by adaptive gradient steps."""
+    n, seen = len(counts), counts.sum(axis=1)
+    noise = seen**0.75
+    against = (negatives * seen[:, None] * (noise / noise.sum())).astype(np.float32)
+    scale = 1 / np.maximum(seen, 1)[:, None]
+    vectors = [((rng.random((n, dim)) - 0.5) / dim**0.5).astype(np.float32) for _ in range(2)]
+    squares = [np.full((n, dim), 1e-8, np.float32) for _ in range(2)]
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(vectors[0] @ vectors[1].T, -30, 30)))
+        slope = ((against + counts) * p - counts) * scale
+        steps = [slope @ vectors[1], slope.T @ vectors[0]]
+        for v, q, g in zip(vectors, squares, steps, strict=True):
+            q += g * g
+            v -= 0.2 * g / np.sqrt(q)
+    return vectors[0]
 
 
 def message_pass(edges: DataFrame, values: DataFrame, epsilon: float) -> DataFrame:
@@ -127,3 +184,28 @@ def message_pass(edges: DataFrame, values: DataFrame, epsilon: float) -> DataFra
 
 def readout(values: DataFrame) -> DataFrame:
     return values.groupBy("graph_id").agg(F.avg("x").alias("mean"), F.max("x").alias("max"))
+
+
+def scaled_features(nodes: DataFrame, names: list[str], fit_on: Column, most_nodes: int = 4000) -> DataFrame:
+    """(graph_id, node, x): features as a vector, standardised by mean and deviation over the graphs of ``fit_on``, of each graph's first ``most_nodes`` nodes by name."""
+    first = rank_within(nodes, ["graph_id"], [F.col("node")], "__no").where(F.col("__no") <= most_nodes)
+    stats = first.where(fit_on).agg(*(F.avg(c).alias(f"__m{i}") for i, c in enumerate(names)), *(F.stddev_pop(c).alias(f"__s{i}") for i, c in enumerate(names)))
+    return first.crossJoin(F.broadcast(stats)).select("graph_id", "node", F.array(*((F.col(c) - F.col(f"__m{i}")) / (F.col(f"__s{i}") + 1e-6) for i, c in enumerate(names))).alias("x"))
+
+
+def message_pass_vectors(edges: DataFrame, values: DataFrame, dim: int, epsilon: float) -> DataFrame:
+    """(graph_id, node, x): the element-wise sum of neighbours' vectors plus (1 + epsilon) times its own; edges to nodes without a vector are dropped.
+
+    Elements are summed by aggregates of their own, so a hub's messages combine
+    before the shuffle, and the join by neighbour is one that AQE may split.
+    """
+    both = edges.select("graph_id", "src", "dst").union(edges.select("graph_id", "dst", "src"))
+    sent = both.join(values.select("graph_id", F.col("node").alias("dst"), "x"), ["graph_id", "dst"])
+    got = sent.groupBy("graph_id", F.col("src").alias("node")).agg(*(F.sum(F.col("x")[i]).alias(f"__{i}") for i in range(dim)))
+    total = F.array(*((1 + epsilon) * F.col("x")[i] + F.coalesce(F.col(f"__{i}"), F.lit(0.0)) for i in range(dim)))
+    return values.join(got, ["graph_id", "node"], "left").select("graph_id", "node", total.alias("x"))
+
+
+def readout_vectors(values: DataFrame, dim: int) -> DataFrame:
+    """(graph_id, mean, max): each graph's mean and greatest value by position."""
+    return values.groupBy("graph_id").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(dim))).alias("mean"), F.array(*(F.max(F.col("x")[i]) for i in range(dim))).alias("max"))

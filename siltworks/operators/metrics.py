@@ -1,15 +1,16 @@
 """Detection, calibration, retrieval and triage metrics as aggregations.
 
-Scores are grouped by value first; what is ordered or accumulated then is the
-table of distinct scores, not the rows.
+Scores are grouped by value first; the table of distinct scores is accumulated
+by ranges (``running_sums``), as it may be as long as the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at_temperature, clipped
+from .running import global_rank, running_sums
 
 
 def confusion(df: DataFrame, score: str, truth: str, threshold: float = 0.5) -> DataFrame:
@@ -27,30 +28,25 @@ def by_score(df: DataFrame, score: str, truth: str, *keys: str) -> DataFrame:
     return df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
 
 
-def _window(keys: tuple[str, ...]) -> Window:
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-
-
 def roc_auc(df: DataFrame, score: str, truth: str, *keys: str) -> DataFrame:
     """Area under the ROC curve; ties count half."""
-    below = F.sum("neg").over(_window(keys).orderBy("score")) - F.col("neg")
-    t = by_score(df, score, truth, *keys).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-    return t.groupBy(*keys).agg(F.round(F.sum("won") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    t = running_sums(by_score(df, score, truth, *keys), [F.col("score")], ["neg"], list(keys))
+    won = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
+    return t.groupBy(*keys).agg(F.round(F.sum(won) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
 def roc_curve(df: DataFrame, score: str, truth: str) -> DataFrame:
     """(threshold, tpr, fpr) at each distinct score."""
-    w = _window(()).orderBy(F.col("score").desc())
-    t = by_score(df, score, truth).select("score", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(_window(())).alias("p"), F.sum("neg").over(_window(())).alias("n"))
-    return t.select(F.col("score").alias("threshold"), (F.col("tp") / F.col("p")).alias("tpr"), (F.col("fp") / F.col("n")).alias("fpr"))
+    t = running_sums(by_score(df, score, truth), [F.col("score").desc()], ["pos", "neg"])
+    total = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return t.crossJoin(F.broadcast(total)).select(F.col("score").alias("threshold"), (F.col("pos_upto") / F.col("p")).alias("tpr"), (F.col("neg_upto") / F.col("n")).alias("fpr"))
 
 
 def average_precision(df: DataFrame, score: str, truth: str, *keys: str) -> DataFrame:
     """Step sum of precision over recall at distinct thresholds."""
-    w = _window(keys).orderBy(F.col("score").desc())
-    tp, fp = F.sum("pos").over(w), F.sum("neg").over(w)
-    t = by_score(df, score, truth, *keys).withColumn("part", F.col("pos") * tp / (tp + fp))
-    return t.groupBy(*keys).agg((F.sum("part") / F.sum("pos")).alias("ap"))
+    t = running_sums(by_score(df, score, truth, *keys), [F.col("score").desc()], ["pos", "neg"], list(keys))
+    part = F.col("pos") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto"))
+    return t.groupBy(*keys).agg((F.sum(part) / F.sum("pos")).alias("ap"))
 
 
 def tpr_at_fpr(df: DataFrame, score: str, truth: str, targets: list[float]) -> DataFrame:
@@ -62,9 +58,8 @@ def tpr_at_fpr(df: DataFrame, score: str, truth: str, targets: list[float]) -> D
 def val_threshold(df: DataFrame, score: str, truth: str, part: str, fpr: float) -> DataFrame:
     """A threshold fixed on val negatives, the k-th from the top, and what lies strictly above it in test."""
     neg = df.where((F.col(part) == "val") & (F.col(truth) == 0) & F.col(score).isNotNull())
-    t = by_score(neg, score, truth)
-    upto, total = F.sum("neg").over(_window(()).orderBy(F.col("score").desc())), F.sum("neg").over(_window(()))
-    limit = t.withColumn("upto", upto).withColumn("k", F.floor(fpr * total)).where("upto > k").agg(F.max("score").alias("threshold"))
+    t = running_sums(by_score(neg, score, truth), [F.col("score").desc()], ["neg"])
+    limit = t.crossJoin(F.broadcast(t.agg(F.floor(fpr * F.sum("neg")).alias("k")))).where("neg_upto > k").agg(F.max("score").alias("threshold"))
     test = df.where((F.col(part) == "test") & F.col(score).isNotNull()).crossJoin(F.broadcast(limit))
     above = F.col(score) > F.col("threshold")
     return test.groupBy("threshold").agg(F.round(F.avg(F.when(F.col(truth) == 1, above.cast("int"))), 6).alias("tpr"), F.round(F.avg(F.when(F.col(truth) == 0, above.cast("int"))), 6).alias("fpr"))
@@ -154,10 +149,8 @@ def select_threshold(df: DataFrame, grid: list[float]) -> DataFrame:
 
 def risk_coverage(df: DataFrame, novelty: str, key: str, score: str, truth: str, shares: list[float]) -> DataFrame:
     """Metrics over the least novel share of rows, for each share."""
-    from .windows import global_rank
-
-    n = df.agg(F.count("*").alias("__n"))
-    ranked = global_rank(df, novelty, key, "rank").crossJoin(F.broadcast(n))
+    ranked = global_rank(df, [F.col(novelty), F.col(key)], "rank")
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("__n"))))
     cells = ranked.select("*", F.explode(F.array(*map(F.lit, shares))).alias("share")).where(F.col("rank") <= F.bround(F.col("share") * F.col("__n")))
     hit, pos = F.col(score) >= 0.5, F.col(truth) == 1
     return cells.groupBy("share").agg(F.count("*").alias("n"), F.round(F.avg((hit == pos).cast("int")), 6).alias("accuracy"), F.round(F.avg(F.when(pos, hit.cast("int"))), 6).alias("recall"), F.round(F.avg(F.when(~pos, hit.cast("int"))), 6).alias("fpr"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import seeded, uniform
+from ..sources.tables import kept
+from .running import draw, global_rank, rank_within
 
 
 def group_cap(df: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:
@@ -18,28 +20,68 @@ def proportional_sample(df: DataFrame, stratum: str, key: str, target: int, seed
     """Each stratum's share of ``target``, at least one row; all rows where there are no more than that."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("__n"))
     total = df.agg(F.count("*").alias("__total"))
-    quota = sizes.crossJoin(F.broadcast(total)).select(stratum, F.when(F.col("__total") <= target, F.col("__n")).otherwise(F.greatest(F.lit(1), F.bround(target * F.col("__n") / F.col("__total")))).alias("__quota"))
-    rn = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(seed, F.col(key)), key))
-    return df.withColumn("__rn", rn).join(F.broadcast(quota), stratum).where("__rn <= __quota").drop("__rn", "__quota")
+    quota = sizes.crossJoin(F.broadcast(total)).select(F.col(stratum).alias("__of"), F.when(F.col("__total") <= target, F.col("__n")).otherwise(F.greatest(F.lit(1), F.bround(target * F.col("__n") / F.col("__total")))).alias("__quota"))
+    ranked = rank_within(df.withColumn("__digest", seeded(seed, F.col(key))), [stratum], [F.col("__digest"), F.col(key)], "__rn")
+    return ranked.join(quota, F.col(stratum).eqNullSafe(F.col("__of"))).where("__rn <= __quota").select(*df.columns)
 
 
-def quota_sample(df: DataFrame, key: str, tags: str, part: str, least: int, budget: int, seed: str, forced: Column | None = None) -> DataFrame:
-    """By part: forced rows, then each tag, rarest first, filled to ``least`` counting what is in already, then others to ``budget``.
+def quota_sample(df: DataFrame, key: str, tags: str, part: str, least: int, budget: int, seed: str, forced: Column | None = None, shares: dict[str, float] | None = None, by_part: bool = True) -> DataFrame:
+    """By part: forced rows, then each tag, rarest first, filled to ``least`` counting what is in already, then others to ``budget``; drawn by digest.
 
-    One step a tag name, a fixed short list; each is a window rank over rows not yet in.
+    A part's ``least`` and ``budget`` are scaled by its share, rounded half to
+    even; parts without a share have none.  Tags are ranked by how many rows of
+    the part have them, ties by name, or over all parts if ``by_part`` is false.
+    Parts and tags are short lists.  What each step takes is the rows below one
+    digest a part: counts of digest heads find the head in which the quota is
+    reached, and only that head's rows are ordered, so no task holds a part.
+    Keys are unique.
     """
-    names = [r[0] for r in df.select(F.explode(tags).alias("t")).groupBy("t").count().orderBy("count", "t").collect()]
-    rows = df.withColumn("__in", forced if forced is not None else F.lit(False)).withColumn("__order", seeded(seed, F.col(key)))
-    for t in names:
-        has = F.array_contains(tags, t)
-        have = F.count_if(has & F.col("__in")).over(Window.partitionBy(part))
-        rank = F.row_number().over(Window.partitionBy(part, F.col("__in"), has).orderBy("__order", key))
-        rows = rows.withColumn("__have", have).withColumn("__rank", rank)
-        rows = rows.withColumn("__in", F.col("__in") | (has & ~F.col("__in") & (F.col("__rank") <= least - F.col("__have")))).drop("__have", "__rank")
-    have = F.count_if(F.col("__in")).over(Window.partitionBy(part))
-    rank = F.row_number().over(Window.partitionBy(part, F.col("__in")).orderBy("__order", key))
-    rows = rows.withColumn("__have", have).withColumn("__rank", rank)
-    return rows.where(F.col("__in") | (F.col("__rank") <= budget - F.col("__have"))).drop("__in", "__order", "__have", "__rank")
+    named = df.withColumns({"__part": F.col(part), "__tags": F.coalesce(F.col(tags), F.array().cast("array<string>")), "__forced": F.coalesce(forced if forced is not None else F.lit(False), F.lit(False)), "__digest": seeded(seed, F.col(key))})
+    base = kept(named.select("__part", "__tags", "__forced", "__digest", F.substring("__digest", 1, 4).alias("__head")), "quota")
+    counts = {(r[0], r[1]): r[2] for r in base.select("__part", F.explode("__tags").alias("tag")).groupBy("__part", "tag").count().collect()}  # a row a part and tag
+    parts = [r[0] for r in base.select("__part").distinct().collect()]
+    every = {t for _, t in counts}
+    rarity = lambda p, t: counts.get((p, t), 0) if by_part else sum(counts.get((q, t), 0) for q in parts)
+    order = {p: sorted(every, key=lambda t: (rarity(p, t), t)) for p in parts}  # noqa: B023
+    steps: dict[object, list[tuple[str | None, str]]] = {p: [] for p in parts}
+
+    def of_part(values: dict[object, object], kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for p, v in values.items():
+            out = F.when(F.col("__part").eqNullSafe(F.lit(p)), F.lit(v).cast(kind)).otherwise(out)
+        return out
+
+    def taken() -> Column:
+        """Whether a row is in after the steps so far: forced, or with a step's tag and at most its digest."""
+        out = F.col("__forced")
+        for p, bounds in steps.items():
+            for t, digest in bounds:
+                has = F.lit(True) if t is None else F.array_contains("__tags", t)
+                out = out | (F.col("__part").eqNullSafe(F.lit(p)) & has & (F.col("__digest") <= digest))
+        return out
+
+    def step(tag_of: dict[object, str | None], want: dict[object, int]) -> None:
+        """Add to each part the bound that fills its tag (None: any row) up to what is wanted."""
+        any_row = all(t is None for t in tag_of.values())
+        rows = base.withColumn("__in", taken()).where(F.lit(True) if any_row else F.array_contains("__tags", of_part(tag_of, "string")))
+        needs = {r[0]: max(0, want[r[0]] - r[1]) for r in rows.groupBy("__part").agg(F.count_if("__in")).collect()}
+        heads = rows.where(~F.col("__in")).groupBy("__part", "__head").agg(F.count("*").alias("n"))
+        earlier = Window.partitionBy("__part").orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 heads at most
+        heads = heads.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("need", of_part(needs, "long"))
+        edge = {r[0]: (r[1], r[2]) for r in heads.where("before < need and before + n >= need").select("__part", "__head", F.col("need") - F.col("before")).collect()}
+        inside = rows.where(~F.col("__in") & (F.col("__head") == of_part({p: e[0] for p, e in edge.items()}, "string")))
+        at = F.row_number().over(Window.partitionBy("__part").orderBy("__digest"))
+        last = inside.select("__part", "__digest", at.alias("at")).where(F.col("at") == of_part({p: e[1] for p, e in edge.items()}, "long"))
+        found = {r[0]: r[1] for r in last.select("__part", "__digest").collect()}
+        for p in parts:
+            if needs.get(p):
+                steps[p].append((tag_of[p], found.get(p, "g")))  # "g" is above all digests: there are too few rows
+
+    share = {p: 1.0 if shares is None else shares.get(p, 0.0) for p in parts}
+    for k in range(len(every)):
+        step({p: order[p][k] for p in parts}, {p: round(least * share[p]) for p in parts})
+    step(dict.fromkeys(parts), {p: round(budget * share[p]) for p in parts})
+    return named.where(taken()).select(*df.columns)
 
 
 def part_of(u: Column, fractions: dict[str, float]) -> Column:
@@ -62,10 +104,10 @@ def temporal_split(ts: Column, first: str, second: str) -> Column:
 
 def stratified_split(df: DataFrame, stratum: str, key: str, share: float, seed: str) -> DataFrame:
     """Per class ``floor(n * share)`` rows for test, as many for val, the rest train."""
-    w = Window.partitionBy(stratum)
-    rn = F.row_number().over(w.orderBy(seeded(seed, F.col(key)), key))
-    n = F.floor(F.count("*").over(w) * share)
-    return df.withColumn("__rn", rn).withColumn("__n", n).withColumn("part", F.when(F.col("__rn") <= F.col("__n"), "test").when(F.col("__rn") <= 2 * F.col("__n"), "val").otherwise("train")).drop("__rn", "__n")
+    sizes = df.groupBy(F.col(stratum).alias("__of")).agg(F.floor(F.count("*") * share).alias("__n"))
+    ranked = rank_within(df.withColumn("__digest", seeded(seed, F.col(key))), [stratum], [F.col("__digest"), F.col(key)], "__rn")
+    rows = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__of")))
+    return rows.select(*df.columns, F.when(F.col("__rn") <= F.col("__n"), "test").when(F.col("__rn") <= 2 * F.col("__n"), "val").otherwise("train").alias("part"))
 
 
 def leaks(df: DataFrame, group: str, part: str) -> DataFrame:
@@ -114,18 +156,13 @@ def sampler_weights(df: DataFrame, key: str, label: str, tags: str, untagged: fl
 
 
 def weighted_resample(df: DataFrame, key: str, weight: str, n: int, seed: str) -> DataFrame:
-    """About ``n`` draws with replacement: each row's expected copies, the fraction by a seeded coin. Right in expectation."""
-    total = df.agg(F.sum(weight).alias("__total"))
-    want = F.col(weight) * n / F.col("__total")
-    copies = F.floor(want) + (uniform(seed, F.col(key)) < want - F.floor(want)).cast("int")
-    return df.crossJoin(F.broadcast(total)).withColumn("copies", copies.cast("long")).where("copies > 0").drop("__total")
+    """``df`` with ``copies`` of the rows that ``n`` seeded draws with replacement hit, in proportion to ``weight`` (in millionths); keys are unique."""
+    return df.join(draw(df, key, weight, n, seed), key)
 
 
 def size_batches(df: DataFrame, size: str, key: str, n: int, seed: str) -> DataFrame:
     """Rows sorted by size in blocks of ``n``; a block's padded size and its place in the seeded order of blocks."""
-    from .windows import global_rank
-
-    rows = global_rank(df, size, key, "rank").withColumn("block", F.floor((F.col("rank") - 1) / n).cast("long"))
+    rows = global_rank(df, [F.col(size), F.col(key)], "rank").withColumn("block", F.floor((F.col("rank") - 1) / n).cast("long"))
     blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.max(size).alias("padded"))
     return blocks.withColumn("order", seeded(seed, F.col("block")))
 

@@ -1,19 +1,10 @@
-"""Fusion of partial embeddings and nearest-neighbour search."""
+"""Fusion of partial embeddings, and votes of nearest neighbours."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import unit
-
-#: Query vectors that go to the executors at once.
-BLOCK = 4096
-
 
 def fuse(how: str, experts: Column, mask: Column, weights: Column) -> Column:
     """Expert vectors as one: ``gated`` (weighted sum), ``mean`` of the available, ``concat`` with the mask, or ``single:<no>``."""
@@ -32,47 +23,6 @@ def fuse(how: str, experts: Column, mask: Column, weights: Column) -> Column:
     return F.element_at(scaled(mask), int(no) + 1)
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
-    """(query_id, idx_id, rank, sim) of the ``k`` nearest; both inputs are (id, vector), null vectors are left out.
-
-    Queries go out in blocks of ``BLOCK``; each index partition multiplies its rows
-    with a block and keeps its own ``k`` best, and only those are ranked over all.
-    Distances are squared Euclidean on unit vectors for ``l2``, nearest first.
-    Ranks are by similarity rounded to nine digits, then by id.
-    """
-    spark = index.sparkSession
-    q = queries.toDF("id", "v").where("v is not null").select("id", unit(F.col("v").cast("array<double>")).alias("v"))
-    i = index.toDF("id", "v").where("v is not null").select("id", unit(F.col("v").cast("array<double>")).alias("v"))
-    n = -(-q.count() // BLOCK)
-    out = None
-    for b in range(n):
-        block = q.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).collect() if n > 1 else q.collect()
-        ids = np.array([r[0] for r in block], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], float).reshape(len(ids), -1)))
-
-        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for f in frames:
-                if not len(f) or not len(ids):
-                    continue
-                f = f.sort_values("id")
-                own = f["id"].to_numpy()
-                rows = np.stack(f["v"].to_numpy())
-                sim = np.round(matrix @ rows.T if metric == "cosine" else -((matrix[:, None, :] - rows[None]) ** 2).sum(-1), 9)
-                if exclude_self:
-                    sim[ids[:, None] == own[None]] = -np.inf
-                at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                got = pd.DataFrame({"query_id": np.repeat(ids, at.shape[1]), "idx_id": own[at].ravel(), "sim": np.take_along_axis(sim, at, 1).ravel()})
-                yield got[np.isfinite(got["sim"])]
-
-        part = i.mapInPandas(best, "query_id long, idx_id long, sim double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, idx_id long, sim double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "idx_id"))
-    return out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "idx_id", "rank", "sim")
-
-
 def class_score(neighbours: DataFrame, labels: DataFrame, temperature: float) -> DataFrame:
     """(query_id, score, nearest): softmax-weighted share of neighbours of class 1; labels are (id, y)."""
     n = neighbours.join(labels.toDF("idx_id", "y"), "idx_id")
@@ -87,16 +37,3 @@ def tag_votes(neighbours: DataFrame, tags: DataFrame, temperature: float) -> Dat
     total = w.groupBy("query_id").agg(F.sum("w").alias("all"))
     votes = w.select("query_id", "w", F.explode("tags").alias("tag")).groupBy("query_id", "tag").agg(F.sum("w").alias("w"))
     return votes.join(total, "query_id").select("query_id", "tag", (F.col("w") / F.col("all")).alias("score"))
-
-
-def lsh_neighbours(queries: DataFrame, index: DataFrame, radius: float, k: int, seed: int = 7) -> DataFrame:
-    """Approximate (query_id, idx_id, rank) by bucketed random projections of unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    prepare = lambda df: df.toDF("id", "v").where("v is not null").select("id", array_to_vector(unit(F.col("v").cast("array<double>"))).alias("features"))
-    a, b = prepare(queries), prepare(index)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.5, numHashTables=6, seed=seed).fit(b)
-    near = model.approxSimilarityJoin(a, b, radius, "dist").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("idx_id"), "dist")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "idx_id"))
-    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

@@ -1,4 +1,4 @@
-"""Sectioning, top rows and global numbering without a single-partition sort of the data."""
+"""Sectioning and top rows."""
 
 from __future__ import annotations
 
@@ -22,11 +22,3 @@ def top_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first ``n`` rows of all, with their rank from 1: a report of fixed length, so one task may number it."""
     best = df.orderBy(*order).limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
-def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
-    """Ranks from 1 by (value, key), where values repeat or are few: each value is ranked by counts of those before it."""
-    sizes = df.groupBy(value).agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy(value)) - F.col("__n")).drop("__n")
-    own = F.row_number().over(Window.partitionBy(value).orderBy(key))
-    return df.withColumn("__own", own).join(before, value).withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before")

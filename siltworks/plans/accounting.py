@@ -54,8 +54,31 @@ q{k} AS (SELECT sample_id, tags, part, picked OR (has AND NOT picked AND rn <= {
 
 @query(quota_sql(4, 40, 150))
 def quota_sample(spark: S, d: str) -> DataFrame:
+    """One order of tags for all parts, and the same quota and budget for each."""
     s = X.samples(spark, d).where("label = 1").withColumn("part", P.temporal_split(F.col("first_seen"), "2024-01-15", "2024-01-22"))
-    return P.quota_sample(s, "sample_id", "tags", "part", 40, 150, "42", F.col("sample_id") % 1000 == 7).select("sample_id", "part", F.array_join("tags", ",").alias("tags"))
+    return P.quota_sample(s, "sample_id", "tags", "part", 40, 150, "42", F.col("sample_id") % 1000 == 7, by_part=False).select("sample_id", "part", F.array_join("tags", ",").alias("tags"))
+
+
+def part_quota_sql(tags: int, least: int, budget: int) -> str:
+    """One step a rank of rarity within the part, then the budget."""
+    steps = [f"""WITH {X.SAMPLES}, q0 AS (SELECT sample_id, tags, CASE WHEN first_seen < TIMESTAMP '2024-01-15' THEN 'train' WHEN first_seen < TIMESTAMP '2024-01-22' THEN 'val' ELSE 'test' END AS part,
+  sample_id % 1000 = 7 AS picked, sha256('42:' || sample_id) AS o FROM samples WHERE label = 1),
+shares(part, share) AS (VALUES ('train', 0.7), ('val', 0.15), ('test', 0.15)),
+every AS (SELECT p.part, t.tag FROM (SELECT DISTINCT part FROM q0) p, (SELECT DISTINCT unnest(tags) AS tag FROM q0) t),
+names AS (SELECT part, tag, row_number() OVER (PARTITION BY part ORDER BY count(sample_id), tag) AS k FROM every LEFT JOIN (SELECT part, sample_id, unnest(tags) AS tag FROM q0) USING (part, tag) GROUP BY 1, 2)"""]
+    for k in range(1, tags + 1):
+        steps.append(f"""h{k} AS (SELECT q.*, list_contains(tags, tag) AS has FROM q{k - 1} q JOIN names n ON n.part = q.part AND n.k = {k}),
+r{k} AS (SELECT *, count_if(has AND picked) OVER (PARTITION BY part) AS have, row_number() OVER (PARTITION BY part, picked, has ORDER BY o, sample_id) AS rn FROM h{k}),
+q{k} AS (SELECT sample_id, tags, part, picked OR (has AND NOT picked AND rn <= round_even({least} * share, 0) - have) AS picked, o FROM r{k} JOIN shares USING (part))""")
+    steps.append(f"last AS (SELECT *, count_if(picked) OVER (PARTITION BY part) AS have, row_number() OVER (PARTITION BY part, picked ORDER BY o, sample_id) AS rn FROM q{tags})")
+    return ", ".join(steps) + f" SELECT sample_id, part, array_to_string(tags, ',') AS tags FROM last JOIN shares USING (part) WHERE picked OR rn <= round_even({budget} * share, 0) - have"
+
+
+@query(part_quota_sql(4, 90, 400))
+def quota_sample_by_part(spark: S, d: str) -> DataFrame:
+    """Rarity by part; quota and budget in proportion to the part's share."""
+    s = X.samples(spark, d).where("label = 1").withColumn("part", P.temporal_split(F.col("first_seen"), "2024-01-15", "2024-01-22"))
+    return P.quota_sample(s, "sample_id", "tags", "part", 90, 400, "42", F.col("sample_id") % 1000 == 7, SPLIT).select("sample_id", "part", F.array_join("tags", ",").alias("tags"))
 
 
 SPLIT_SQL = f"CASE WHEN {u_sql('42', 'grp')} < 0.7 THEN 'train' WHEN {u_sql('42', 'grp')} < 0.7 + 0.15 THEN 'val' ELSE 'test' END"
@@ -121,9 +144,18 @@ def sampler_weights(spark: S, d: str) -> DataFrame:
     return P.sampler_weights(X.samples(spark, d), "sample_id", "label", "tags").select("sample_id", "label", F.round("weight", 6).alias("weight"))
 
 
-@query()
+WEIGHTS = f"""{X.SAMPLES}, t AS (SELECT sample_id, unnest(tags) AS tag FROM samples), f AS (SELECT tag, count(*) AS n FROM t GROUP BY 1),
+raw AS (SELECT sample_id, avg(1 / n) AS w FROM t JOIN f USING (tag) GROUP BY 1), r AS (SELECT s.sample_id, label, CASE WHEN label = 0 THEN 1.0 ELSE coalesce(w, 0.1) END::DOUBLE AS w FROM samples s LEFT JOIN raw USING (sample_id)),
+z AS (SELECT sum(w) FILTER (label = 0) AS neg, sum(w) FILTER (label = 1) AS pos FROM r),
+weights AS (SELECT sample_id, round(CASE WHEN label = 1 THEN w * neg / pos ELSE w END, 6) AS weight FROM r, z)"""
+
+
+@query(f"""WITH {WEIGHTS}, units AS (SELECT sample_id, round_even(weight / 1e-6, 0)::BIGINT AS u FROM weights),
+line AS (SELECT sample_id, u, sum(u) OVER (ORDER BY sample_id) AS stop FROM units WHERE u > 0),
+draws AS (SELECT floor({u_sql('5', 'i')} * (SELECT sum(u) FROM line))::BIGINT AS place FROM range(2000) r(i))
+SELECT sample_id, count(*) AS copies FROM line JOIN draws ON place >= stop - u AND place < stop GROUP BY 1""")
 def weighted_resample(spark: S, d: str) -> DataFrame:
-    w = P.sampler_weights(X.samples(spark, d), "sample_id", "label", "tags")
+    w = P.sampler_weights(X.samples(spark, d), "sample_id", "label", "tags").withColumn("weight", F.round("weight", 6))
     return P.weighted_resample(w, "sample_id", "weight", 2000, "5").select("sample_id", "copies")
 
 

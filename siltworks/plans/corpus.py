@@ -9,8 +9,9 @@ from ..functions import arrays as A
 from ..operators import corpus as C
 from ..operators import joins as J
 from ..sources import manifest as M
+from ..sources.tables import workspace
 from . import fixtures as X
-from .registry import query, table, workspace
+from .registry import query, table
 
 S = SparkSession
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import sigmoid
 from ..operators import metrics as M
 from ..operators import vectors as V
+from ..operators.neighbours import knn, knn_cells
 from . import fixtures as X
 from .accounting import EVAL, eval_records
 from .registry import query
@@ -24,7 +25,7 @@ nb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, idx_
 
 def neighbours(spark: S, d: str, vec: str = "emb", k: int = 20, metric: str = "cosine") -> DataFrame:
     v = X.vectors(spark, d)
-    return V.knn(v.where("part = 'test'").select("vec_id", vec), v.where("part <> 'test'").select("vec_id", vec), k, metric)
+    return knn(v.where("part = 'test'").select("vec_id", vec), v.where("part <> 'test'").select("vec_id", vec), k, metric)
 
 
 def shown(n: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def knn_l2(spark: S, d: str) -> DataFrame:
 @query(f"WITH {neighbour_sql(k=5, index_where='true', more='WHERE q.vec_id <> i.vec_id')} {NB}")
 def knn_self_excluded(spark: S, d: str) -> DataFrame:
     v = X.vectors(spark, d)
-    return shown(V.knn(v.where("part = 'test'").select("vec_id", "emb"), v.select("vec_id", "emb"), 5, exclude_self=True))
+    return shown(knn(v.where("part = 'test'").select("vec_id", "emb"), v.select("vec_id", "emb"), 5, exclude_self=True))
 
 
 @query(f"WITH {neighbour_sql('b', 10)} {NB}")
@@ -83,9 +84,13 @@ def novelty(spark: S, d: str) -> DataFrame:
 
 @query()
 def knn_lsh_recall(spark: S, d: str) -> DataFrame:
+    """The share of the exact neighbours that cells and sign sketches find, and of the pairs compared in full for that."""
     v = X.vectors(spark, d)
-    near = V.lsh_neighbours(v.where("part = 'test'").select("vec_id", "emb"), v.where("part <> 'test'").select("vec_id", "emb"), 1.6, 10).select("query_id", "idx_id", F.lit(1).alias("hit"))
-    return neighbours(spark, d, k=10).join(near, ["query_id", "idx_id"], "left").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+    index = v.where("part <> 'test'").select("vec_id", "emb")
+    near = knn_cells(v.where("part = 'test'").select("vec_id", "emb"), index, 10)
+    share = near.select("query_id", "compared").distinct().crossJoin(F.broadcast(index.agg(F.count("*").alias("rows")))).agg(F.round(F.avg(F.col("compared") / F.col("rows")), 4).alias("compared_share"))
+    hits = neighbours(spark, d, k=10).join(near.select("query_id", "idx_id", F.lit(1).alias("hit")), ["query_id", "idx_id"], "left")
+    return hits.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall")).crossJoin(share)
 
 
 # ---------------------------------------------------------------- detection
@@ -172,7 +177,7 @@ SELECT k::INTEGER AS k, count(*) AS n, round(avg(hits / k), 6) AS precision, rou
 def tag_retrieval_at_k(spark: S, d: str) -> DataFrame:
     v = X.vectors(spark, d).where("y = 1")
     q, i = v.where("part = 'test'"), v.where("part <> 'test'")
-    n = V.knn(q.select("vec_id", "emb"), i.select("vec_id", "emb"), 20)
+    n = knn(q.select("vec_id", "emb"), i.select("vec_id", "emb"), 20)
     return M.tag_retrieval(n, q.select("vec_id", "tags"), i.select("vec_id", "tags"), [1, 5, 10])
 
 
@@ -246,7 +251,7 @@ SELECT system, count(DISTINCT query_id) AS queries, round(avg((i.label = q.label
 def matched_subsets(spark: S, d: str) -> DataFrame:
     """An expert and the fused vector on the rows that the expert covers."""
     v = X.vectors(spark, d).where("b is not null")
-    run = lambda name, c: V.knn(v.where("part = 'test'").select("vec_id", c), v.where("part <> 'test'").select("vec_id", c), 10).withColumn("system", F.lit(name))
+    run = lambda name, c: knn(v.where("part = 'test'").select("vec_id", c), v.where("part <> 'test'").select("vec_id", c), 10).withColumn("system", F.lit(name))
     y = v.select("vec_id", "label")
     n = run("b", "b").unionByName(run("fused", "emb")).join(y.toDF("idx_id", "y"), "idx_id").join(y.toDF("query_id", "qy"), "query_id")
     return n.groupBy("system").agg(F.count_distinct("query_id").alias("queries"), F.round(F.avg((F.col("y") == F.col("qy")).cast("int")), 6).alias("p_at_10"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import models as L
+from ..sources.tables import workspace
 from ..streaming import chunks as T
 from . import fixtures as X
 from .corpus import fusable
-from .registry import query, table, workspace
+from .registry import query, table
 
 S = SparkSession
 CATS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -58,18 +59,18 @@ def degree_profile(spark: S, d: str) -> DataFrame:
     return G.degree_profile(nodes, edges).select("graph_id", "node", "deg", "nb_min", "nb_max", F.round("nb_mean", 6).alias("nb_mean"), F.round("nb_std", 4).alias("nb_std"))
 
 
-@query(f"""WITH {PROFILE}, l AS (SELECT graph_id, unnest(['deg', 'nb_min', 'nb_max', 'nb_mean']) AS stat, unnest([deg::DOUBLE, nb_min::DOUBLE, nb_max::DOUBLE, nb_mean]) AS x FROM prof), n AS (SELECT graph_id, count(*) AS n FROM prof GROUP BY 1),
+@query(f"""WITH {PROFILE}, l AS (SELECT graph_id, unnest(['deg', 'nb_min', 'nb_max', 'nb_mean', 'nb_std']) AS stat, unnest([deg::DOUBLE, nb_min::DOUBLE, nb_max::DOUBLE, nb_mean, nb_std]) AS x FROM prof), n AS (SELECT graph_id, count(*) AS n FROM prof GROUP BY 1),
 c AS (SELECT graph_id, stat, least(floor(ln(1 + x) / ln(10001) * 16), 15)::BIGINT AS bin, count(*) AS c FROM l WHERE ln(1 + x) <= ln(10001) GROUP BY ALL)
-SELECT graph_id, stat, bin, round(coalesce(c, 0) / n, 6) AS share FROM (SELECT * FROM n, (SELECT unnest(['deg', 'nb_min', 'nb_max', 'nb_mean']) AS stat), (SELECT unnest(range(16)) AS bin)) LEFT JOIN c USING (graph_id, stat, bin)""")
+SELECT graph_id, stat, bin, round(coalesce(c, 0) / n, 6) AS share FROM (SELECT * FROM n, (SELECT unnest(['deg', 'nb_min', 'nb_max', 'nb_mean', 'nb_std']) AS stat), (SELECT unnest(range(16)) AS bin)) LEFT JOIN c USING (graph_id, stat, bin)""")
 def ldp_histogram(spark: S, d: str) -> DataFrame:
     nodes, edges, _ = graph(spark, d)
-    return G.profile_histogram(G.degree_profile(nodes, edges), ["deg", "nb_min", "nb_max", "nb_mean"])
+    return G.profile_histogram(G.degree_profile(nodes, edges), ["deg", "nb_min", "nb_max", "nb_mean", "nb_std"])
 
 
-@query(f"""WITH {GRAPH}, n AS (SELECT graph_id, count(*) AS n, avg(external) AS external FROM nodes GROUP BY 1), e AS (SELECT graph_id, count(*) AS e FROM edges GROUP BY 1), t AS (SELECT graph_id, max(d) AS top FROM deg GROUP BY 1), f AS (SELECT graph_id, avg(ln(1 + ninstr)) AS log_len FROM functions GROUP BY 1)
-SELECT graph_id, round(ln(1 + n), 6) AS log_n, round(ln(1 + e), 6) AS log_e, round(e / greatest(n * (n - 1), 1), 6) AS density, round(external, 6) AS external, round(log_len, 6) AS log_len, round(top / n, 6) AS top_degree FROM n JOIN e USING (graph_id) JOIN t USING (graph_id) JOIN f USING (graph_id)""")
+@query(f"""WITH {GRAPH}, n AS (SELECT graph_id, count(*) AS n, avg(external) AS external FROM nodes GROUP BY 1), e AS (SELECT graph_id, count(*) AS e FROM edges GROUP BY 1), t AS (SELECT graph_id, max(d) AS top FROM deg GROUP BY 1), f AS (SELECT graph_id, avg(ln(1 + ninstr)) AS log_len, {", ".join(f"avg((cat = '{c}')::INTEGER) AS mix_{i}" for i, c in enumerate(CATS))} FROM functions GROUP BY 1)
+SELECT graph_id, {", ".join(f"round(mix_{i}, 6) AS mix_{i}" for i in range(len(CATS)))}, round(ln(1 + n), 6) AS log_n, round(ln(1 + e), 6) AS log_e, round(e / greatest(n * (n - 1), 1), 6) AS density, round(external, 6) AS external, round(log_len, 6) AS log_len, round(top / n, 6) AS top_degree FROM n JOIN e USING (graph_id) JOIN t USING (graph_id) JOIN f USING (graph_id)""")
 def graph_stats(spark: S, d: str) -> DataFrame:
-    return G.statistics(*graph(spark, d))
+    return G.statistics(*graph(spark, d), CATS)
 
 
 @query(f"WITH {GRAPH}, keep AS (SELECT graph_id, node FROM deg QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY d DESC, node) <= 30) SELECT e.* FROM edges e SEMI JOIN keep a ON e.graph_id = a.graph_id AND e.src = a.node SEMI JOIN keep b ON e.graph_id = b.graph_id AND e.dst = b.node")
@@ -93,9 +94,9 @@ def random_walks(spark: S, d: str) -> DataFrame:
 
 @query()
 def walk_embedding(spark: S, d: str) -> DataFrame:
+    """Each graph's vector of length 1, and how many nodes it is the mean of."""
     _, edges, _ = graph(spark, d)
-    out = G.walk_embedding(G.random_walks(edges, 5, 1, "3"), 16)
-    return out.select("graph_id", "n", F.size("mean").cast("long").alias("dim"))
+    return G.walk_embedding(edges).groupBy("graph_id").agg(F.count("*").alias("n"), F.first("graph_vector").alias("vector"))
 
 
 MESSAGE = GRAPH + """, v AS (SELECT graph_id, node, ln(1 + coalesce(ninstr, 0)) AS x FROM nodes LEFT JOIN functions USING (graph_id, node)),
@@ -118,6 +119,37 @@ def graph_readout(spark: S, d: str) -> DataFrame:
     return G.readout(passed(spark, d)).select("graph_id", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("max"))
 
 
+FEATURES = ["log_ninstr", "log_size", *(f"cat_{i}" for i in range(len(CATS))), "log_in_deg", "log_out_deg", "external"]
+NODE_CAP = 60
+
+SENT = f"""{GRAPH}, o AS (SELECT graph_id, src AS node, count(*) AS n FROM edges GROUP BY ALL), i AS (SELECT graph_id, dst AS node, count(*) AS n FROM edges GROUP BY ALL),
+attr AS (SELECT nodes.graph_id, nodes.node, [round(ln(1 + coalesce(ninstr, 0)), 6), round(ln(1 + coalesce(size, 0)), 6), {", ".join(f"coalesce((cat = '{c}')::INTEGER::DOUBLE, 0.0)" for c in CATS)}, round(ln(1 + coalesce(i.n, 0)), 6), round(ln(1 + coalesce(o.n, 0)), 6), external::DOUBLE] AS x,
+  row_number() OVER (PARTITION BY nodes.graph_id ORDER BY nodes.node) AS no FROM nodes LEFT JOIN functions f USING (graph_id, node) LEFT JOIN o USING (graph_id, node) LEFT JOIN i USING (graph_id, node)),
+flat AS (SELECT graph_id, node, unnest(x) AS x, unnest(range(len(x))) AS pos FROM attr WHERE no <= {NODE_CAP}),
+st AS (SELECT pos, avg(x) AS m, stddev_pop(x) + 1e-6 AS s FROM flat WHERE graph_id % 10 < 7 GROUP BY 1),
+sc AS (SELECT graph_id, node, pos, (x - m) / s AS x FROM flat JOIN st USING (pos)),
+sg AS (SELECT b.graph_id, b.src AS node, pos, sum(x) AS s FROM both_ways b JOIN sc ON sc.graph_id = b.graph_id AND sc.node = b.dst GROUP BY ALL),
+sent AS (SELECT graph_id, node, pos, 1.1 * x + coalesce(s, 0) AS x FROM sc LEFT JOIN sg USING (graph_id, node, pos))"""
+
+
+def sent(spark: S, d: str) -> DataFrame:
+    """Scaled vectors of each graph's first nodes, after one round."""
+    nodes, edges, f = graph(spark, d)
+    x = G.scaled_features(G.attributes(nodes, edges, f, CATS), FEATURES, F.col("graph_id") % 10 < 7, NODE_CAP)
+    return G.message_pass_vectors(edges, x, len(FEATURES), 0.1)
+
+
+@query(f"WITH {SENT} SELECT graph_id, node, pos::INTEGER AS pos, round(x, 5) AS x FROM sent")
+def message_pass_vectors(spark: S, d: str) -> DataFrame:
+    return sent(spark, d).select("graph_id", "node", F.posexplode("x").alias("pos", "x")).withColumn("x", F.round("x", 5))
+
+
+@query(f'WITH {SENT} SELECT graph_id, pos::INTEGER AS pos, round(avg(x), 5) AS mean, round(max(x), 5) AS "max" FROM sent GROUP BY 1, 2')
+def graph_readout_vectors(spark: S, d: str) -> DataFrame:
+    r = G.readout_vectors(sent(spark, d), len(FEATURES))
+    return r.select("graph_id", F.posexplode(F.arrays_zip("mean", "max")).alias("pos", "v")).select("graph_id", "pos", F.round("v.mean", 5).alias("mean"), F.round("v.max", 5).alias("max"))
+
+
 # ---------------------------------------------------------------- models
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +25,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset, below a temporary folder, but only on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators import corpus, graph, joins, metrics, split, vectors, windows
+from siltworks.operators import corpus, graph, joins, metrics, neighbours, running, split, windows
 from siltworks.sources import manifest
 
 
@@ -33,10 +33,10 @@ def test_top_edge_bin(spark):
 def test_knn_needs_fewer_rows_than_k_and_skips_nulls(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "id long, v array<double>")
     i = spark.createDataFrame([(1, [1.0, 0.0]), (5, [0.0, 1.0]), (4, [1.0, 0.0]), (6, None)], "id long, v array<double>")
-    got = [(r.query_id, r.idx_id, r["rank"]) for r in vectors.knn(q, i, 10).orderBy("rank").collect()]
+    got = [(r.query_id, r.idx_id, r["rank"]) for r in neighbours.knn(q, i, 10).orderBy("rank").collect()]
     assert got == [(1, 1, 1), (1, 4, 2), (1, 5, 3)]
-    assert [r.idx_id for r in vectors.knn(q, i, 10, exclude_self=True).orderBy("rank").collect()] == [4, 5]
-    assert vectors.knn(q.where("id > 5"), i, 3).count() == 0
+    assert [r.idx_id for r in neighbours.knn(q, i, 10, exclude_self=True).orderBy("rank").collect()] == [4, 5]
+    assert neighbours.knn(q.where("id > 5"), i, 3).count() == 0
 
 
 def test_self_loops_leave_their_node(spark):
@@ -96,10 +96,48 @@ def test_versions_sort(spark):
 def test_sections_and_ranks(spark):
     df = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, False), (1, 3, True)], "k int, o int, h boolean")
     assert [r.section for r in windows.sections(df, "k", "o", "h").orderBy("o").collect()] == [0, 1, 1, 2]
-    assert [r["rank"] for r in windows.global_rank(df, "h", "o", "rank").orderBy("rank").collect()] == [1, 2, 3, 4]
+    assert [r["rank"] for r in running.global_rank(df, [F.col("h"), F.col("o")], "rank").orderBy("rank").collect()] == [1, 2, 3, 4]
 
 
 def test_reconcile_takes_the_first_candidate(spark):
     dim = spark.createDataFrame([("tool.exe", 1), ("tool", 2)], "candidate string, value int")
     names = spark.createDataFrame([("dir/TOOL.exe",), ("tool.dll",), ("none",)], "name string")
     assert {r.name: r.value for r in joins.reconcile(names, "name", dim).collect()} == {"dir/TOOL.exe": 1, "tool.dll": 2, "none": None}
+
+
+def test_walk_vectors_are_nearer_along_edges(spark):
+    """Two dense halves with one edge between them; the third graph has only a loop."""
+    import numpy as np
+
+    half = lambda g, a: [(g, f"{a}{i}", f"{a}{j}") for i in range(12) for j in range(12) if i != j and (i * 7 + j) % 3 == 0]
+    rows = half(1, "a") + half(1, "b") + [(1, "a0", "b0")] + half(2, "c") + [(3, "x", "x")]
+    edges = spark.createDataFrame(rows, "graph_id long, src string, dst string")
+    for directed in (True, False):
+        got = graph.walk_embedding(edges, dim=16, directed=directed).collect()
+        assert {r.graph_id for r in got} == {1, 2}
+        assert all(abs(np.linalg.norm(r.graph_vector) - 1) < 1e-4 and len(r.vector) == 16 and np.isfinite(r.vector).all() for r in got)
+        v = {r.node: np.array(r.vector) / np.linalg.norm(r.vector) for r in got if r.graph_id == 1}
+        assert len(v) == 24
+        same = [v[x] @ v[y] for x in v for y in v if x < y and x[0] == y[0]]
+        other = [v[x] @ v[y] for x in v for y in v if x[0] == "a" and y[0] == "b"]
+        assert np.mean(same) > np.mean(other) + 0.2
+    again = graph.walk_embedding(edges.repartition(3, "src"), dim=16).collect()
+    first = graph.walk_embedding(edges, dim=16).collect()
+    assert {(r.graph_id, r.node): r.vector for r in again} == {(r.graph_id, r.node): r.vector for r in first}
+
+
+def test_top_nodes_bound_a_walked_graph(spark):
+    edges = spark.createDataFrame([(1, "hub", f"n{i}") for i in range(30)] + [(1, "n1", "n2"), (1, "n2", "n3")], "graph_id long, src string, dst string")
+    got = {r.node for r in graph.walk_embedding(edges, dim=4, most_nodes=4).collect()}
+    assert got == {"hub", "n1", "n2", "n3"}
+
+
+def test_vector_messages_drop_edges_past_the_cap(spark):
+    nodes = spark.createDataFrame([(1, "a", 1.0, 0.0), (1, "b", 2.0, 1.0), (1, "c", 4.0, 5.0), (2, "a", 7.0, 0.0)], "graph_id long, node string, p double, q double")
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "a", "c")], "graph_id long, src string, dst string")
+    x = graph.scaled_features(nodes, ["p", "q"], F.col("graph_id") == 1, 2)
+    assert {(r.graph_id, r.node): [round(v, 4) for v in r.x] for r in x.collect()} == {(1, "a"): [-1.0, -1.0], (1, "b"): [1.0, 1.0], (2, "a"): [11.0, -1.0]}
+    got = {(r.graph_id, r.node): [round(v, 4) for v in r.x] for r in graph.message_pass_vectors(edges, x, 2, 0.5).collect()}
+    assert got == {(1, "a"): [-0.5, -0.5], (1, "b"): [0.5, 0.5], (2, "a"): [16.5, -1.5]}
+    r = graph.readout_vectors(x, 2).where("graph_id = 1").first()
+    assert [round(v, 4) for v in [*r["mean"], *r["max"]]] == [0.0, 0.0, 1.0, 1.0]

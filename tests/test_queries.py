@@ -24,11 +24,10 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert got == expected
 
 
-def test_weighted_resample_is_near_its_target(spark, sf_dir):
+def test_weighted_resample_draws_all(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    n = QUERIES["weighted_resample"](spark, sf_dir).agg(F.sum("copies")).first()[0]
-    assert abs(n - 2000) < 150
+    assert QUERIES["weighted_resample"](spark, sf_dir).agg(F.sum("copies")).first()[0] == 2000
 
 
 def test_quota_sample_fills_tags_and_budget(spark, sf_dir):
@@ -37,8 +36,9 @@ def test_quota_sample_fills_tags_and_budget(spark, sf_dir):
     assert (got.groupby("part").size() <= 150 + 40 * 4).all()
 
 
-def test_lsh_finds_most_neighbours(spark, sf_dir):
-    assert QUERIES["knn_lsh_recall"](spark, sf_dir).first().recall >= 0.9
+def test_cells_find_most_neighbours_with_few_comparisons(spark, sf_dir):
+    r = QUERIES["knn_lsh_recall"](spark, sf_dir).first()
+    assert r.recall >= 0.9 and r.compared_share < 0.2
 
 
 @pytest.mark.parametrize("name", ["gbt_detector", "mlp_detector", "fused_head"])
@@ -46,7 +46,7 @@ def test_models_rank(spark, sf_dir, name):
     assert 0.3 < QUERIES[name](spark, sf_dir).first().auc <= 1
 
 
-@pytest.mark.parametrize("name", ["proportional_sample", "group_split", "manifest_chunks", "random_walks", "size_batches"])
+@pytest.mark.parametrize("name", ["proportional_sample", "group_split", "manifest_chunks", "random_walks", "size_batches", "stratified_split", "quota_sample_by_part", "weighted_resample", "roc_auc", "roc_curve", "average_precision", "tpr_at_fpr", "val_threshold", "risk_coverage", "fuse_alpha", "knn_cosine"])
 def test_results_do_not_depend_on_partitioning(spark, sf_dir, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
