@@ -32,6 +32,8 @@ Q, BUDGET, MIN_ITEM = 8, 0.08, 24
 #: Items of a block have at most this many characters together.
 BLOCK_CHARS = 4 << 20
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("distance", pa.int64())])
+#: Hits of a text that are held at a time.
+HITS = 1 << 20
 _FILTER_BITS = 22
 _table: np.ndarray | None = None
 
@@ -81,6 +83,10 @@ def least_shared(m: int) -> int:
     return m - Q + 1 - budget(m) * Q
 
 
+def band_width(m: int) -> int:
+    return max(budget(m) + 1, 16)
+
+
 def align(item: np.ndarray, region: np.ndarray, k: int, low: int, high: int) -> tuple[int, int, int] | None:
     """Least edit distance of ``item`` to a part of ``region``, with its begin and end, or None if over k.
 
@@ -117,56 +123,108 @@ def align(item: np.ndarray, region: np.ndarray, k: int, low: int, high: int) ->
 
 
 class Items:
-    """The q-grams of a block of benchmark items."""
+    """The q-grams of a block of benchmark items.
+
+    An item's places of one gram are kept by strips of the item as wide as its
+    bands of diagonals, as the first and last place in the strip.  A text's place
+    then meets an item in at most two bands a strip, about 25 in all, however often
+    the item repeats the gram.
+    """
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
-        self.ids, self.points, gram, item, place = [], [], [], [], []
+        self.ids, self.points, gram, item, low, high = [], [], [], [], [], []
         for i, t in zip(ids, texts, strict=True):
             p, _ = normal(t or "")
             if len(p) < MIN_ITEM:
                 continue
-            g = grams(p)
-            gram.append(g)
-            item.append(np.full(len(g), len(self.ids), np.int64))
-            place.append(np.arange(len(g)))
+            g, width = grams(p), band_width(len(p))
+            # sorted by gram, then place: a strip's first and last place of a gram stand at the ends of a run
+            order = np.argsort(g, kind="stable")
+            strip = order // width
+            new = np.flatnonzero(np.concatenate(([True], (g[order][1:] != g[order][:-1]) | (strip[1:] != strip[:-1]))))
+            gram.append(g[order][new])
+            item.append(np.full(len(new), len(self.ids), np.int64))
+            low.append(order[new])
+            high.append(order[np.append(new[1:], len(g)) - 1])
             self.ids.append(i)
             self.points.append(p)
         none = np.empty(0, np.int64)
-        gram, self.item, self.place = (np.concatenate(x) if x else none for x in (gram, item, place))
+        gram, item, low, high = (np.concatenate(x) if x else none for x in (gram, item, low, high))
+        #: Each item's own entries, in the order of its grams.
+        self.first = np.searchsorted(item, np.arange(len(self.ids) + 1))
+        self.own = gram.astype(np.uint64), low, high
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order].astype(np.uint64), self.item[order], self.place[order]
+        self.gram, self.item, self.low, self.high = gram[order].astype(np.uint64), item[order], low[order], high[order]
         self.m = np.array([len(p) for p in self.points], np.int64)
         self.k = np.array([budget(m) for m in self.m.tolist()], np.int64)
         self.least = np.array([least_shared(m) for m in self.m.tolist()], np.int64)
-        self.band = np.maximum(self.k + 1, 16)
+        self.band = np.array([band_width(m) for m in self.m.tolist()], np.int64)
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[(self.gram >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
+    def _bands(self, place: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the hit, band) of hits at places of a text with strips of items: one band, or two."""
+        lower, upper = ((place - w + self.m[item]) // self.band[item] for w in (high, low))
+        two = np.flatnonzero(lower != upper)
+        return np.concatenate((np.arange(len(place)), two)), np.concatenate((upper, lower[two]))
+
+    def _strips(self, g: np.ndarray) -> np.ndarray:
+        """(item << 40 | strip of two bands) of those strips in which enough places of a text hit the item, most hits first.
+
+        Hits are counted by pieces of the text, so that few are held at a time; a place
+        that hits a band more than once may count more than once, which only lets
+        more strips pass.
+        """
+        place = np.flatnonzero(self.seen[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        lo = np.searchsorted(self.gram, g[place], "left")
+        n = np.searchsorted(self.gram, g[place], "right") - lo
+        place, lo, n = place[n > 0], lo[n > 0], n[n > 0]
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(place):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
+            part = n[at:to]
+            where = np.repeat(lo[at:to] - (np.cumsum(part) - part), part) + np.arange(int(part.sum()))
+            item = self.item[where]
+            hit, band = self._bands(np.repeat(place[at:to], part), item, self.low[where], self.high[where])
+            key, count = np.unique(item[hit] << 40 | band, return_counts=True)
+            keys, back = np.unique(np.concatenate((keys, key)), return_inverse=True)
+            counts = np.bincount(back, np.concatenate((counts, count)), len(keys)).astype(np.int64)
+            at = to
+        # strips overlap by one band, so any k + 1 neighbouring diagonals share one
+        strip = np.concatenate((keys, keys - ((keys & ((1 << 40) - 1)) > 0)))
+        strip, back = np.unique(strip, return_inverse=True)
+        total = np.bincount(back, np.concatenate((counts, np.where(keys & ((1 << 40) - 1) > 0, counts, 0))), len(strip)).astype(np.int64)
+        good = total >= self.least[strip >> 40]
+        return strip[good][np.argsort(-total[good], kind="stable")]
+
+    def _hits(self, g: np.ndarray, free: np.ndarray, i: int, b: int) -> int:
+        """How many free places of a text hit item i in band b or b + 1."""
+        m, w = int(self.m[i]), int(self.band[i])
+        begin, end = max(0, b * w - m), min(len(g), (b + 2) * w)
+        place = begin + np.flatnonzero(free[begin:end])
+        gram, low, high = (x[self.first[i] : self.first[i + 1]] for x in self.own)
+        lo = np.searchsorted(gram, g[place], "left")
+        n = np.searchsorted(gram, g[place], "right") - lo
+        where = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        place = np.repeat(place, n)
+        hit, band = self._bands(place, np.full(len(place), i), low[where], high[where])
+        return len(np.unique(place[hit[(band == b) | (band == b + 1)]]))
+
     def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item id, start, stop, distance) of the items within a text, the best place of each band."""
         if not self.ids or len(text) < MIN_ITEM // 2:
             return []
         points, at = normal(text)
         g = grams(points)
-        place = np.flatnonzero(self.seen[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        lo = np.searchsorted(self.gram, g[place], "left")
-        n = np.searchsorted(self.gram, g[place], "right") - lo
-        place, lo, n = place[n > 0], lo[n > 0], n[n > 0]
-        if not len(place):
-            return []
-        where = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        place, item, within = np.repeat(place, n), self.item[where], self.place[where]
-        diagonal = place - within + self.m[item]
-        band = diagonal // self.band[item]
-        # bands are two strips wide and overlap by one, so any k + 1 neighbouring diagonals share a band
-        key, count = np.unique(np.concatenate((item << 40 | band, item << 40 | np.maximum(band - 1, 0))), return_counts=True)
-        good = count >= self.least[key >> 40]
-        out, free = set(), np.ones(len(place), bool)
-        # bands with most hits first; hits within a place that was found count no more
-        for x in key[good][np.argsort(-count[good], kind="stable")].tolist():
+        out, free = set(), {}
+        # strips with most hits first; hits within a place that was found count no more
+        for x in self._strips(g).tolist():
             i, b = x >> 40, x & ((1 << 40) - 1)
             m, k, w = int(self.m[i]), int(self.k[i]), int(self.band[i])
-            if (free & (item == i) & ((band == b) | (band == b + 1))).sum() < self.least[i]:
+            left = free.setdefault(i, np.ones(len(g), bool))
+            if self._hits(g, left, i, b) < self.least[i]:
                 continue
             low, high = b * w - m, (b + 2) * w - 1 - m
             begin, end = max(0, low - k), min(len(points), high + m + k)
@@ -174,7 +232,7 @@ class Items:
             if found:
                 d, s, e = found
                 out.add((self.ids[i], int(at[begin + s]), int(at[begin + e - 1]) + 1, d))
-                free &= (item != i) | (place < begin + s) | (place >= begin + e)
+                left[begin + s : begin + e] = False
         return sorted(out, key=lambda x: (x[1], x[2], str(x[0])))
 
 

@@ -264,6 +264,46 @@ def test_passages_match_alignment_everywhere(spark, docs):
     assert decontaminate.find_passages(df, bench.limit(0)).count() == 0
 
 
+def test_repetitive_texts_cost_in_proportion():
+    """Items and texts of one repeated pair of letters: hits are counted by bands, not listed."""
+    import time
+    import tracemalloc
+
+    items = decontaminate.Items([1, 2], ["ab" * 1000, "ab" * 30 + " and then something else that is told once"])
+    took = {}
+    tracemalloc.start()
+    for n in (10_000, 40_000):
+        began = time.time()
+        found = items.find("ab" * (n // 2))
+        took[n] = time.time() - began
+        assert {x[0] for x in found} == {1} and max(x[2] for x in found) > n - 2000
+        assert all(x[3] <= decontaminate.budget(2000) for x in found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took[40_000] < 10 * took[10_000] and peak < 200 << 20
+    mixed = "x" * 50 + " " + "ab" * 30 + " and then something else that is told once" + " ab" * 500
+    assert {x[0] for x in items.find(mixed)} == {2}
+
+
+def test_op8_on_the_whole_table(spark, sf_dir):
+    """An item within k edits holds one of its k + 1 pieces as it is; those pairs are aligned over the whole text."""
+    bench = [(r.item_id, decontaminate.normal(r.text or "")[0]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    expected = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        points = decontaminate.normal(r.text or "")[0]
+        raw = points.tobytes()
+        for i, item in bench:
+            m = len(item)
+            if m < decontaminate.MIN_ITEM:
+                continue
+            k = decontaminate.budget(m)
+            edge = [m * j // (k + 1) for j in range(k + 2)]
+            if any(item[a:b].tobytes() in raw for a, b in zip(edge, edge[1:], strict=False)) and decontaminate.align(item, points, k, -m, len(points)):
+                expected.add((r.doc_id, i))
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op8_benchmark_passages"](spark, sf_dir).collect()}
+    assert got == expected and got
+
+
 @pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_url_cascade", "op5_difference_cover", "op10_line_dedup"])
 def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
