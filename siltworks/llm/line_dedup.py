@@ -17,7 +17,8 @@ and the prefixes of the others are joined:
    the order of the input, and compared with the part's earliest and with the
    ``NEAR`` lines before them, which settles most of a large group of near copies;
 2. all words: lines are compared with each other, but for those of which both are
-   already removed, by a join that reads one shuffle twice.
+   already removed, by a join of the table with itself whose skewed words Spark
+   may split.
 
 Only pairs that pass length, positional and parity filters are verified, by
 their full word hashes.  Joins are equi-joins on a rare word, which Spark may
@@ -130,7 +131,6 @@ def _sharing(firsts: DataFrame) -> DataFrame:
     """Pairs that share a prefix word, not both ``gone``."""
     numbers = lambda at: F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(F.call_function("shiftleft", at.cast("long"), F.lit(1))).bitwiseOR(F.col("gone").cast("long"))
     entries = firsts.select(*_SET, "n", "gone", F.posexplode("prefix").alias("at", "word")).select("word", *_SET, numbers(F.col("at")).alias("numbers"))
-    entries = entries.repartition("word")
     sides, cols = [], []
     for s in "ab":
         sides.append(entries.select(F.col("word").alias(f"{s}_word"), *(F.col(c).alias(f"{s}_{c}") for c in (*_SET, "numbers"))))
