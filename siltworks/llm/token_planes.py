@@ -33,6 +33,8 @@ from .common import batch, slices
 from .tokens import SegmentEncoder, with_end
 
 MAGIC = b"BPL1"
+#: Up to so many writer partitions, their offsets are sent to the files rather than joined by a shuffle of the files.
+MOST_PARTS = 100_000
 _HEAD = "<6I"
 
 
@@ -151,4 +153,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 flat = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
                 yield batch(_DOC, doc_ids, start + stop - n, n, flat.cast(pa.binary()))
 
-    return files.join(base, "part").select((F.col("part_start") + F.col("base")).alias("start"), "payload").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    small = files.select("part").distinct().limit(MOST_PARTS + 1).count() <= MOST_PARTS
+    return files.join(F.broadcast(base) if small else base, "part").select((F.col("part_start") + F.col("base")).alias("start"), "payload").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
