@@ -74,5 +74,5 @@ def anchor_rate(df: DataFrame, key: str, tags: str) -> DataFrame:
     """Share of rows with a partner, from tag counts: no pairs are made."""
     t = df.select(key, F.explode(tags).alias("tag"))
     shared = t.groupBy("tag").agg(F.count("*").alias("n")).where("n > 1").select("tag")
-    good = t.join(F.broadcast(shared), "tag", "left_semi").select(key).distinct().withColumn("__ok", F.lit(1))
+    good = t.join(shared, "tag", "left_semi").select(key).distinct().withColumn("__ok", F.lit(1))
     return df.select(key).join(good, key, "left").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("__ok", F.lit(0))), 6).alias("rate"))

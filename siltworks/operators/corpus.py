@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import uniform
+from ..sources.tables import kept
 
 
 def usable(df: DataFrame, *flags: str) -> DataFrame:
@@ -73,6 +74,48 @@ def machine_field(content: Column) -> Column:
     return F.when((F.octet_length(content) >= 64) & (F.substring(content, 1, 2) == F.lit(bytearray(b"MZ"))) & (F.substring(content, offset + 1, 2) == F.lit(bytearray(b"PE"))), here)
 
 
+# Fixed values of the executable header: where its offset stands, and the two fields, the magics and the machines.
+_OFFSET_AT, _OPTIONAL, _SUBSYSTEM = 0x3C, 24, 0x44
+_MACHINES = {0x10B: 0x14C, 0x20B: 0x8664}
+
+
+def little(content: Column, at: Column | int, size: int) -> Column:
+    """The unsigned little-endian number of ``size`` bytes at offset ``at``; null where the content ends before."""
+    start = F.lit(at) if isinstance(at, int) else at
+    byte = lambda k: F.hex(F.substring(content, (start + (k + 1)).cast("int"), F.lit(1)))
+    digits = F.concat(*(byte(k) for k in reversed(range(size))))
+    return F.when(F.octet_length(content) >= start + size, F.conv(digits, 16, 10).cast("long"))
+
+
+def header_offset(content: Column) -> Column:
+    """Where the header of an executable begins, by the offset in the content itself; null if there is no whole header."""
+    offset = little(content, _OFFSET_AT, 4)
+    whole = (F.substring(content, 1, 2) == F.lit(bytearray(b"MZ"))) & (offset + _OPTIONAL + _SUBSYSTEM + 2 <= F.octet_length(content))
+    # the offset fits an int where the header lies within the content
+    signature = F.substring(content, F.when(whole, offset + 1).otherwise(1).cast("int"), F.lit(4)) == F.lit(bytearray(b"PE\0\0"))
+    return F.when(whole & signature, offset)
+
+
+def _patched(content: Column, at: Column, value: bytes) -> Column:
+    return F.overlay(content, F.lit(bytearray(value)), (at + 1).cast("int"), F.lit(len(value)))
+
+
+def model_view(content: Column) -> Column:
+    """An executable with its machine and subsystem fields set to zero, the same for every class; null if it has no header."""
+    at = header_offset(content)
+    return F.when(at.isNotNull(), _patched(_patched(content, at + 4, bytes(2)), at + (_OPTIONAL + _SUBSYSTEM), bytes(2)))
+
+
+def analysis_view(content: Column) -> Column:
+    """An executable whose zeroed machine field is restored from the header's magic, where that is known; null if it has no header."""
+    at = header_offset(content)
+    machine, magic = little(content, at + 4, 2), little(content, at + _OPTIONAL, 2)
+    out = content
+    for known, value in _MACHINES.items():
+        out = F.when((machine == 0) & (magic == known), _patched(content, at + 4, value.to_bytes(2, "little"))).otherwise(out)
+    return F.when(at.isNotNull(), out)
+
+
 def normal_operand(kind: Column, value: Column, base: Column, scale: Column, disp: Column, least: int = -5000, most: int = 5000) -> Column:
     """One operand as text: registers by name, small immediates in hex, others ``HIMM``, memory by its parts; null for other kinds.
 
@@ -103,9 +146,19 @@ def padded(items: Column, n: int) -> tuple[Column, Column]:
     return F.slice(F.concat(F.slice(items, 1, n), F.array_repeat(F.lit(0).cast("long"), n)), 1, n), F.least(F.size(items), F.lit(n))
 
 
+#: Vocabularies of up to so many rows are sent to all tasks.
+SENT_ROWS = 200_000
+
+
 def encode(tokens: DataFrame, vocabulary: DataFrame, unknown: int) -> DataFrame:
-    """(doc, pos, token) as ids by document in order, with the unknown ones' count; the vocabulary is (token, id)."""
-    known = tokens.join(vocabulary, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
+    """(doc, pos, token) as ids by document in order, with the unknown ones' count; the vocabulary is (token, id).
+
+    A vocabulary of up to ``SENT_ROWS`` rows goes to the tokens, so they are shuffled
+    once, back to their documents; a larger one meets them by a join on the token.
+    """
+    vocabulary = kept(vocabulary, "vocabulary")
+    small = vocabulary.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    known = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
     return known.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"), F.count("*").alias("n_tokens"), F.count_if(F.col("id") == unknown).alias("n_unknown"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import seeded
+from ..sources.tables import kept
 from .running import rank_within
 
 BINS, TOP = 16, math.log(10001)
@@ -95,19 +96,21 @@ def top_degree(edges: DataFrame, n: int) -> DataFrame:
 def random_walks(edges: DataFrame, length: int, per_node: int, seed: str) -> DataFrame:
     """(graph_id, walk, path): walks over the undirected graph by seeded choice.
 
-    Each step is one join: a node's neighbours are numbered once, and the seeded
-    number picks one of them by (node, number), so no adjacency list is carried.
+    Neighbours are numbered once, in a table that also has each neighbour's own
+    degree; a step is one join by (node, number), which brings the degree of where
+    it leads, so no adjacency list is carried.
     """
     both = edges.select("graph_id", "src", "dst").union(edges.select("graph_id", "dst", "src")).distinct()
-    w = Window.partitionBy("graph_id", "src")
-    adjacent = both.select("graph_id", F.col("src").alias("at"), (F.row_number().over(w.orderBy("dst")) - 1).alias("no"), F.col("dst").alias("to"), F.count("*").over(w).alias("deg"))
-    deg = adjacent.where("no = 0").select("graph_id", "at", "deg")
-    walks = deg.select("graph_id", "at", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("k"))
-    walks = walks.select("graph_id", F.concat_ws("#", "at", "k").alias("walk"), "at", F.array("at").alias("path"))
+    numbered = rank_within(both, ["graph_id", "src"], [F.col("dst")], "no")
+    deg = kept(both.groupBy("graph_id", F.col("src").alias("at")).agg(F.count("*").alias("deg")), "degrees")
+    near = numbered.select("graph_id", F.col("src").alias("at"), (F.col("no") - 1).alias("no"), F.col("dst").alias("to"))
+    near = kept(near.join(deg.select("graph_id", F.col("at").alias("to"), F.col("deg").alias("to_deg")), ["graph_id", "to"]), "neighbours")
+    walks = deg.select("graph_id", "at", "deg", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("k"))
+    walks = walks.select("graph_id", F.concat_ws("#", "at", "k").alias("walk"), "at", "deg", F.array("at").alias("path"))
     for i in range(length - 1):
-        pick = F.pmod(F.conv(F.substring(seeded(seed, F.col("graph_id"), F.col("walk"), F.lit(i)), 1, 8), 16, 10).cast("long"), F.col("deg")).cast("int")
-        walks = walks.join(deg, ["graph_id", "at"]).withColumn("no", pick).drop("deg")
-        walks = walks.join(adjacent.drop("deg"), ["graph_id", "at", "no"]).select("graph_id", "walk", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
+        pick = F.pmod(F.conv(F.substring(seeded(seed, F.col("graph_id"), F.col("walk"), F.lit(i)), 1, 8), 16, 10).cast("long"), F.col("deg"))
+        walks = walks.withColumn("no", pick).join(near, ["graph_id", "at", "no"])
+        walks = walks.select("graph_id", "walk", F.col("to").alias("at"), F.col("to_deg").alias("deg"), F.concat("path", F.array("to")).alias("path"))
     return walks.select("graph_id", "walk", "path")
 
 
@@ -121,7 +124,7 @@ def walk_embedding(edges: DataFrame, dim: int = 128, walks: int = 20, length: in
     all pairs within the window is minimised, so no pair is listed: counts of
     pairs are a matrix of nodes.  Graphs without an edge give no row.
     """
-    kept = top_degree(edges.where("src != dst").select("graph_id", "src", "dst").distinct(), most_nodes)
+    top = top_degree(edges.where("src != dst").select("graph_id", "src", "dst").distinct(), most_nodes)
 
     def fit(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         names, at = np.unique(np.concatenate((f["src"].to_numpy(), f["dst"].to_numpy())).astype(str), return_inverse=True)
@@ -132,7 +135,7 @@ def walk_embedding(edges: DataFrame, dim: int = 128, walks: int = 20, length: in
         mean /= max(float(np.sqrt((mean * mean).sum())), 1e-12)
         return pd.DataFrame({"graph_id": key[0], "node": names, "vector": list(vectors.astype(np.float32)), "graph_vector": [mean.astype(np.float32)] * len(names)})
 
-    return kept.groupBy("graph_id").applyInPandas(fit, f"graph_id {edges.schema['graph_id'].dataType.simpleString()}, node string, vector array<float>, graph_vector array<float>")
+    return top.groupBy("graph_id").applyInPandas(fit, f"graph_id {edges.schema['graph_id'].dataType.simpleString()}, node string, vector array<float>, graph_vector array<float>")
 
 
 def pair_counts(src: np.ndarray, dst: np.ndarray, n: int, walks: int, length: int, window: int, rng: np.random.Generator) -> np.ndarray:

@@ -64,6 +64,15 @@ def overlap_pairs(df: DataFrame, key: str, tags: str) -> DataFrame:
     return a.join(b, "tag").where("a < b").select("a", "b").distinct()
 
 
+def overlap_classes(df: DataFrame, tags: str) -> DataFrame:
+    """(a, b, pairs): classes of rows by their tags, a <= b, that share a tag, and how many pairs of different rows that makes; no pair of rows is listed."""
+    classes = df.where(F.size(tags) > 0).groupBy(F.array_join(F.array_sort(F.array_distinct(tags)), ",").alias("class")).agg(F.count("*").alias("n"))
+    t = classes.select("class", "n", F.explode(F.split("class", ",")).alias("tag"))
+    both = t.select(F.col("class").alias("a"), F.col("n").alias("a_n"), "tag").join(t.select(F.col("class").alias("b"), F.col("n").alias("b_n"), "tag"), "tag").where("a <= b").drop("tag").distinct()
+    pairs = F.when(F.col("a") == F.col("b"), F.col("a_n") * (F.col("a_n") - 1) / 2).otherwise(F.col("a_n") * F.col("b_n"))
+    return both.select("a", "b", pairs.cast("long").alias("pairs"))
+
+
 def batch_pairs(df: DataFrame, batch: str, key: str, tags: str, label: str) -> DataFrame:
     """Pairs a < b of one batch that share a tag or both have ``label`` 0, once each. Batches are of fixed size."""
     t = df.select(batch, F.col(key), F.explode(F.concat(F.transform(tags, lambda x: F.concat(F.lit("t:"), x)), F.when(F.col(label) == 0, F.array(F.lit("clean"))).otherwise(F.array()))).alias("tag"))
@@ -71,6 +80,13 @@ def batch_pairs(df: DataFrame, batch: str, key: str, tags: str, label: str) -> D
     return a.join(b, [batch, "tag"]).where("a < b").select("a", "b").distinct()
 
 
+def shifted_negatives(pairs: DataFrame, step: int = 1) -> DataFrame:
+    """(a, b + ``step``) of each pair, once each, without pairs of one row and without any of ``pairs`` in either order."""
+    drawn = pairs.select("a", (F.col("b") + step).alias("b")).where("a <> b").distinct()
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return drawn.join(both, ["a", "b"], "left_anti")
+
+
 def expand_pairs(pairs: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
     """(a, b, label) with both sides' values."""
     left = values.select(F.col(key).alias("a"), F.col(value).alias(f"a_{value}"))

@@ -29,10 +29,10 @@ def by_score(df: DataFrame, score: str, truth: str, *keys: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, score: str, truth: str, *keys: str) -> DataFrame:
-    """Area under the ROC curve; ties count half."""
+    """Area under the ROC curve; ties count half; null if there is one class only."""
     t = running_sums(by_score(df, score, truth, *keys), [F.col("score")], ["neg"], list(keys))
     won = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
-    return t.groupBy(*keys).agg(F.round(F.sum(won) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    return t.groupBy(*keys).agg(F.round(F.try_divide(F.sum(won), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
 def roc_curve(df: DataFrame, score: str, truth: str) -> DataFrame:
@@ -46,7 +46,7 @@ def average_precision(df: DataFrame, score: str, truth: str, *keys: str) -> Data
     """Step sum of precision over recall at distinct thresholds."""
     t = running_sums(by_score(df, score, truth, *keys), [F.col("score").desc()], ["pos", "neg"], list(keys))
     part = F.col("pos") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto"))
-    return t.groupBy(*keys).agg((F.sum(part) / F.sum("pos")).alias("ap"))
+    return t.groupBy(*keys).agg(F.try_divide(F.sum(part), F.sum("pos")).alias("ap"))
 
 
 def tpr_at_fpr(df: DataFrame, score: str, truth: str, targets: list[float]) -> DataFrame:
@@ -118,8 +118,9 @@ def tag_retrieval(neighbours: DataFrame, queries: DataFrame, index: DataFrame, k
     signature = lambda c: F.array_join(c, ",")
     i_sig = it.groupBy(signature("it").alias("is")).agg(F.first("it").alias("it"), F.count("*").alias("n"))
     q_sig = qt.groupBy(signature("qt").alias("qs")).agg(F.first("qt").alias("qt"))
-    # tag signatures: a table of the tags' combinations, not of rows
-    n_rel = q_sig.join(F.broadcast(i_sig), F.arrays_overlap("qt", "it")).groupBy("qs").agg(F.sum("n").alias("n_rel"))
+    # signatures that share a tag, once each: tables of the tags' combinations, not of rows
+    shared = q_sig.select("qs", F.explode("qt").alias("tag")).join(i_sig.select("is", F.explode("it").alias("tag")), "tag").select("qs", "is").distinct()
+    n_rel = shared.join(i_sig.select("is", "n"), "is").groupBy("qs").agg(F.sum("n").alias("n_rel"))
     at = n.select("query_id", "rank", "rel", signature("qt").alias("qs"), F.explode(F.array(*map(F.lit, ks))).alias("k")).where("rank <= k")
     q = at.groupBy("query_id", "k", "qs").agg(F.sum("rel").alias("hits"), F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("dcg")).join(n_rel, "qs", "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("k", F.coalesce("n_rel", F.lit(0))), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
@@ -147,6 +148,18 @@ def select_threshold(df: DataFrame, grid: list[float]) -> DataFrame:
     return c.agg(F.max(F.struct(f1.alias("f1"), (-F.col("t")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.round("b.f1", 6).alias("f1"))
 
 
+def mixed(df: DataFrame, first: str, second: str, steps: int = 10) -> DataFrame:
+    """Each row once for every weight 0, 1/steps, ..., 1 of ``first`` against ``second``: ``alpha``, ``mixed``."""
+    cells = df.select("*", F.explode(F.array(*(F.lit(i / steps) for i in range(steps + 1)))).alias("alpha"))
+    return cells.withColumn("mixed", F.round(F.col("alpha") * F.col(first) + (1 - F.col("alpha")) * F.col(second), 6))
+
+
+def best_mix(val: DataFrame, first: str, second: str, truth: str, steps: int = 10) -> DataFrame:
+    """(alpha, ap): the weight with the greatest average precision on validation rows; of equal ones the least."""
+    scored = average_precision(mixed(val, first, second, steps), "mixed", truth, "alpha").select("alpha", F.round("ap", 9).alias("ap"))
+    return scored.agg(F.max(F.struct("ap", (-F.col("alpha")).alias("low"))).alias("b")).select((-F.col("b.low")).alias("alpha"), F.col("b.ap").alias("ap"))
+
+
 def risk_coverage(df: DataFrame, novelty: str, key: str, score: str, truth: str, shares: list[float]) -> DataFrame:
     """Metrics over the least novel share of rows, for each share."""
     ranked = global_rank(df, [F.col(novelty), F.col(key)], "rank")

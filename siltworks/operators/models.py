@@ -35,3 +35,25 @@ def feed_forward(df: DataFrame, label: str, train: Column, layers: list[int], se
 
 def linear_head(df: DataFrame, label: str, train: Column):
     return LogisticRegression(regParam=0.01, maxIter=30).fit(df.where(train).withColumn("label", F.col(label).cast("double")))
+
+
+def cross_validated(df: DataFrame, label: str, fold: str, folds: int, grid: list[float]) -> DataFrame:
+    """(fold, reg, score, truth): what linear heads of each regularisation of a short grid say of each fold's rows after learning from the others'.
+
+    Fits are one a fold and value; what they say is one table, which a single job reads.
+    """
+    out, rows = None, df.withColumn("label", F.col(label).cast("double"))
+    for k in range(folds):
+        for reg in grid:
+            model = LogisticRegression(regParam=reg, maxIter=30).fit(rows.where(F.col(fold) != k))
+            said = predict(model, rows.where(F.col(fold) == k), label).select(F.lit(k).cast("long").alias("fold"), F.lit(reg).alias("reg"), "score", F.col(label).alias("truth"))
+            out = said if out is None else out.unionByName(said)
+    return out
+
+
+def fold_means(scored: DataFrame) -> DataFrame:
+    """(fold, auc): the best area under the curve of each fold over the grid, and in a last row of fold -1 their mean."""
+    from .metrics import roc_auc
+
+    best = roc_auc(scored, "score", "truth", "fold", "reg").groupBy("fold").agg(F.max("auc").alias("auc"))
+    return best.unionByName(best.agg(F.lit(-1).cast("long").alias("fold"), F.avg("auc").alias("auc")))

@@ -148,7 +148,7 @@ def sampler_weights(df: DataFrame, key: str, label: str, tags: str, untagged: fl
     """Inverse tag frequency, mean over a row's tags; negatives 1; positives scaled so that both classes weigh the same."""
     t = df.select(key, F.explode(tags).alias("tag"))
     freq = t.groupBy("tag").agg(F.count("*").alias("n"))
-    raw = t.join(F.broadcast(freq), "tag").groupBy(key).agg(F.avg(1 / F.col("n")).alias("w"))
+    raw = t.join(freq, "tag").groupBy(key).agg(F.avg(1 / F.col("n")).alias("w"))
     w = F.when(F.col(label) == 0, 1.0).otherwise(F.coalesce("w", F.lit(untagged)))
     rows = df.select(key, label).join(raw, key, "left").select(key, label, w.alias("w"))
     sums = rows.agg(F.sum(F.when(F.col(label) == 0, F.col("w"))).alias("__neg"), F.sum(F.when(F.col(label) == 1, F.col("w"))).alias("__pos"))

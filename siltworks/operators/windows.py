@@ -22,3 +22,20 @@ def top_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first ``n`` rows of all, with their rank from 1: a report of fixed length, so one task may number it."""
     best = df.orderBy(*order).limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def scraped_metric(lines: DataFrame, key: str, order: str, line: str, header: str, title: str, row: str, column: int) -> DataFrame:
+    """(``key``, section, run, metric) of log lines: a section a header line, with the word after ``header`` as its run.
+
+    The metric is the ``column``-th word of the first line that begins with ``row``
+    after the section's last line that holds ``title`` (after its header, if there
+    is none), as a number; sections without such a line have none.
+    """
+    text = F.trim(F.col(line))
+    marked = sections(lines.withColumn("__head", F.col(line).startswith(header)), key, order, "__head").where("section > 0")
+    own = Window.partitionBy(key, "section")
+    from_title = F.col(order) > F.coalesce(F.max(F.when(F.contains(F.col(line), F.lit(title)), F.col(order))).over(own), F.min(order).over(own))
+    found = marked.withColumn("__hit", from_title & text.startswith(row))
+    word = F.try_element_at(F.split(F.min_by(text, F.when(F.col("__hit"), F.col(order))), r"\s+"), F.lit(column))
+    run = F.max(F.when(F.col("__head"), F.element_at(F.split(F.trim(F.substring(line, len(header) + 1, 1 << 20)), r"\s+"), 1)))
+    return found.groupBy(key, "section").agg(run.alias("run"), word.try_cast("double").alias("metric")).where("metric is not null")

@@ -61,6 +61,16 @@ def sink_roundtrip(spark: S, d: str) -> DataFrame:
     return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("SELECT kind, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES ('csv'), ('json'), ('parquet')) k(kind) GROUP BY 1, 2")
+def sink_formats(spark: S, d: str) -> DataFrame:
+    """Each sink's rows as they are read back."""
+    out, orders = None, table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    for kind in ("csv", "json", "parquet"):
+        back = M.round_trip_as(orders, workspace(spark, kind), kind).withColumn("kind", F.lit(kind))
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy("kind", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, props->>'$.absent.deeper' AS missing FROM events""")
 def nested_json_get(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.absent.deeper").alias("missing"))
@@ -89,6 +99,25 @@ def log_sections(spark: S, d: str) -> DataFrame:
     return sectioned(spark, d).where("section > 0").groupBy("doc_id", "section").agg(F.max(F.when(F.col("header"), F.col("line"))).alias("run"), F.count_if(~F.col("header") & F.col("line").startswith("The")).alias("n_rows"))
 
 
+PRICE = "printf('%.4f', o_totalprice / {0})"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey % 7 AS log, o_orderkey AS k, o_custkey AS run, {PRICE.format("1e6")} AS x, {PRICE.format("2e6")} AS y FROM orders),
+m AS (SELECT log, run::VARCHAR AS run, CASE WHEN k % 3 = 0 THEN y::DOUBLE WHEN k % 5 <> 0 THEN x::DOUBLE WHEN k % 11 <> 0 THEN 7.0::DOUBLE END AS metric FROM o)
+SELECT log, run, count(*) AS n, round(avg(metric), 6) AS mean, round(stddev_pop(metric), 6) AS std FROM m WHERE metric IS NOT NULL GROUP BY 1, 2""")
+def log_metrics(spark: S, d: str) -> DataFrame:
+    """The metric of each run of made logs, by the row that begins with 10 below the last title; mean and deviation by run."""
+    from ..operators.windows import scraped_metric
+
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    x, y = (F.format_string("%.4f", F.col("o_totalprice") / by) for by in (1e6, 2e6))
+    title = F.lit("== Gated fusion ==")
+    text = [F.concat(F.lit("### RUN = "), F.col("o_custkey"), F.lit(" begins")), F.lit("10 9.9 9.9"), title, F.lit("  1 0.1 0.2"), F.when(k % 5 == 0, "5 0.3 0.3").otherwise(F.concat(F.lit("  10 0.3 "), x)), F.when(k % 3 == 0, title).otherwise("other"), F.when(k % 3 == 0, F.concat(F.lit("10  0.5 "), y)).when(k % 11 == 0, "end").otherwise("100 0.1 7.0")]
+    lines = o.select((k % 7).alias("log"), k.alias("k"), F.posexplode(F.array(*text)).alias("pos", "line")).select("log", (F.col("k") * 10 + F.col("pos")).alias("no"), "line")
+    found = scraped_metric(lines, "log", "no", "line", "### RUN = ", "Gated fusion", "10", 3)
+    return found.groupBy("log", "run").agg(F.count("*").alias("n"), F.round(F.avg("metric"), 6).alias("mean"), F.round(F.stddev_pop("metric"), 6).alias("std"))
+
+
 # ---------------------------------------------------------------- filters and scalar functions
 
 
@@ -142,6 +171,36 @@ def field_mask(spark: S, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.upper(F.hex(F.sha2(C.masked_bytes(raw, (3, 2), (7, 2)), 256))).alias("h"))
 
 
+# Made executables: an offset of its own for each row, both magics, zeroed and other machines; some without a signature, some cut short, some with an offset beyond their end.
+LE = "substr(printf('%08X', {0}), 7, 2) || substr(printf('%08X', {0}), 5, 2) || substr(printf('%08X', {0}), 3, 2) || substr(printf('%08X', {0}), 1, 2)"
+HEADERS = f"""made AS (SELECT doc_id, 64 + doc_id % 32 AS e, CASE doc_id % 3 WHEN 0 THEN '0B01' WHEN 1 THEN '0B02' ELSE '0701' END AS magic, CASE WHEN doc_id % 2 = 0 THEN '0000' ELSE '64AA' END AS machine, upper(hex(encode(left(text, 40)))) AS tail FROM documents),
+whole AS (SELECT doc_id, e, CASE WHEN doc_id % 11 = 0 THEN '5A4D' ELSE '4D5A' END || repeat('00', 58) || {LE.format("CASE WHEN doc_id % 7 = 0 THEN 4000000000 ELSE e END")} || repeat('CC', (e - 64)::INTEGER)
+  || CASE WHEN doc_id % 13 = 0 THEN '50454500' ELSE '50450000' END || machine || repeat('11', 18) || magic || repeat('22', 66) || '0300' || tail AS h FROM made),
+headers AS (SELECT doc_id, e, CASE WHEN doc_id % 5 = 0 THEN left(h, (2 * (e + 20))::INTEGER) ELSE h END AS h FROM whole),
+judged AS (SELECT *, doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND doc_id % 13 <> 0 AND length(h) >= 2 * (e + 94) AS ok FROM headers)"""
+
+
+def headers(spark: S, d: str) -> DataFrame:
+    """(doc_id, content): the same in Spark."""
+    e, n = 64 + F.col("doc_id") % 32, F.col("doc_id")
+    shown = F.when(n % 7 == 0, F.lit("EE6B2800")).otherwise(F.lpad(F.hex(e), 8, "0"))
+    little = F.concat(*(F.substring(shown, k, 2) for k in (7, 5, 3, 1)))
+    magic = F.when(n % 3 == 0, "0B01").when(n % 3 == 1, "0B02").otherwise("0701")
+    parts = [F.when(n % 11 == 0, "5A4D").otherwise("4D5A"), F.lit("00" * 58), little, F.repeat(F.lit("CC"), (e - 64).cast("int")), F.when(n % 13 == 0, "50454500").otherwise("50450000"), F.when(n % 2 == 0, "0000").otherwise("64AA"), F.lit("11" * 18), magic, F.lit("22" * 66), F.lit("0300"), F.hex(F.encode(F.left("text", F.lit(40)), "UTF-8"))]
+    whole = F.concat(*parts)
+    return table(spark, d, "documents").select("doc_id", F.unhex(F.when(n % 5 == 0, F.left(whole, (2 * (e + 20)).cast("int"))).otherwise(whole)).alias("content"))
+
+
+@query(f"""WITH {HEADERS}, v AS (SELECT doc_id, ok, substr(h, (2 * e + 49)::BIGINT, 4) AS magic, substr(h, (2 * e + 9)::BIGINT, 4) AS machine,
+  left(h, (2 * e + 8)::BIGINT) || '0000' || substr(h, (2 * e + 13)::BIGINT, (2 * (24 + 68 - 6))::BIGINT) || '0000' || substr(h, (2 * (e + 94) + 1)::BIGINT) AS model,
+  left(h, (2 * e + 8)::BIGINT) AS before, substr(h, (2 * e + 13)::BIGINT) AS after FROM judged)
+SELECT doc_id, CASE WHEN ok THEN sha256(model) END AS model, CASE WHEN ok THEN sha256(before || CASE WHEN machine = '0000' AND magic = '0B01' THEN '4C01' WHEN machine = '0000' AND magic = '0B02' THEN '6486' ELSE machine END || after) END AS analysis FROM v""")
+def header_views(spark: S, d: str) -> DataFrame:
+    """Both views of made executables, as digests of their hex; null without a whole header."""
+    shown = lambda view: F.sha2(F.hex(view), 256)
+    return headers(spark, d).select("doc_id", shown(C.model_view(F.col("content"))).alias("model"), shown(C.analysis_view(F.col("content"))).alias("analysis"))
+
+
 TOKENS = """tokens AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws)))::BIGINT AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents))"""
 
 
@@ -157,6 +216,32 @@ def token_normalise(spark: S, d: str) -> DataFrame:
     return t.where(F.col("token").rlike("^[0-9]+$") | (F.col("token") == "HIMM")).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+# Made instructions: one a line item, with up to two operands of each kind.
+INSTRUCTIONS = """raw AS (SELECT l_orderkey AS ok, l_linenumber AS no, ['mov', 'xor', 'lea', 'push', 'ret'][(l_partkey % 5) + 1] AS m, ['eax', 'ebx', 'esp', 'r8d'][(l_suppkey % 4) + 1] AS reg,
+  (l_partkey - 700) * (l_linenumber * l_linenumber * l_linenumber) AS imm, CASE l_suppkey % 3 WHEN 0 THEN '0' WHEN 1 THEN 'rbx' END AS base, CASE WHEN l_partkey % 2 = 0 THEN 4 END AS scale, l_partkey % 9000 AS disp, l_partkey % 5 AS k FROM lineitem),
+ops AS (SELECT *, reg AS r, CASE WHEN imm BETWEEN -5000 AND 5000 THEN CASE WHEN imm < 0 THEN '-' ELSE '' END || '0x' || lower(printf('%x', abs(imm)::BIGINT)) ELSE 'HIMM' END AS i,
+  CASE WHEN base IS NULL OR base = '0' THEN '[MEM]' ELSE '[' || base || '*' || coalesce(scale, 1) || '+' || disp || ']' END AS d FROM raw)"""
+
+
+@query(f"""WITH {INSTRUCTIONS}, t AS (SELECT ok, 'X_' || m || CASE k WHEN 0 THEN '_' || r || ',_' || i WHEN 1 THEN '_' || r || ',_' || r WHEN 2 THEN '_' || r || ',_' || d WHEN 3 THEN '_' || i ELSE '' END AS token FROM ops)
+SELECT token, count(*) AS n, count(DISTINCT ok) AS n_orders FROM t GROUP BY 1""")
+def instruction_tokens(spark: S, d: str) -> DataFrame:
+    """How often each normalised instruction occurs."""
+    raw = table(spark, d, "lineitem")
+    k, reg = F.col("l_partkey") % 5, F.element_at(F.array(*map(F.lit, ("eax", "ebx", "esp", "r8d"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    imm = ((F.col("l_partkey") - 700) * F.col("l_linenumber") * F.col("l_linenumber") * F.col("l_linenumber")).cast("long")
+    base = F.when(F.col("l_suppkey") % 3 == 0, "0").when(F.col("l_suppkey") % 3 == 1, "rbx")
+    null = lambda t: F.lit(None).cast(t)
+    make = lambda kind, value, b, s, x: F.struct(F.lit(kind).alias("type"), value.alias("value"), b.alias("base"), s.alias("scale"), x.alias("disp"))
+    r = make("reg", reg, null("string"), null("int"), null("long"))
+    i = make("imm", imm.cast("string"), null("string"), null("int"), null("long"))
+    m = make("mem", null("string"), base, F.when(F.col("l_partkey") % 2 == 0, 4), (F.col("l_partkey") % 9000).cast("long"))
+    operands = F.when(k == 0, F.array(r, i)).when(k == 1, F.array(r, r)).when(k == 2, F.array(r, m)).when(k == 3, F.array(i)).otherwise(F.slice(F.array(r), 1, 0))
+    name = F.element_at(F.array(*map(F.lit, ("mov", "xor", "lea", "push", "ret"))), (k + 1).cast("int"))
+    t = raw.select(F.col("l_orderkey").alias("ok"), C.normal_instruction(name, operands).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("ok").alias("n_orders"))
+
+
 CATEGORIES = [("STANDARD", "plain"), ("SMALL", "size"), ("MEDIUM", "size"), ("LARGE", "size"), ("ECONOMY", "plain"), ("ECONOMY", "cheap"), ("PROMO", "cheap")]
 
 
@@ -377,15 +462,22 @@ def verify_checksum(spark: S, d: str) -> DataFrame:
 
 @query(f"""WITH {X.VECTORS}, t AS (SELECT vec_id, unnest(tags) AS tag FROM vectors WHERE part = 'test'),
 pos AS (SELECT DISTINCT x.vec_id AS a, y.vec_id AS b, 1 AS label FROM t x JOIN t y USING (tag) WHERE x.vec_id < y.vec_id),
-v AS (SELECT vec_id AS id, round(emb[1], 6) AS x FROM vectors), neg AS (SELECT a, b + 1 AS b, -1 AS label FROM pos WHERE b + 1 <> a)
+v AS (SELECT vec_id AS id, round(emb[1], 6) AS x FROM vectors), drawn AS (SELECT DISTINCT a, b + 1 AS b FROM pos WHERE b + 1 <> a), neg AS (SELECT a, b, -1 AS label FROM drawn n WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE (p.a = n.a AND p.b = n.b) OR (p.a = n.b AND p.b = n.a)))
 SELECT a, b, label, p.x AS a_x, q.x AS b_x FROM (SELECT * FROM pos UNION ALL SELECT * FROM neg) JOIN v p ON p.id = a JOIN v q ON q.id = b""")
 def pair_expand(spark: S, d: str) -> DataFrame:
     v = X.vectors(spark, d)
     pos = J.overlap_pairs(v.where("part = 'test'"), "vec_id", "tags").withColumn("label", F.lit(1))
-    neg = pos.select("a", (F.col("b") + 1).alias("b"), F.lit(-1).alias("label")).where("a <> b")
+    neg = J.shifted_negatives(pos).withColumn("label", F.lit(-1))
     return J.expand_pairs(pos.unionByName(neg), v.select(F.col("vec_id").alias("id"), F.round(F.col("emb")[0], 6).alias("x")), "id", "x")
 
 
+@query(f"""WITH {X.VECTORS}, c AS (SELECT vec_id, array_to_string(list_sort(tags), ',') AS c, tags FROM vectors WHERE len(tags) > 0)
+SELECT least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, count(*) AS pairs FROM c x JOIN c y ON x.vec_id < y.vec_id AND len(list_intersect(x.tags, y.tags)) > 0 GROUP BY 1, 2""")
+def positive_pair_classes(spark: S, d: str) -> DataFrame:
+    """Positive pairs of all rows by their classes of tags, counted without listing them."""
+    return J.overlap_classes(X.vectors(spark, d), "tags").where("pairs > 0")
+
+
 def batch_positives(spark: S, d: str) -> DataFrame:
     """The reference's positive pairs: over all rows of a batch."""
     v = X.vectors(spark, d).withColumn("batch", F.floor(F.col("vec_id") / 32).cast("long"))
@@ -401,12 +493,12 @@ def positive_pairs_all(spark: S, d: str) -> DataFrame:
 
 
 @query(f"""WITH {X.VECTORS}, pos AS ({BATCH_POSITIVES}),
-v AS (SELECT vec_id AS id, round(emb[1], 6) AS x FROM vectors), neg AS (SELECT a, b + 1 AS b, -1 AS label FROM pos WHERE b + 1 <> a)
+v AS (SELECT vec_id AS id, round(emb[1], 6) AS x FROM vectors), drawn AS (SELECT DISTINCT a, b + 1 AS b FROM pos WHERE b + 1 <> a), neg AS (SELECT a, b, -1 AS label FROM drawn n WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE (p.a = n.a AND p.b = n.b) OR (p.a = n.b AND p.b = n.a)))
 SELECT a, b, label, p.x AS a_x, q.x AS b_x FROM (SELECT a, b, 1 AS label FROM pos UNION ALL SELECT * FROM neg) JOIN v p ON p.id = a JOIN v q ON q.id = b""")
 def pair_expand_all(spark: S, d: str) -> DataFrame:
     v = X.vectors(spark, d)
     pos = batch_positives(spark, d).withColumn("label", F.lit(1))
-    neg = pos.select("a", (F.col("b") + 1).alias("b"), F.lit(-1).alias("label")).where("a <> b")
+    neg = J.shifted_negatives(pos).withColumn("label", F.lit(-1))
     return J.expand_pairs(pos.unionByName(neg), v.select(F.col("vec_id").alias("id"), F.round(F.col("emb")[0], 6).alias("x")), "id", "x")
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sigmoid
 from ..operators import metrics as M
+from ..operators import report as R
 from ..operators import vectors as V
 from ..operators.neighbours import knn, knn_cells
+from ..sources.tables import kept, workspace
 from . import fixtures as X
 from .accounting import EVAL, eval_records
-from .registry import query
+from .registry import query, table
 
 S = SparkSession
 
@@ -234,6 +236,99 @@ def fuse_alpha(spark: S, d: str) -> DataFrame:
     return M.average_precision(f, "mixed", "y", "alpha").select("alpha", F.round("ap", 6).alias("ap"))
 
 
+#: Scores of validation rows by their neighbours in train, and of test rows by those in train and validation.
+PHASED = f"""{X.VECTORS}, units AS (SELECT *, list_transform(emb, lambda x: x / greatest(sqrt(list_sum(list_transform(emb, lambda z: z * z))), 1e-12)) AS u FROM vectors),
+sims AS (SELECT q.vec_id AS query_id, i.y AS iy, i.vec_id AS idx_id, round(list_dot_product(q.u, i.u), 9) AS sim FROM units q JOIN units i ON (q.part = 'val' AND i.part = 'train') OR (q.part = 'test' AND i.part <> 'test')),
+nb AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, idx_id) <= 20),
+w AS (SELECT query_id, iy, exp((sim - max(sim) OVER (PARTITION BY query_id)) / 0.07) AS w FROM nb),
+heads AS (SELECT vec_id AS query_id, part, y, round(any_value(1 / (1 + exp(-8 * emb[1]))), 3) AS head, round(sum(w * iy) / sum(w), 6) AS knn FROM w JOIN vectors ON vec_id = query_id GROUP BY 1, 2, 3)"""
+
+
+def phased(spark: S, d: str) -> DataFrame:
+    """(query_id, part, y, head, knn) of validation and test rows."""
+    v, out = X.vectors(spark, d), None
+    for part, seen in (("val", "part = 'train'"), ("test", "part <> 'test'")):
+        near = knn(v.where(F.col("part") == part).select("vec_id", "emb"), v.where(seen).select("vec_id", "emb"), 20)
+        scored = V.class_score(near, v.select("vec_id", "y"), 0.07)
+        out = scored if out is None else out.unionByName(scored)
+    head = v.select(F.col("vec_id").alias("query_id"), "part", "y", F.round(sigmoid(8 * F.col("emb")[0]), 3).alias("head"))
+    return head.join(out.select("query_id", F.round("score", 6).alias("knn")), "query_id")
+
+
+@query(f"""WITH {PHASED}, al AS (SELECT i / 10.0 AS alpha, part, y, round((i / 10.0) * head + (1 - i / 10.0) * knn, 6) AS score FROM heads, range(11) r(i)),
+g AS (SELECT part, alpha, score, count_if(y = 1)::BIGINT AS pos, count_if(y = 0)::BIGINT AS neg FROM al GROUP BY 1, 2, 3),
+s AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g WINDOW w AS (PARTITION BY part, alpha ORDER BY score DESC)),
+ap AS (SELECT part, alpha, sum(pos * tp / (tp + fp)) / sum(pos) AS ap, sum(pos * (sum_neg - fp + neg / 2)) / (sum(pos) * any_value(sum_neg)) AS auc FROM (SELECT *, sum(neg) OVER (PARTITION BY part, alpha) AS sum_neg FROM s) GROUP BY 1, 2),
+b AS (SELECT alpha FROM ap WHERE part = 'val' ORDER BY round(ap, 9) DESC, alpha LIMIT 1),
+c AS (SELECT count_if(score >= 0.5 AND y = 1) AS tp, count_if(score >= 0.5 AND y = 0) AS fp, count_if(score < 0.5 AND y = 1) AS fn, count_if(score < 0.5 AND y = 0) AS tn FROM al JOIN b USING (alpha) WHERE part = 'test'),
+m AS (SELECT tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r, (tp + tn) / (tp + fp + fn + tn) AS acc FROM c)
+SELECT alpha::DOUBLE AS alpha, round(acc, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(p + r, 1e-9), 6) AS f1, round(auc, 6) AS roc_auc, round(ap, 6) AS pr_auc FROM b JOIN ap USING (alpha), m WHERE part = 'test'""")
+def fuse_alpha_from_val(spark: S, d: str) -> DataFrame:
+    """The weight of head against neighbours that is best on validation, and what it gives on test."""
+    rows = kept(phased(spark, d), "phased")
+    best = kept(M.best_mix(rows.where("part = 'val'"), "head", "knn", "y").select("alpha"), "alpha")
+    test = rows.where("part = 'test'").crossJoin(F.broadcast(best)).withColumn("mixed", F.round(F.col("alpha") * F.col("head") + (1 - F.col("alpha")) * F.col("knn"), 6))
+    measures = M.confusion(test, "mixed", "y").select("accuracy", "precision", "recall", "f1")
+    auc, ap = M.roc_auc(test, "mixed", "y").toDF("roc_auc"), M.average_precision(test, "mixed", "y").select(F.round("ap", 6).alias("pr_auc"))
+    return best.crossJoin(measures).crossJoin(auc).crossJoin(ap)  # a row each
+
+
+@query(f"""WITH {SCORED}, f AS (SELECT (round(score, 9) >= 0.5) <> (y = 1) AS wrong, round(1 - nearest, 9) AS novelty FROM cls JOIN vectors ON vec_id = query_id),
+p AS (SELECT count(*) AS pairs, sum(CASE WHEN a.novelty > b.novelty THEN 1.0 WHEN a.novelty = b.novelty THEN 0.5 ELSE 0 END) AS won FROM f a JOIN f b ON a.wrong AND NOT b.wrong)
+SELECT (SELECT count_if(wrong) FROM f)::BIGINT AS errors, CASE WHEN pairs > 0 THEN round(won / pairs, 6)::DOUBLE END AS auroc FROM p""")
+def novelty_auroc(spark: S, d: str) -> DataFrame:
+    """How well novelty tells the errors of the neighbours' score from its hits."""
+    y = X.vectors(spark, d).select(F.col("vec_id").alias("query_id"), "y")
+    wrong = ((F.round("score", 9) >= 0.5) != (F.col("y") == 1)).cast("int")
+    f = kept(class_scores(spark, d).join(y, "query_id").select(wrong.alias("wrong"), F.round(1 - F.col("nearest"), 9).alias("novelty")), "novelty")
+    return f.agg(F.count_if(F.col("wrong") == 1).alias("errors")).crossJoin(M.roc_auc(f, "novelty", "wrong").select(F.col("auc").alias("auroc")))
+
+
+#: Experts by the rows that they cover; the last one covers too few.
+EXPERTS = {"a": "a IS NOT NULL", "b": "b IS NOT NULL", "c": "c IS NOT NULL", "few": "vec_id % 50 = 0"}
+
+
+def matched_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS expert, vec_id, part, y, tags, label, emb AS whole, {'emb' if n == 'few' else n} AS own FROM vectors WHERE {w}" for n, w in EXPERTS.items())
+    unit = lambda v: f"list_transform({v}, lambda x: x / greatest(sqrt(list_sum(list_transform({v}, lambda z: z * z))), 1e-12))"
+    return f"""WITH {X.VECTORS}, cover AS ({rows}),
+enough AS (SELECT expert FROM cover GROUP BY 1 HAVING least(count_if(part = 'train'), count_if(part = 'val'), count_if(part = 'test')) >= 10),
+cu AS (SELECT * EXCLUDE (whole, own), {unit("whole")} AS w, {unit("own")} AS o FROM cover SEMI JOIN enough USING (expert)),
+alls AS (SELECT vec_id, label, y, tags, {unit("emb")} AS w FROM vectors WHERE part <> 'test'),
+e1 AS (SELECT q.expert, q.vec_id, q.y = i.y AS hit, len(q.tags) > 0 AND q.y = 1 AS tagged, len(list_intersect(q.tags, i.tags)) > 0 AS shares FROM cu q JOIN cu i ON q.expert = i.expert AND q.part = 'test' AND i.part <> 'test'
+  QUALIFY row_number() OVER (PARTITION BY q.expert, q.vec_id ORDER BY round(list_dot_product(q.o, i.o), 9) DESC, i.vec_id) = 1),
+f1 AS (SELECT q.expert, q.vec_id, q.y = i.y AS hit, len(q.tags) > 0 AND q.y = 1 AS tagged, len(list_intersect(q.tags, i.tags)) > 0 AS shares FROM cu q JOIN alls i ON q.part = 'test'
+  QUALIFY row_number() OVER (PARTITION BY q.expert, q.vec_id ORDER BY round(list_dot_product(q.w, i.w), 9) DESC, i.vec_id) = 1)
+SELECT e.expert, e.n_queries, e.acc AS expert_acc, f.acc AS fused_acc, e.tag_p AS expert_tag_p, f.tag_p AS fused_tag_p
+FROM (SELECT expert, count(*) AS n_queries, round(avg(hit::INTEGER), 6) AS acc, round(avg(shares::INTEGER) FILTER (tagged), 6) AS tag_p FROM e1 GROUP BY 1) e
+JOIN (SELECT expert, round(avg(hit::INTEGER), 6) AS acc, round(avg(shares::INTEGER) FILTER (tagged), 6) AS tag_p FROM f1 GROUP BY 1) f USING (expert)"""
+
+
+@query(matched_sql())
+def matched_experts(spark: S, d: str) -> DataFrame:
+    """Each expert on the test rows that it covers, against the fused vector on the same rows; experts with under 10 rows in a part are left out."""
+    v, out = X.vectors(spark, d), None
+    seen = v.where("part <> 'test'")
+    counts = v.agg(*(F.count_if(F.expr(w) & (F.col("part") == p)).alias(f"{n}_{p}") for n, w in EXPERTS.items() for p in ("train", "val", "test"))).first()
+    facts = v.select("vec_id", "y", "tags")
+
+    def first(queries: DataFrame, index: DataFrame) -> DataFrame:
+        near = knn(queries, index, 1).select("query_id", "idx_id").join(facts.toDF("idx_id", "iy", "itags"), "idx_id").join(facts.toDF("query_id", "qy", "qtags"), "query_id")
+        tagged = (F.size("qtags") > 0) & (F.col("qy") == 1)
+        return near.agg(F.count("*").alias("n_queries"), F.round(F.avg((F.col("qy") == F.col("iy")).cast("int")), 6).alias("acc"), F.round(F.avg(F.when(tagged, F.arrays_overlap("qtags", "itags").cast("int"))), 6).alias("tag_p"))
+
+    for n, w in EXPERTS.items():  # a short list of experts
+        if min(counts[f"{n}_{p}"] for p in ("train", "val", "test")) < 10:
+            continue
+        own = "emb" if n == "few" else n
+        q = v.where("part = 'test'").where(w)
+        expert = first(q.select("vec_id", own), seen.where(w).select("vec_id", own)).toDF("n_queries", "expert_acc", "expert_tag_p")
+        fused = first(q.select("vec_id", "emb"), seen.select("vec_id", "emb")).toDF("__n", "fused_acc", "fused_tag_p").drop("__n")
+        row = expert.crossJoin(fused).withColumn("expert", F.lit(n))  # a row each
+        out = row if out is None else out.unionByName(row)
+    return out.select("expert", "n_queries", "expert_acc", "fused_acc", "expert_tag_p", "fused_tag_p")
+
+
 @query(f"""WITH {SCORED}, f AS (SELECT query_id, y, round(score, 9) AS score, round(1 - nearest, 9) AS novelty FROM cls JOIN vectors ON vec_id = query_id), r AS (SELECT *, row_number() OVER (ORDER BY novelty, query_id) AS rank, count(*) OVER () AS n FROM f),
 s AS (SELECT share, score >= 0.5 AS hit, y = 1 AS pos FROM r, (SELECT unnest([1.0, 0.95, 0.9, 0.8])::DOUBLE AS share) WHERE rank <= round_even(share * n, 0))
 SELECT share, count(*) AS n, round(avg((hit = pos)::INTEGER), 6) AS accuracy, round(avg(hit::INTEGER) FILTER (pos), 6) AS recall, round(avg(hit::INTEGER) FILTER (NOT pos), 6) AS fpr FROM s GROUP BY 1""")
@@ -293,3 +388,81 @@ def report_detection(spark: S, d: str) -> DataFrame:
     e = eval_records(spark, d)
     cell = lambda v: F.max(F.when(F.col("variant") == v, F.format_string("%.4f", "metric")))
     return e.groupBy("seed").agg(cell("1-URGENT").alias("urgent"), cell("5-LOW").alias("low"), F.max_by("variant", F.struct("metric", "variant")).alias("best"))
+
+
+# Made records: each value is the run's metric times a factor; the second priority's runs lack two fields, the third's has no validated triage.
+FACTORS = {("detection_head", "accuracy"): 1.5, ("detection_head", "roc_auc"): 2.5, ("detection_head", "tpr@fpr=0.01"): 1.25, ("detection_head", "f1"): 1.75, ("detection_knn", "accuracy@1"): 3.5, ("tags_knn", "micro_f1"): 2.25, ("tags_knn", "mAP"): 0.5, ("behaviour_retrieval", "1", "precision"): 3.0, ("behaviour_retrieval", "10", "ndcg"): 0.75}
+LACKING = {("detection_head", "f1"), ("tags_knn", "mAP")}
+NAMES = {"1-URGENT": "moe_full", "2-HIGH": "single", "3-MEDIUM": "mean", "4-NOT SPECIFIED": "sweep one", "5-LOW": "ember"}
+RECORD_NAME = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " END"
+COVERS, PATTERNS, MATCHED = {"cov=1": 1.0, "cov=0.9": 1.1, "auroc": 9.0}, {"111": 1.0, "101": 2.0}, {"a": 1.0, "b": 1.3}
+LAYOUT = [
+    (section, row, label, name, col, path)
+    for section, rows, paths in (
+        ("Detection", [("Head", "moe_full"), ("Trees", "ember"), ("Absent", "none")], [("detection_head", "accuracy"), ("detection_head", "roc_auc"), ("detection_head", "f1")]),
+        ("Tags", [("Votes", "moe_full"), ("One", "single")], [("tags_knn", "micro_f1"), ("tags_knn", "mAP")]),
+        ("Retrieval", [("Fused", "moe_full"), ("Mean", "mean")], [("detection_knn", "accuracy@1"), ("behaviour_retrieval", "1", "precision"), ("behaviour_retrieval", "10", "ndcg")]),
+    )
+    for row, (label, name) in enumerate(rows)
+    for col, path in enumerate(paths)
+]
+BY_RUN = [("detection_head", "roc_auc"), ("detection_head", "tpr@fpr=0.01"), ("tags_knn", "mAP")]
+HEADERS = {"Detection": ["Model", "Acc", "ROC-AUC", "F1"], "Tags": ["Model", "micro-F1", "mAP"], "Retrieval": ["Embedding", "Acc@1", "P@1", "nDCG@10"], "Ablations": ["Variant", "seeds", "ROC-AUC", "TPR@1e-2", "mAP"], "Triage": ["Coverage", "n", "Accuracy"], "Gates": ["Pattern", "n", "gates"], "Matched": ["Expert", "n", "Acc@1"]}
+
+
+def write_records(spark: S, d: str, path: str) -> None:
+    """The made records as JSON files, a folder a run and seed."""
+    o = table(spark, d, "orders")
+    name = F.expr(RECORD_NAME)
+    r = o.groupBy(name.alias("name"), (F.col("o_orderkey") % 3 + 42).alias("seed")).agg(F.round(F.avg("o_totalprice") / 1e6, 6).alias("m"))
+    value = lambda x: F.round(F.col("m") * x, 6)
+
+    def nested(prefix: tuple[str, ...]) -> Column:
+        """The object below a prefix of the factors' paths."""
+        parts = []
+        for k in dict.fromkeys(p[len(prefix)] for p in FACTORS if p[: len(prefix)] == prefix):
+            full = (*prefix, k)
+            x = F.when((F.col("name") == "single") & F.lit(full in LACKING), None).otherwise(value(FACTORS[full])) if full in FACTORS else nested(full)
+            parts.append(x.alias(k))
+        return F.struct(*parts)
+
+    tops = [nested((t,)).alias(t) for t in dict.fromkeys(p[0] for p in FACTORS)]
+    triage = F.struct(*(F.struct(F.round(F.col("m") * 1000 * x).cast("long").alias("n"), value(x).alias("accuracy")).alias(k) for k, x in COVERS.items())).alias("triage")
+    gates = F.struct(*(F.struct(F.round(F.col("m") * 100 * x).cast("long").alias("n"), F.array(value(x), value(2 * x)).alias("gate_bin")).alias(k) for k, x in PATTERNS.items())).alias("gates")
+    matched = F.struct(*(F.struct(F.round(F.col("m") * 500 * x).cast("long").alias("n_queries"), value(x).alias("expert_acc@1")).alias(k) for k, x in MATCHED.items())).alias("experts_matched")
+    r.select("name", "seed", F.to_json(F.struct(*tops, triage, gates, matched)).alias("value")).repartition("name", "seed").write.partitionBy("name", "seed").text(path)
+
+
+def report_cells(spark: S, d: str) -> DataFrame:
+    path = workspace(spark, "records")
+    write_records(spark, d, path)
+    records = kept(R.read_records(spark, f"{path}/*/*/*.txt"), "records")
+    cells = R.measured(records, [(s, row, label, name, col, R.path_of(*p)) for s, row, label, name, col, p in LAYOUT])
+    cells = cells.unionByName(R.by_run(records, "Ablations", [R.path_of(*p) for p in BY_RUN], "sweep"))
+    for section, path_, fields, prefix in (("Triage", ("triage",), {"n": "%d", "accuracy": "%.4f"}, "cov="), ("Gates", ("gates",), {"n": "%d", "gate_bin": "%.3f"}, ""), ("Matched", ("experts_matched",), {"n_queries": "%d", "expert_acc@1": "%.4f"}, "")):
+        cells = cells.unionByName(R.keyed(records, section, "moe_full", 42, path_, fields, prefix))
+    return cells
+
+
+def report_sql() -> str:
+    """The same cells from the metrics themselves."""
+    text = "CASE WHEN count(v) = 0 THEN '-' WHEN count(v) = 1 THEN printf('%.4f', avg(v)) ELSE printf('%.4f', avg(v)) || ' ± ' || printf('%.4f', stddev_pop(v)) END"
+    lack = lambda p: "CASE WHEN name <> 'single' THEN " if p in LACKING else "CASE WHEN true THEN "
+    value = lambda p: f"{lack(p)}round(m * {FACTORS[p]}, 6) END"
+    parts = [f"SELECT '{s}' AS section, {row} AS row, '{label}' AS label, {col} AS col, {text} AS shown FROM (SELECT {value(p)} AS v FROM e WHERE name = '{name}') HAVING count(*) > 0" for s, row, label, name, col, p in LAYOUT]
+    order = "(dense_rank() OVER (ORDER BY name) - 1)::INTEGER"
+    parts.append(f"SELECT 'Ablations', {order}, name, 0, count(*)::VARCHAR FROM e WHERE name NOT LIKE 'sweep%' GROUP BY name")
+    parts += [f"SELECT 'Ablations', {order}, name, {i + 1}, {text} FROM (SELECT name, {value(p)} AS v FROM e WHERE name NOT LIKE 'sweep%') GROUP BY name" for i, p in enumerate(BY_RUN)]
+    for section, keys, size, shown in (("Triage", [k for k in COVERS if k.startswith("cov=")], 1000, "printf('%.4f', round(m * {x}, 6))"), ("Gates", PATTERNS, 100, "printf('%.3f', round(m * {x}, 6)) || ', ' || printf('%.3f', round(m * {y}, 6))"), ("Matched", MATCHED, 500, "printf('%.4f', round(m * {x}, 6))")):
+        for row, k in enumerate(keys):
+            x = (COVERS | PATTERNS | MATCHED)[k]
+            one = "FROM e WHERE name = 'moe_full' AND seed = 42"
+            parts.append(f"SELECT '{section}', {row}, '{k}', 0, round(m * {size} * {x})::BIGINT::VARCHAR {one}")
+            parts.append(f"SELECT '{section}', {row}, '{k}', 1, {shown.format(x=x, y=2 * x)} {one}")
+    return f"WITH e AS (SELECT {RECORD_NAME} AS name, o_orderkey % 3 + 42 AS seed, round(avg(o_totalprice) / 1e6, 6) AS m FROM orders GROUP BY 1, 2) " + " UNION ALL ".join(parts)
+
+
+@query(report_sql())
+def report_tables(spark: S, d: str) -> DataFrame:
+    """The cells of seven report tables over the records of runs, read from their folders."""
+    return report_cells(spark, d)

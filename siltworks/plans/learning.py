@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import models as L
@@ -80,13 +81,16 @@ def topdegree_subgraph(spark: S, d: str) -> DataFrame:
 
 
 def walk_sql(steps: int) -> str:
-    parts = [f"""w0 AS (SELECT graph_id, src || '#' || k AS walk, src AS "at", [src] AS path FROM (SELECT DISTINCT graph_id, src FROM both_ways), range(2) r(k))"""]
+    """The graph and the numbered neighbours are made once; each step looks up one of them."""
+    parts = ["""near AS MATERIALIZED (SELECT graph_id, src AS "at", dst AS "to", row_number() OVER (PARTITION BY graph_id, src ORDER BY dst) - 1 AS no, count(*) OVER (PARTITION BY graph_id, src) AS d FROM (SELECT DISTINCT * FROM both_ways)),
+w0 AS MATERIALIZED (SELECT graph_id, "at" || '#' || k AS walk, "at", d, "at" AS path FROM (SELECT DISTINCT graph_id, "at", d FROM near), range(2) r(k))"""]
     for i in range(steps):
-        parts.append(f"""w{i + 1} AS (SELECT w.graph_id, walk, a."to" AS "at", list_append(path, a."to") AS path FROM w{i} w JOIN deg ON deg.graph_id = w.graph_id AND deg.node = w."at" JOIN adj a ON a.graph_id = w.graph_id AND a.src = w."at" AND a.no = ('0x' || left(sha256('3:' || w.graph_id || ':' || walk || ':{i}'), 8))::BIGINT % deg.d)""")
+        parts.append(f"""s{i} AS MATERIALIZED (SELECT graph_id, walk, "at", path, ('0x' || left(sha256('3:' || graph_id || ':' || walk || ':{i}'), 8))::BIGINT % d AS no FROM w{i}),
+w{i + 1} AS MATERIALIZED (SELECT s.graph_id, walk, n."to" AS "at", m.d, path || ' ' || n."to" AS path FROM s{i} s JOIN near n ON n.graph_id = s.graph_id AND n."at" = s."at" AND n.no = s.no JOIN near m ON m.graph_id = n.graph_id AND m."at" = n."to" AND m.no = 0)""")
     return ", ".join(parts)
 
 
-@query(f"WITH {GRAPH}, adj AS (SELECT graph_id, src, dst AS \"to\", row_number() OVER (PARTITION BY graph_id, src ORDER BY dst) - 1 AS no FROM both_ways), {walk_sql(4)} SELECT graph_id, walk, array_to_string(path, ' ') AS path FROM w4")
+@query(f"WITH {GRAPH.replace('both_ways AS (', 'both_ways AS MATERIALIZED (')}, {walk_sql(4)} SELECT graph_id, walk, path FROM w4")
 def random_walks(spark: S, d: str) -> DataFrame:
     _, edges, _ = graph(spark, d)
     return G.random_walks(edges, 5, 2, "3").select("graph_id", "walk", F.array_join("path", " ").alias("path"))
@@ -177,6 +181,18 @@ def mlp_detector(spark: S, d: str) -> DataFrame:
     return M.roc_auc(L.predict(L.feed_forward(v, "y", F.col("part") == "train", [64, 16, 2]), v.where("part = 'test'"), "y"), "score", "y")
 
 
+FOLDS = 5
+
+
+@query()
+def kfold_auc(spark: S, d: str) -> DataFrame:
+    """Five folds' areas under the curve and their mean, of a label that the vectors tell but for some seeded noise."""
+    noise = A.uniform("noise", F.col("vec_id")) < 0.1
+    v = X.vectors(spark, d).select("vec_id", "emb", F.when(noise, F.col("emb")[1] < 0).otherwise(F.col("emb")[1] >= 0).cast("int").alias("told"), F.floor(A.uniform("k", F.col("vec_id")) * FOLDS).cast("long").alias("fold"))
+    means = L.fold_means(L.cross_validated(L.prepared(v, "emb"), "told", "fold", FOLDS, [0.001, 0.1]))
+    return means.select("fold", F.round("auc", 6).alias("auc"))
+
+
 @query()
 def fused_head(spark: S, d: str) -> DataFrame:
     from ..operators.vectors import fuse
@@ -238,6 +254,19 @@ def stream_gate(spark: S, d: str) -> DataFrame:
     return T.read_drained(spark, f"{w}/out").groupBy("chunk").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {X.CHUNKS}, c AS (SELECT chunk, count(*) AS n, count_if(ok_pe) AS p, count_if(ok_ember) AS e, sum(secs) AS s FROM chunks GROUP BY 1)
+SELECT count(*) AS chunks, count(*) AS done, count_if(NOT (p > 0 AND e < 0.8 * p))::BIGINT AS passed, sum(n)::BIGINT AS rows, round(sum(s), 4) AS secs FROM c""")
+def stream_gate_progress(spark: S, d: str) -> DataFrame:
+    """The last state of a stream whose chunks come in pieces over several micro-batches."""
+    w = workspace(spark, "progress")
+    chunks = X.chunks(spark, d)
+    chunks.repartition(6, "o_orderkey").write.parquet(f"{w}/in")
+    sizes = chunks.groupBy("chunk").agg(F.count("*").alias("size"))
+    T.gate_with_progress(T.source(spark, f"{w}/in", "o_orderkey long, chunk long, ok_pe boolean, ok_ember boolean, secs double", 1), sizes, 0.8, f"{w}/out", f"{w}/state")
+    last = T.progress(T.updates(spark, f"{w}/out")).orderBy(F.col("batch").desc()).limit(1)
+    return last.select("chunks", "done", "passed", "rows", F.round("secs", 4).alias("secs"))
+
+
 @query(f"WITH {X.SAMPLES} SELECT DISTINCT grp FROM samples")
 def stream_dedup(spark: S, d: str) -> DataFrame:
     w = workspace(spark, "dedup")

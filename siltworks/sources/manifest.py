@@ -74,6 +74,16 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def round_trip_as(df: DataFrame, path: str, kind: str) -> DataFrame:
+    """Write as ``parquet``, ``json`` or ``csv`` (zstd where the format allows it) and read back with the same schema."""
+    out = df.write.mode("overwrite")
+    if kind == "csv":
+        out.option("header", True).csv(path)
+        return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+    out.format(kind).option("compression", "zstd" if kind == "parquet" else "gzip").save(path)
+    return df.sparkSession.read.schema(df.schema).format(kind).load(path)
+
+
 def inflate(df: DataFrame, column: str = "content") -> DataFrame:
     """zlib-compressed values inflated; others as they are."""
 

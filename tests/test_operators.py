@@ -141,3 +141,61 @@ def test_vector_messages_drop_edges_past_the_cap(spark):
     assert got == {(1, "a"): [-0.5, -0.5], (1, "b"): [0.5, 0.5], (2, "a"): [16.5, -1.5]}
     r = graph.readout_vectors(x, 2).where("graph_id = 1").first()
     assert [round(v, 4) for v in [*r["mean"], *r["max"]]] == [0.0, 0.0, 1.0, 1.0]
+
+
+def made_header(magic, machine, subsystem=3, offset=0x80, size=512):
+    b = bytearray(size)
+    b[:2], b[0x3C:0x40] = b"MZ", offset.to_bytes(4, "little")
+    if offset + 94 <= size:
+        b[offset : offset + 4] = b"PE\0\0"
+        b[offset + 4 : offset + 6] = machine.to_bytes(2, "little")
+        b[offset + 24 : offset + 26] = magic.to_bytes(2, "little")
+        b[offset + 92 : offset + 94] = subsystem.to_bytes(2, "little")
+    return bytes(b)
+
+
+def test_views_of_headers(spark):
+    whole = [(0x10B, 0x14C), (0x20B, 0x8664), (0x107, 0x1C0)]
+    rows = [(i, bytearray(made_header(*x))) for i, x in enumerate(whole)]
+    rows += [(10 + i, bytearray(made_header(m, 0, 0))) for i, (m, _) in enumerate(whole)]  # already zeroed
+    cut = made_header(0x10B, 0x14C)
+    bad = [b"not a header at all" * 10, b"", cut[:200], cut[:63], made_header(0x10B, 1, offset=0xFFFFFFFF), made_header(0x10B, 1, offset=0x7FFFFFF0), made_header(0x10B, 1, offset=419), cut[:0x80] + b"PX" + cut[0x82:], b"ZM" + cut[2:]]
+    rows += [(20 + i, bytearray(b)) for i, b in enumerate(bad)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, content binary")
+    c = F.col("content")
+    got = {r.id: r for r in df.select("id", corpus.header_offset(c).alias("at"), corpus.model_view(c).alias("model"), corpus.analysis_view(c).alias("analysis")).collect()}
+    for i, (magic, machine) in enumerate(whole):
+        assert got[i].at == 128 and bytes(got[i].model) == made_header(magic, 0, 0) == bytes(got[10 + i].model)
+        assert bytes(got[i].analysis) == made_header(magic, machine)
+        assert bytes(got[10 + i].analysis) == made_header(magic, machine if magic != 0x107 else 0, 0)
+    assert all(r.at is None and r.model is None and r.analysis is None for i, r in got.items() if i >= 20)
+    edge = spark.createDataFrame([(bytearray(made_header(0x20B, 0, offset=418)),)], "content binary").select(corpus.header_offset(c).alias("at")).first()
+    assert edge.at == 418  # the last byte is the header's own
+
+
+def test_negatives_are_no_positives(spark):
+    pos = spark.createDataFrame([(1, 2), (1, 3), (4, 3), (5, 4), (6, 9), (6, 9)], "a long, b long")
+    got = {(r.a, r.b) for r in joins.shifted_negatives(pos).collect()}
+    assert got == {(1, 4), (6, 10)}  # (1, 3) is a positive, (4, 4) a row with itself, (5, 5) too
+
+
+def test_large_vocabularies_meet_tokens_by_a_join(spark, monkeypatch):
+    tokens = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "zz"), (2, 0, None)], "doc_id long, pos long, token string")
+    vocabulary = spark.createDataFrame([("a", 1), ("b", 2)], "token string, id long")
+    for rows in (200_000, 1):
+        monkeypatch.setattr(corpus, "SENT_ROWS", rows)
+        got = {r.doc_id: (r.ids, r.n_tokens, r.n_unknown) for r in corpus.encode(tokens, vocabulary, 3).collect()}
+        assert got == {1: ([1, 2, 3], 3, 1), 2: ([3], 1, 1)}
+
+
+def test_metric_of_a_log_without_a_title_or_a_row(spark):
+    text = ["before", "# RUN 7 x", "10 a 0.5", "# RUN 8", "Title", "10 b 0.25", "Title", " 10 c 0.75 d", "10 e 9", "# RUN 9", "Title", "10 f", "# RUN 10", "Title", "10 g bad"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)] + [(2, 0, "# RUN 1"), (2, 1, None), (2, 2, "10 x 1.5")], "log long, no int, line string")
+    got = sorted((r.log, r.run, r.metric) for r in windows.scraped_metric(df, "log", "no", "line", "# RUN ", "Title", "10", 3).collect())
+    assert got == [(1, "7", 0.5), (1, "8", 0.75), (2, "1", 1.5)]
+
+
+def test_pair_classes_count_pairs(spark):
+    df = spark.createDataFrame([(1, ["x"]), (2, ["x"]), (3, ["y", "x"]), (4, ["x", "y"]), (5, ["y"]), (6, []), (7, None)], "id long, tags array<string>")
+    got = {(r.a, r.b): r.pairs for r in joins.overlap_classes(df, "tags").collect()}
+    assert got == {("x", "x"): 1, ("x", "x,y"): 4, ("x,y", "x,y"): 1, ("x,y", "y"): 2, ("y", "y"): 0}
