@@ -163,7 +163,7 @@ def _find(kind: str, text: Column) -> Column:
     raise ValueError(kind)
 
 
-def _scored(no: int, kind: str) -> Column:
+def _scored(no: int, kind: str, found: Column) -> Column:
     """A kind's spans with its number and score."""
 
     def one(s: Column) -> Column:
@@ -171,27 +171,37 @@ def _scored(no: int, kind: str) -> Column:
         fields = {"start": s["start"], "kind_no": F.lit(no), "stop": s["stop"], "kind": F.lit(kind), "value": F.translate(s["value"], _BREAK, "."), "score": F.round(F.lit(BASE_SCORE[kind]) + bonus, 2)}
         return F.struct(*(v.alias(k) for k, v in fields.items()))
 
-    scored = F.transform(F.col(f"__{kind}"), one)
+    scored = F.transform(found, one)
     return scored if kind in BASE_KINDS else F.filter(scored, lambda x: x["score"] >= LEAST_SCORE)
 
 
+def _unused(df: DataFrame) -> str:
+    """A prefix that no column has."""
+    mine = "__"
+    while any(c.startswith(mine) for c in df.columns):
+        mine += "_"
+    return mine
+
+
 def find_pii(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """``docs`` (doc_id, text) with ``pii``: an array of (start, stop, kind_no, kind, value, score), by start, then kind.
 
-    Places are in code points, ``stop`` is exclusive.
+    Places are in code points, ``stop`` is exclusive.  A former column ``pii`` is
+    replaced; all others stay.
     """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), f"{_MARK}{_BREAK}", _OTHER * 2)
-    df = docs.drop("pii").withColumn("__t", text)
+    mine = _unused(docs)
+    df = docs.drop("pii").withColumn(f"{mine}t", text)
     none = F.array().cast(_NO_SPANS)
     for k in kinds:
-        df = df.withColumn(f"__{k}", F.coalesce(_find(k, F.col("__t")), none))
-    found = [_scored(no, k) for no, k in enumerate(KINDS) if k in kinds]
-    return df.withColumn("pii", F.array_sort(F.concat(*found))).drop("__t", *(f"__{k}" for k in kinds))
+        df = df.withColumn(f"{mine}{k}", F.coalesce(_find(k, F.col(f"{mine}t")), none))
+    found = [_scored(no, k, F.col(f"{mine}{k}")) for no, k in enumerate(KINDS) if k in kinds]
+    return df.withColumn("pii", F.array_sort(F.concat(*found))).drop(f"{mine}t", *(f"{mine}{k}" for k in kinds))
 
 
 def redact(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """``docs`` with each span of at least that score replaced by ``<KIND>``; spans that overlap an earlier one are skipped."""
-    df = find_pii(docs)
+    df, work = find_pii(docs), f"{_unused(docs)}w"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     walked = F.aggregate(
         F.filter(F.col("pii"), lambda s: s["score"] >= least),
@@ -201,7 +211,7 @@ def redact(docs: DataFrame, least: float = 0.0) -> DataFrame:
             F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out")),
         ).otherwise(a),
     )
-    return df.withColumn("__w", walked).withColumn("text", F.concat(F.col("__w.out"), F.substring(text, F.col("__w.at") + 1, F.length(text)))).drop("__w", "pii")
+    return df.withColumn(work, walked).withColumn("text", F.concat(F.col(f"{work}.out"), F.substring(text, F.col(f"{work}.at") + 1, F.length(text)))).drop(work, "pii")
 
 
 def as_text(spans: Column) -> Column:

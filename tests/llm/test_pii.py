@@ -83,3 +83,10 @@ def test_luhn(spark, number, ok):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(pii.luhn(F.lit(number)).alias("x")).first().x is ok
+
+
+def test_columns_named_like_working_ones_stay(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd", "kept", "too", 3)], "doc_id long, text string, __t string, __email string, ___w int")
+    out = pii.redact(df)
+    assert out.columns == df.columns and tuple(out.first()) == (1, "mail <EMAIL>", "kept", "too", 3)
+    assert {"__t", "__email", "___w", "pii"} <= set(pii.find_pii(df).columns)
