@@ -121,11 +121,28 @@ def fingerprint(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum"))
 
 
+#: Keys up to which one level of blocks is enough: each then holds some 16,000 ids.
+ONE_LEVEL = 1 << 26
+
+
 def ordered_fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """SHA-256 over sorted digests of 4096 blocks of keys, each over its sorted ids: no task holds all of them."""
-    block = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3)
-    parts = df.groupBy(block.alias("block")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda s: s["h"]), "\n"), 256).alias("fingerprint"))
+    """SHA-256 over sorted digests of 4096 blocks of keys, each over its sorted ids: no task holds all of them.
+
+    Beyond ``ONE_LEVEL`` keys a block is the sorted digests of 4096 blocks of its
+    own, and so on, so that a row never gathers more than some 16,000 values.
+    """
+    n, digits = df.count(), 3
+    while n > ONE_LEVEL * 16 ** (digits - 3):
+        digits += 3
+    block = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits)
+    joined = lambda c: F.sha2(F.array_join(c, "\n"), 256).alias("h")
+    parts = df.groupBy(block.alias("block")).agg(joined(F.array_sort(F.collect_list(F.col(key).cast("string")))))
+    while digits:
+        digits -= 3
+        rows = parts.groupBy(F.substring("block", 1, digits).alias("up")) if digits else parts.groupBy()
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda s: s["h"])
+        parts = rows.agg(joined(in_order)).select(*([F.col("up").alias("block")] if digits else []), "h")
+    return parts.select(F.col("h").alias("fingerprint"))
 
 
 def standardise(df: DataFrame, fit_on: Column, *names: str) -> DataFrame:

@@ -315,36 +315,32 @@ def fusable(spark: S, d: str) -> DataFrame:
     return gate_table(spark, d).join(v, "vec_id")
 
 
-def _first_last(fused: DataFrame, last: int) -> DataFrame:
-    return fused.select("vec_id", (F.round(F.col("fused")[0], 6) + 0.0).alias("first"), (F.round(F.col("fused")[last], 6) + 0.0).alias("last"), F.size("fused").cast("long").alias("n"))
+def fused_places(spark: S, d: str, how: str) -> DataFrame:
+    """(vec_id, pos, x): every place of the fused vectors."""
+    from ..operators.vectors import fuse
 
+    fused = fusable(spark, d).select("vec_id", F.posexplode(fuse(how, F.col("experts"), F.col("mask"), F.col("q"))).alias("pos", "x"))
+    return fused.select("vec_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
-@query(f"WITH {FUSE} SELECT vec_id, round(q[1] * e1[1] + q[2] * e2[1] + q[3] * e3[1], 6) + 0.0 AS first, round(q[1] * e1[16] + q[2] * e2[16] + q[3] * e3[16], 6) + 0.0 AS last, 16::BIGINT AS n FROM fuse")
-def fuse_gated(spark: S, d: str) -> DataFrame:
-    from ..operators.vectors import fuse
 
-    return _first_last(fusable(spark, d).withColumn("fused", fuse("gated", F.col("experts"), F.col("mask"), F.col("q"))), 15)
+@query(f"WITH {FUSE} SELECT vec_id, i::INTEGER AS pos, round(q[1] * e1[i + 1] + q[2] * e2[i + 1] + q[3] * e3[i + 1], 6) + 0.0 AS x FROM fuse, range(16) r(i)")
+def fuse_gated(spark: S, d: str) -> DataFrame:
+    return fused_places(spark, d, "gated")
 
 
-@query(f"WITH {FUSE} SELECT vec_id, round((mask[1] * e1[1] + mask[2] * e2[1] + mask[3] * e3[1]) / greatest(mask[1] + mask[2] + mask[3], 1), 6) + 0.0 AS first, round((mask[1] * e1[16] + mask[2] * e2[16] + mask[3] * e3[16]) / greatest(mask[1] + mask[2] + mask[3], 1), 6) + 0.0 AS last, 16::BIGINT AS n FROM fuse")
+@query(f"WITH {FUSE} SELECT vec_id, i::INTEGER AS pos, round((mask[1] * e1[i + 1] + mask[2] * e2[i + 1] + mask[3] * e3[i + 1]) / greatest(mask[1] + mask[2] + mask[3], 1), 6) + 0.0 AS x FROM fuse, range(16) r(i)")
 def fuse_mean(spark: S, d: str) -> DataFrame:
-    from ..operators.vectors import fuse
+    return fused_places(spark, d, "mean")
 
-    return _first_last(fusable(spark, d).withColumn("fused", fuse("mean", F.col("experts"), F.col("mask"), F.col("q"))), 15)
 
-
-@query(f"WITH {FUSE} SELECT vec_id, round(mask[1] * e1[1], 6) + 0.0 AS first, round(mask[3], 6) + 0.0 AS last, 51::BIGINT AS n FROM fuse")
+@query(f"WITH {FUSE} SELECT vec_id, i::INTEGER AS pos, round(CASE WHEN i < 48 THEN mask[i // 16 + 1] * list_concat(e1, e2, e3)[i + 1] ELSE mask[i - 47] END, 6) + 0.0 AS x FROM fuse, range(51) r(i)")
 def fuse_concat(spark: S, d: str) -> DataFrame:
-    from ..operators.vectors import fuse
-
-    return _first_last(fusable(spark, d).withColumn("fused", fuse("concat", F.col("experts"), F.col("mask"), F.col("q"))), 50)
+    return fused_places(spark, d, "concat")
 
 
-@query(f"WITH {FUSE} SELECT vec_id, round(mask[2] * e2[1], 6) + 0.0 AS first, round(mask[2] * e2[16], 6) + 0.0 AS last, 16::BIGINT AS n FROM fuse")
+@query(f"WITH {FUSE} SELECT vec_id, i::INTEGER AS pos, round(mask[2] * e2[i + 1], 6) + 0.0 AS x FROM fuse, range(16) r(i)")
 def fuse_single(spark: S, d: str) -> DataFrame:
-    from ..operators.vectors import fuse
-
-    return _first_last(fusable(spark, d).withColumn("fused", fuse("single:1", F.col("experts"), F.col("mask"), F.col("q"))), 15)
+    return fused_places(spark, d, "single:1")
 
 
 @query(f"WITH {X.VECTORS} SELECT vec_id, CASE WHEN b IS NOT NULL THEN round(1 / (1 + exp(-b[1] * 8)), 6) END AS score FROM vectors")
@@ -421,9 +417,9 @@ def prefer_merge(spark: S, d: str) -> DataFrame:
     return J.prefer(a, b, "k", "v")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def cross_class_anti(spark: S, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 

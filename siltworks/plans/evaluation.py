@@ -352,9 +352,9 @@ def matched_subsets(spark: S, d: str) -> DataFrame:
     return n.groupBy("system").agg(F.count_distinct("query_id").alias("queries"), F.round(F.avg((F.col("y") == F.col("qy")).cast("int")), 6).alias("p_at_10"))
 
 
-@query(f"WITH {X.GATES} SELECT vec_id, pattern FROM gates WHERE part = 'test' AND y = 1 AND pattern = '101' ORDER BY vec_id LIMIT 1")
+@query(f"WITH {X.GATES} SELECT vec_id, pattern FROM gates WHERE part = 'test' AND y = 1 AND pattern = '110' ORDER BY vec_id LIMIT 1")
 def pattern_example(spark: S, d: str) -> DataFrame:
-    return X.gates(spark, d).where("part = 'test' and y = 1 and pattern = '101'").select("vec_id", "pattern").orderBy("vec_id").limit(1)
+    return X.gates(spark, d).where("part = 'test' and y = 1 and pattern = '110'").select("vec_id", "pattern").orderBy("vec_id").limit(1)
 
 
 @query(f"WITH {X.SCORES} SELECT part, round(avg((score IS NOT NULL)::INTEGER), 6) AS covered, count(score) AS n FROM scores GROUP BY 1")

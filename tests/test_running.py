@@ -86,3 +86,18 @@ def test_a_class_of_most_rows_is_split_by_ranges(spark):
     assert {(r.c, r.part): r["count"] for r in parts} == {(None, "test"): 45, (None, "val"): 45, (None, "train"): 210, ("rare", "test"): 4, ("rare", "val"): 4, ("rare", "train"): 22, ("hot", "test"): 85, ("hot", "val"): 85, ("hot", "train"): 400}
     kept = split.proportional_sample(df, "c", "id", 90, "1").groupBy("c").count().collect()
     assert {r.c: r["count"] for r in kept} == {None: 30, "rare": 3, "hot": 57}
+
+
+def test_fingerprint_by_several_levels(spark, monkeypatch):
+    df = spark.range(3000)
+    monkeypatch.setattr(split, "ONE_LEVEL", 1000)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    blocks = {}
+    for i in range(3000):
+        blocks.setdefault(sha(str(i))[:6], []).append(str(i))
+    leaves = {b: sha("\n".join(sorted(ids))) for b, ids in blocks.items()}
+    upper = {}
+    for b in sorted(leaves):
+        upper.setdefault(b[:3], []).append(leaves[b])
+    expected = sha("\n".join(sha("\n".join(upper[b])) for b in sorted(upper)))
+    assert split.ordered_fingerprint(df, "id").first().fingerprint == expected == split.ordered_fingerprint(df.repartition(5), "id").first().fingerprint
