@@ -1,7 +1,7 @@
 """Near-duplicate vectors by int8 tile products with rigorous error bounds.
 
-Equal vectors become one class with a weight first.  Classes go to blocks of at
-most ``block_rows``, near ones together: each takes the nearest of a bounded number
+Equal vectors become one class with a weight first.  Classes go to blocks of
+about ``block_rows``, near ones together: each takes the nearest of a bounded number
 of pivots, and a cell that is too large is split by hash.  Every pair of blocks
 of one length is multiplied in one task, unless the angle between the blocks'
 centres, less both radii, rules a link out.
@@ -38,8 +38,8 @@ from .common import batch
 from .jaccard_join import components
 from .tables import Tables
 
-#: Vectors of a block, pivots at most, and the bytes that all blocks' centres may take (blocks grow beyond that).
-BLOCK_ROWS, MOST_PIVOTS, CENTRE_BYTES = 4096, 256, 64 << 20
+#: Vectors of a block at least, its bytes at most, pivots at most, and the bytes that all blocks' centres may take (blocks grow beyond that).
+LEAST_ROWS, BLOCK_BYTES, MOST_PIVOTS, CENTRE_BYTES = 4096, 32 << 20, 256, 64 << 20
 #: Rows and columns of a tile.
 TILE = 1024
 #: Float32 products of int8 vectors are whole numbers up to this length; longer ones are added in parts.
@@ -122,10 +122,16 @@ def tile_links(a: Block, b: Block, ra: slice, rb: slice, threshold: float) -> tu
     return i[linked], j[linked], len(open_)
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS, vector: str = "embedding") -> DataFrame:
+def rows_of_block(n: int, dim: int, cores: int) -> int:
+    """Rows of a block: so many that pairs of blocks are a few for each core, as every block goes to as many tasks as there are blocks."""
+    most = max(1024, BLOCK_BYTES // (5 * dim))
+    return max(int(min(most, max(LEAST_ROWS, n / (8 * cores) ** 0.5))), -(-n * 8 * dim // CENTRE_BYTES))
+
+
+def near_vectors(rows: DataFrame, threshold: float = 0.95, block_rows: int | None = None, vector: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``rows`` (vec_id, ``vector``).
 
-    ``threshold`` is positive.
+    ``threshold`` is positive; ``block_rows`` is chosen by the number of vectors and cores if it isn't given.
     """
     spark, tables = rows.sparkSession, Tables(rows.sparkSession, "near-vectors")
     real = "<f4" if dict(rows.dtypes)[vector] == "array<float>" else "<f8"
@@ -139,7 +145,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, block_rows: int = BLO
     n, longest = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     if not n:
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    block_rows = max(block_rows, -(-n * 8 * longest // CENTRE_BYTES))
+    block_rows = block_rows or rows_of_block(n, longest, spark.sparkContext.defaultParallelism)
     blocks = tables.keep(_blocks(classes, n, block_rows, real), "blocks")
     found = tables.keep(_products(blocks, threshold, real), "found")
     tables.drop("blocks")

@@ -115,7 +115,7 @@ def test_near_vectors_on_odd_rows(table):
     rows += [(30, [2.0, 0.2, 0.0], 1), (31, [1e-30, 1e-31, 0.0], 1), (32, [1e30, 0.0, 0.0], 1), (33, [1.0, 0.1], 1), (34, [2.0, 0.2], 1), (35, [-1.0, -0.1, 0.0], 1)]
     rows += [(3, [1.0, 0.3, 0.0], 1), (3, [1.0, 0.3, 0.0], 1)]  # repeated rows
     rows += [(40, [0.0, 0.0, 1.0], 1), (41, [0.0, 0.01, 1.0], 1), (40, [0.0, 1.0, 0.0], 1), (42, [0.01, 1.0, 0.0], 1)]  # two vectors under one id
-    for size in (2, 4096):
+    for size in (2, 4096, None):
         assert judged(table(rows), block_rows=size) == brute_links(rows)
 
 
