@@ -214,19 +214,20 @@ def judge(docs: DataFrame, *carry: str) -> DataFrame:
     for c in ("lang", "source"):
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(None).cast("string"))
-    hidden = docs.select(*(F.col(f"`{c}`").alias(f"__c_{c}") for c in carry), F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source"), "text")
-    rows = cut(measure(hidden, *(f"__c_{c}" for c in carry), "__lang", "__source"), "statistics")
+    own = [f"__c{i}" for i in range(len(carry))]
+    hidden = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, own, strict=True)), F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source"), "text")
+    rows = cut(measure(hidden, *own, "__lang", "__source"), "statistics")
     rows = rows.withColumnsRenamed({f"__{k}": k for k in _STATS} | {"__lang": "lang", "__source": "source"}).withColumn("base_failed", base_failed())
     rows = rows.withColumns({k: F.when(~F.col("base_failed"), F.least(F.greatest(F.round(f() * STEP), F.lit(-64 * STEP)), F.lit(64 * STEP)).cast("long")) for k, (f, _) in FEATURES.items()})
     passed = rows.where(~F.col("base_failed"))
     named = groups(passed.groupBy("lang", "source").agg(F.count("*").alias("n")))
     named = cut(named, "groups")
-    own = _group(F.col("lang"), F.col("source"))
-    estimates = fit(cut(passed.select(own.alias("__own"), *NAMES).join(named, "__own").select("__group", *NAMES), "features"))
-    out = rows.withColumn("__own", own).join(named, "__own", "left").join(estimates, "__group", "left")
+    group = _group(F.col("lang"), F.col("source"))
+    estimates = fit(cut(passed.select(group.alias("__own"), *NAMES).join(named, "__own").select("__group", *NAMES), "features"))
+    out = rows.withColumn("__own", group).join(named, "__own", "left").join(estimates, "__group", "left")
     d = F.when(~F.col("base_failed"), distance() / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(d, F.lit(0.0)) <= CUTOFF)
-    return out.select(*(F.col(f"`__c_{c}`").alias(c) for c in carry), *_STATS[:5], "base_failed", kept.alias("kept"), F.round(d, 6).alias("distance"))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(carry, own, strict=True)), *_STATS[:5], "base_failed", kept.alias("kept"), F.round(d, 6).alias("distance"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
