@@ -2,6 +2,13 @@
 
 Each stage reads the Parquet table that its predecessor wrote; all but the last
 return the columns of documents.
+
+Cases: a null or empty text fails the base rules and goes in the first stage; a
+null lang or source is a value like others; rows of a null ``doc_id`` are judged
+by their text alone, neither lose lines nor are near copies of others, and stay
+null; rows of one ``doc_id`` are one document to the near-duplicate stage, which
+keeps the first by text; an empty table gives an empty one; further columns, of
+whatever name, pass through all stages but the last.
 """
 
 from __future__ import annotations
