@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..sources.tables import kept
 QUERY_ROWS, INDEX_ROWS, STEP = 4096, 16384, 256
 
 _PACKED = "ids binary, vectors binary, dim int"
+_FOUND = pa.schema([("query_id", pa.int64()), ("idx_id", pa.int64()), ("sim", pa.float64())])
 
 
 def _pack(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
@@ -22,15 +24,23 @@ def _pack(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
 
     Only the number of rows comes to the driver.
     """
-    df = df.toDF("id", "v").where("id is not null and v is not null").select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"))
+    df = _tidy(df)
     n = max(1, -(-df.count() // rows))
 
-    def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id", kind="stable")
-        return pd.DataFrame({name: [key[0]], "ids": [f["id"].to_numpy("<i8").tobytes()], "vectors": [np.stack(f["v"].to_numpy()).astype("<f8").tobytes()], "dim": [key[1]]})
+    def pack(t: pa.Table) -> pa.Table:
+        dim = t["dim"][0].as_py()
+        ids, x = t["id"].to_numpy(), t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        order = np.argsort(ids, kind="stable")
+        return pa.table({name: t[name][:1], "ids": pa.array([ids[order].astype("<i8").tobytes()]), "vectors": pa.array([x[order].astype("<f8").tobytes()]), "dim": t["dim"][:1]})
 
     placed = df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("dim", F.size("v"))
-    return kept(placed.groupBy(name, "dim").applyInPandas(pack, f"{name} int, {_PACKED}"), name), n
+    return kept(placed.groupBy(name, "dim").applyInArrow(pack, f"{name} int, {_PACKED}"), name), n
+
+
+def _tidy(df: DataFrame) -> DataFrame:
+    """(id, v) of the rows with an id and a vector whose components are all numbers."""
+    df = df.toDF("id", "v").select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"))
+    return df.where("id is not null and size(v) > 0").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
 
 
 def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +49,7 @@ def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(ids, "<i8"), x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, i: np.ndarray, k: int, metric: str, exclude_self: bool) -> pd.DataFrame:
+def best(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, i: np.ndarray, k: int, metric: str, exclude_self: bool) -> pa.Table:
     """(query_id, idx_id, sim) of each query's ``k`` best, ties to the lower id; ``i_ids`` ascend."""
     out, squares = [], (i * i).sum(axis=1)
     for s in range(0, len(q), STEP):
@@ -56,10 +66,9 @@ def best(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, i: np.ndarray, k:
         value = sim[row, col]
         order = np.lexsort((col, -value, row))
         row, col, value = row[order], col[order], value[order]
-        first = np.searchsorted(row, row)
-        near = np.arange(len(row)) - first < k
-        out.append(pd.DataFrame({"query_id": q_ids[s + row[near]], "idx_id": i_ids[col[near]], "sim": value[near]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "idx_id": np.empty(0, np.int64), "sim": np.empty(0)})
+        near = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append(pa.table([q_ids[s + row[near]], i_ids[col[near]], value[near]], schema=_FOUND))
+    return pa.concat_tables([_FOUND.empty_table(), *out])
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -76,20 +85,21 @@ def knn(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosine", ex
     query; these are merged by rank.  One job, whatever the number of queries;
     no vector reaches the driver.  Distances are squared Euclidean on unit vectors
     for ``l2`` (negated, as 2ab - aa - bb), nearest first.  Ranks are by similarity
-    rounded to nine digits, then by id.  Rows with a null id or vector are left
-    out; queries without any neighbour give no row.
+    rounded to nine digits, then by id.  Rows with a null id or vector, or a
+    component that is no number, are left out; queries without any neighbour give
+    no row.
     """
     (q, n_q), (i, n_i) = _pack(queries, QUERY_ROWS, "qb"), _pack(index, INDEX_ROWS, "ib")
     # each block once for every block of the other side
     left = q.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))))
     right = i.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
-    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [best(*_matrix(*x), *_matrix(*y), k, metric, exclude_self) for x in zip(a["ids"], a["vectors"], a["dim"], strict=True) for y in zip(b["ids"], b["vectors"], b["dim"], strict=True)]
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "idx_id": [], "sim": []})
+    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
+        pairs = ((x, y) for x in zip(*(a[c].to_pylist() for c in ("ids", "vectors", "dim")), strict=True) for y in zip(*(b[c].to_pylist() for c in ("ids", "vectors", "dim")), strict=True))
+        return pa.concat_tables([_FOUND.empty_table(), *(best(*_matrix(*x), *_matrix(*y), k, metric, exclude_self) for x, y in pairs)])
 
     keys = ["qb", "ib", "dim"]
-    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, "query_id long, idx_id long, sim double"), k)
+    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiply, "query_id long, idx_id long, sim double"), k)
 
 
 # ---------------------------------------------------------------- approximate
@@ -99,11 +109,11 @@ SAMPLE_ROWS, MOST_CELLS = 20_000, 4096
 
 
 def fit_cells(index: DataFrame, cells: int, sample: int = SAMPLE_ROWS, rounds: int = 10, seed: str = "cells") -> np.ndarray:
-    """Centres of cells by spherical k-means over a bounded sample drawn by digest, at most ``sample`` rows of (id, vector) of one length."""
+    """Centres of cells by spherical k-means over a bounded sample drawn by digest, at most ``sample`` rows of (id, vector), of the first one's length."""
     from ..functions.arrays import seeded
 
-    drawn = index.toDF("id", "v").where("id is not null and v is not null").orderBy(seeded(seed, F.col("id")), "id").limit(sample).collect()
-    x = np.array([r.v for r in drawn], float)
+    drawn = _tidy(index).orderBy(seeded(seed, F.col("id")), "id").limit(sample).collect()
+    x = np.array([r.v for r in drawn if len(r.v) == len(drawn[0].v)], float)
     if not len(x):
         return np.zeros((1, 0))
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
@@ -141,11 +151,10 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int, probe: float = 0.9,
     blocks of about ``INDEX_ROWS`` rows, so a cell with much of the index is many
     tasks, and so are the queries that probe it.  ``probe`` spares work where vectors
     cluster; vectors without structure need most cells for a high recall, and then
-    sketches spare the comparisons.  Rows with a null id or vector, or one of
-    another length than the sample's first, are left out.
+    sketches spare the comparisons.  Rows are left out as by ``knn``, and so are
+    vectors of another length than the sample's first.
     """
-    tidy = lambda df: df.toDF("id", "v").where("id is not null and v is not null").select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"))
-    q, i = tidy(queries), tidy(index)
+    q, i = _tidy(queries), _tidy(index)
     n_q, n_i = q.count(), i.count()
     centres = fit_cells(i, cells or min(MOST_CELLS, max(8, int(n_i**0.5))))
     shared = q.sparkSession.sparkContext.broadcast(centres)  # MOST_CELLS vectors at most

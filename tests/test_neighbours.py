@@ -31,7 +31,7 @@ def test_blocks_equal_brute_force(spark, monkeypatch, metric, exclude):
     x[40:60] = x[3]
     x[70] = 0
     ids = rng.permutation(160)
-    q, i = table(spark, ids[:80], x[:80], [(900, None), (None, [1.0] * 5), (901, [1.0, 2.0])]), table(spark, ids[20:], x[20:], [(902, None), (None, [1.0] * 5)])
+    q, i = table(spark, ids[:80], x[:80], [(900, None), (None, [1.0] * 5), (901, [1.0, 2.0]), (903, []), (904, [1.0, None, 0.0, 0.0, 0.0])]), table(spark, ids[20:], x[20:], [(902, None), (None, [1.0] * 5), (905, [float('nan')] * 5), (906, [])])
     got = {(r.query_id, r.idx_id, r["rank"]) for r in N.knn(q, i, 6, metric, exclude).collect()}
     assert got == brute(ids[:80], x[:80], ids[20:], x[20:], 6, metric, exclude)
 
@@ -59,3 +59,5 @@ def test_cells_of_nothing(spark):
     q = table(spark, [1], np.ones((1, 3)))
     assert N.knn_cells(q, q.limit(0), 3).count() == 0 and N.knn_cells(q.limit(0), q, 3).count() == 0
     assert [(r.query_id, r.idx_id, r.compared) for r in N.knn_cells(q, q, 3).collect()] == [(1, 1, 1)]
+    mixed = spark.createDataFrame([(i, [1.0, float(i)] if i % 2 else [1.0]) for i in range(20)], "id long, v array<double>")
+    assert {r.idx_id % 2 for r in N.knn_cells(mixed, mixed, 3).collect()} in ({0}, {1})
