@@ -5,12 +5,15 @@ don't depend on order or partitioning.  Each round reads and writes one table
 that holds, for each part of each vector, its entry, the ``b`` entries next
 closest with a lower bound of the distance to each, and one lower bound of the
 distance to all others.  When entries have moved, bounds shrink by the distance
-moved (all others' by the greatest such distance).  The distance to a part's own
-entry is computed exactly; listed entries whose bound isn't above it are
-verified by whole-number distances, and only a part whose best distance reaches
-the outer bound is compared with the whole codebook.  ``b`` adapts: each round
-keeps what all but a few of the settled parts needed.  Bounds are rounded down
-when stored, so that ties and near ties are always verified.
+moved (all others' by the greatest such distance).  The few entries that moved
+far more than most are compared exactly with every part, so that they don't
+spoil the bound of all others.  The distance to a part's own entry is computed
+exactly; listed entries whose bound isn't above it are verified by whole-number
+distances, and only a part whose best distance reaches the outer bound is
+compared with the whole codebook.  ``b`` adapts: once most parts are settled by
+their bounds, each round keeps what all but a few of them needed, half at least.
+Bounds are rounded down to 16 bits when stored, so that ties and near ties are
+always verified.
 
 Memory: codebooks are of fixed size; a task holds a batch of vectors.
 
@@ -40,7 +43,9 @@ from .tables import Tables
 
 SCALE = 1024
 #: Closest entries listed at first, and at least; the share of settled parts that the next round's list would have settled.
-FIRST_NEAR, LEAST_NEAR, ENOUGH = 12, 2, 0.98
+FIRST_NEAR, LEAST_NEAR, ENOUGH = 24, 8, 0.98
+#: Entries that moved over ``FAR`` times the median are compared with all parts, ``MOST_FAR`` of them at most.
+FAR, MOST_FAR = 1.5, 32
 #: Depth of a part that was compared with the whole codebook.
 FULL = 255
 
@@ -49,8 +54,8 @@ _STATE_DDL = "vec_id long, label long, x binary, code binary, near binary, low b
 
 
 def under(distance: np.ndarray) -> np.ndarray:
-    """Float32 values surely not above ``distance``."""
-    return np.nextafter((distance * (1 - 1e-12)).astype(np.float32), np.float32(-np.inf))
+    """16-bit values surely not above ``distance``; what is beyond their range is their greatest."""
+    return np.nextafter(np.minimum(distance * (1 - 1e-12), 65504).astype(np.float16), np.float16(-np.inf))
 
 
 def squares(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -59,7 +64,10 @@ def squares(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     if 4 * x.shape[1] * most * most < 1 << 53:
         a, b = x.astype(np.float64), book.astype(np.float64)
         return ((a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)).astype(np.int64)
-    return np.stack([((x - c) ** 2).sum(axis=1) for c in book], axis=1)
+    out = np.empty((len(x), len(book)), np.int64)
+    for k, c in enumerate(book):
+        out[:, k] = ((x - c) ** 2).sum(axis=1)
+    return out
 
 
 def compare_all(x: np.ndarray, book: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,26 +84,40 @@ def compare_all(x: np.ndarray, book: np.ndarray, b: int) -> tuple[np.ndarray, np
     if low.shape[1] < b + 1:  # a small codebook: all its entries are listed
         fill = b + 1 - low.shape[1]
         listed = np.concatenate((listed, np.repeat(own[:, None], b - listed.shape[1], axis=1)), axis=1)
-        low = np.concatenate((low, np.full((len(x), fill), np.inf, np.float32)), axis=1)
+        low = np.concatenate((low, np.full((len(x), fill), np.inf, np.float16)), axis=1)
     # where argpartition left out the entry itself, all it took are ties, which the outer bound then equals
     return own, d[np.arange(len(x)), own], listed, low
 
 
-def compare_bounded(x: np.ndarray, book: np.ndarray, moved: np.ndarray, own: np.ndarray, listed: np.ndarray, low: np.ndarray, b: int) -> tuple[np.ndarray, ...]:
-    """As ``compare_all``, from a former state whose entries ``moved`` by at most those distances; also each row's depth."""
+def far_movers(moved: np.ndarray) -> np.ndarray:
+    """The entries that moved far more than most, farthest first."""
+    order = np.argsort(-moved, kind="stable")
+    return order[: min(MOST_FAR, len(moved) - 1, int((moved > FAR * np.median(moved)).sum()))]
+
+
+def compare_bounded(x: np.ndarray, book: np.ndarray, moved: np.ndarray, movers: np.ndarray, own: np.ndarray, listed: np.ndarray, low: np.ndarray, b: int) -> tuple[np.ndarray, ...]:
+    """As ``compare_all``, from a former state whose entries ``moved`` by at most those distances; also each row's depth.
+
+    ``movers`` are compared with every row.
+    """
     n, width = listed.shape
     low = low.astype(np.float64)
     low[:, :width] -= moved[listed]
-    low[:, width] -= moved.max(initial=0)
+    low[:, width] -= np.delete(moved, movers).max(initial=0)
     order = np.argsort(low[:, :width], axis=1, kind="stable")
     listed, inner, outer = np.take_along_axis(listed, order, axis=1), np.take_along_axis(low[:, :width], order, axis=1), low[:, width]
     error = ((x - book[own]) ** 2).sum(axis=1)
     reach = np.sqrt(error.astype(np.float64)) * (1 + 1e-12)
     depth = (inner <= reach[:, None]).sum(axis=1)
-    # the entry itself in front of the list; distances not computed are out of reach
-    ids, lows = np.concatenate((own[:, None], listed), axis=1), np.concatenate((np.sqrt(error.astype(np.float64))[:, None], inner), axis=1)
-    exact = np.full(ids.shape, np.iinfo(np.int64).max)
-    exact[:, 0] = error
+    # the entry itself, the list, and the movers that are neither; distances not computed are out of reach
+    none, far = np.iinfo(np.int64).max, squares(x, book[movers])
+    known = np.concatenate((own[:, None], listed), axis=1)
+    ids = np.concatenate((known, np.broadcast_to(movers, far.shape)), axis=1)
+    exact = np.concatenate((error[:, None], np.full(listed.shape, none), far), axis=1)
+    lows = np.concatenate((np.sqrt(error.astype(np.float64))[:, None], inner, np.sqrt(far.astype(np.float64))), axis=1)
+    for k, e in enumerate(movers):
+        at = np.flatnonzero((known == e).any(axis=1))
+        exact[at, 1 + width + k], lows[at, 1 + width + k] = none, np.inf
     for k in range(int(depth.max(initial=0))):
         at = np.flatnonzero(depth > k)
         exact[at, k + 1] = ((x[at] - book[listed[at, k]]) ** 2).sum(axis=1)
@@ -106,7 +128,7 @@ def compare_bounded(x: np.ndarray, book: np.ndarray, moved: np.ndarray, own: np.
     for a in (ids, lows):
         a[rows, 0], a[rows, slot[rows]] = a[rows, slot[rows]], a[rows, 0]
     own, listed, inner = ids[:, 0], ids[:, 1:], lows[:, 1:]
-    if b < width:
+    if b < listed.shape[1]:
         order = np.argsort(inner, axis=1, kind="stable")
         listed, inner = np.take_along_axis(listed, order, axis=1), np.take_along_axis(inner, order, axis=1)
         outer = np.minimum(outer, inner[:, b])
@@ -192,6 +214,7 @@ def compress(rows: DataFrame, parts: int = 4, entries: int = 256, rounds: int =
 def _assign(books: list[np.ndarray], old: list[np.ndarray] | None, b: int):
     """Each part's closest entry and its bounds, anew or from the state that ``old`` codebooks left."""
     moved = [np.sqrt(((x - y) ** 2).sum(axis=1).astype(np.float64)) * (1 + 1e-12) for x, y in zip(books, old, strict=True)] if old else []
+    movers = [far_movers(m) for m in moved]
     parts, width = len(books), books[0].shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,20 +223,20 @@ def _assign(books: list[np.ndarray], old: list[np.ndarray] | None, b: int):
             if not n:
                 continue
             x = _matrix(rows.column(2), "<i4").astype(np.int64)
-            code, near, low, depth, error = np.zeros((n, parts), np.uint8), np.zeros((n, parts, b), np.uint8), np.zeros((n, parts, b + 1), np.float32), np.full((n, parts), FULL, np.uint8), np.zeros(n, np.int64)
+            code, near, low, depth, error = np.zeros((n, parts), np.uint8), np.zeros((n, parts, b), np.uint8), np.zeros((n, parts, b + 1), np.float16), np.full((n, parts), FULL, np.uint8), np.zeros(n, np.int64)
             if old:
                 was = _matrix(rows.column(3), np.uint8).astype(np.int64)
-                listed, bounds = _matrix(rows.column(4), np.uint8).reshape(n, parts, -1).astype(np.int64), _matrix(rows.column(5), "<f4").reshape(n, parts, -1)
+                listed, bounds = _matrix(rows.column(4), np.uint8).reshape(n, parts, -1).astype(np.int64), _matrix(rows.column(5), "<f2").reshape(n, parts, -1)
             for p, book in enumerate(books):
                 mine = x[:, p * width : (p + 1) * width]
                 if old:
-                    own, best, near[:, p], low[:, p], depth[:, p] = compare_bounded(mine, book, moved[p], was[:, p], listed[:, p], bounds[:, p], b)
+                    own, best, near[:, p], low[:, p], depth[:, p] = compare_bounded(mine, book, moved[p], movers[p], was[:, p], listed[:, p], bounds[:, p], b)
                 else:
                     own, best, near[:, p], low[:, p] = compare_all(mine, book, b)
                 code[:, p] = own
                 error += best
             flat = lambda a: a.reshape(n, -1)
-            yield batch(_STATE, rows.column(0), rows.column(1), rows.column(2), _binary(code, np.uint8), _binary(flat(near), np.uint8), _binary(flat(low), "<f4"), _binary(depth, np.uint8), error)
+            yield batch(_STATE, rows.column(0), rows.column(1), rows.column(2), _binary(code, np.uint8), _binary(flat(near), np.uint8), _binary(flat(low), "<f2"), _binary(depth, np.uint8), error)
 
     return run
 
@@ -255,9 +278,9 @@ def _moved(state: DataFrame, books: list[np.ndarray]) -> tuple[list[np.ndarray],
 
 
 def _enough(depths: dict[int, int], b: int) -> int:
-    """The shortest list that would have settled nearly all parts that the present one settled; never a longer one."""
+    """The shortest list, half of the present one at least, that would have settled nearly all parts that this one settled; the same one until most are."""
     settled = [depths.get(d, 0) for d in range(b + 1)]
-    if not sum(settled):
+    if 2 * sum(settled) < sum(depths.values()):
         return b
     reached = np.cumsum(settled) >= ENOUGH * sum(settled)
-    return min(b, max(LEAST_NEAR, int(np.argmax(reached))))
+    return min(b, max(LEAST_NEAR, -(-b // 2), int(np.argmax(reached))))

@@ -198,19 +198,22 @@ def test_codes_of_odd_rows(table):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.integers(0, 10_000), st.sampled_from([1, 2, 5, 9]), st.booleans())
-def test_bounded_comparison_equals_the_full_one(seed, b, coarse):
-    """Over several moves of the entries, with lists that shrink."""
+@given(st.integers(0, 10_000), st.sampled_from([1, 2, 5, 9]), st.booleans(), st.integers(0, 3))
+def test_bounded_comparison_equals_the_full_one(seed, b, coarse, far):
+    """Over several moves of the entries, some of them far, with lists that shrink."""
     rng = np.random.default_rng(seed)
     draw = lambda n: rng.integers(-3, 4, (n, 3)) if coarse else rng.integers(-500, 500, (n, 3))
     x, book = draw(80), draw(12)
     own, _, listed, low = C.compare_all(x, book, b)
     for _ in range(4):
         step = rng.integers(-1, 2, book.shape) * rng.integers(0, 30 if not coarse else 2)
+        step[rng.permutation(len(book))[:far]] *= 9
         new = book + step
         moved = np.sqrt((step**2).sum(axis=1).astype(float)) * (1 + 1e-12)
         b = max(1, b - int(rng.integers(0, 2)))
-        own, best, listed, low, depth = C.compare_bounded(x, new, moved, own, listed.astype(np.int64), low, b)
+        movers = C.far_movers(moved)
+        assert len(movers) < len(book) and (moved[movers] > 1.5 * np.median(moved)).all()
+        own, best, listed, low, depth = C.compare_bounded(x, new, moved, movers, own, listed.astype(np.int64), low, b)
         d = ((x[:, None] - new) ** 2).sum(axis=2)
         assert own.tolist() == d.argmin(axis=1).tolist() and best.tolist() == d.min(axis=1).tolist()
         # each bound is below the distance it stands for
@@ -222,11 +225,15 @@ def test_bounded_comparison_equals_the_full_one(seed, b, coarse):
         book = new
 
 
-def test_lists_shrink_and_spare_comparisons(spark, sf_dir):
-    found = C.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    assert found.listed == sorted(found.listed, reverse=True) and found.listed[-1] < C.FIRST_NEAR
-    last = found.depths[-1]
-    assert last.get(C.FULL, 0) < 0.2 * sum(last.values())
+def test_lists_shrink_and_spare_comparisons(table):
+    """Ten times as many vectors as entries: from the second move on, most parts are settled without the whole codebook."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    x = centres[rng.integers(0, 40, 1600)] + 0.4 * rng.standard_normal((1600, 16))
+    found = C.compress(table([(i, np.float32(v).tolist(), 0) for i, v in enumerate(x)]), entries=160)
+    assert found.listed == sorted(found.listed, reverse=True) and found.listed[-1] < found.listed[0]
+    share = [d.get(C.FULL, 0) / sum(d.values()) for d in found.depths]
+    assert share[0] == 1 and max(share[2:]) < 0.5, (found.listed, share)
 
 
 @pytest.mark.parametrize("name", ["op11_vector_codes", "op12_near_vectors"])
