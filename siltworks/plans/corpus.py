@@ -99,18 +99,15 @@ def log_sections(spark: S, d: str) -> DataFrame:
     return sectioned(spark, d).where("section > 0").groupBy("doc_id", "section").agg(F.max(F.when(F.col("header"), F.col("line"))).alias("run"), F.count_if(~F.col("header") & F.col("line").startswith("The")).alias("n_rows"))
 
 
-PRICE = "printf('%.4f', o_totalprice / {0})"
-
-
-@query(f"""WITH o AS (SELECT o_orderkey % 7 AS log, o_orderkey AS k, o_custkey AS run, {PRICE.format("1e6")} AS x, {PRICE.format("2e6")} AS y FROM orders),
-m AS (SELECT log, run::VARCHAR AS run, CASE WHEN k % 3 = 0 THEN y::DOUBLE WHEN k % 5 <> 0 THEN x::DOUBLE WHEN k % 11 <> 0 THEN 7.0::DOUBLE END AS metric FROM o)
+@query("""WITH o AS (SELECT o_orderkey % 7 AS log, o_orderkey AS k, o_custkey AS run, floor(o_totalprice) AS x, floor(o_totalprice / 2) AS y FROM orders),
+m AS (SELECT log, run::VARCHAR AS run, CASE WHEN k % 3 = 0 THEN y WHEN k % 5 <> 0 THEN x WHEN k % 11 <> 0 THEN 7.0 END::DOUBLE AS metric FROM o)
 SELECT log, run, count(*) AS n, round(avg(metric), 6) AS mean, round(stddev_pop(metric), 6) AS std FROM m WHERE metric IS NOT NULL GROUP BY 1, 2""")
 def log_metrics(spark: S, d: str) -> DataFrame:
     """The metric of each run of made logs, by the row that begins with 10 below the last title; mean and deviation by run."""
     from ..operators.windows import scraped_metric
 
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    x, y = (F.format_string("%.4f", F.col("o_totalprice") / by) for by in (1e6, 2e6))
+    x, y = (F.floor(F.col("o_totalprice") / by).cast("string") for by in (1, 2))
     title = F.lit("== Gated fusion ==")
     text = [F.concat(F.lit("### RUN = "), F.col("o_custkey"), F.lit(" begins")), F.lit("10 9.9 9.9"), title, F.lit("  1 0.1 0.2"), F.when(k % 5 == 0, "5 0.3 0.3").otherwise(F.concat(F.lit("  10 0.3 "), x)), F.when(k % 3 == 0, title).otherwise("other"), F.when(k % 3 == 0, F.concat(F.lit("10  0.5 "), y)).when(k % 11 == 0, "end").otherwise("100 0.1 7.0")]
     lines = o.select((k % 7).alias("log"), k.alias("k"), F.posexplode(F.array(*text)).alias("pos", "line")).select("log", (F.col("k") * 10 + F.col("pos")).alias("no"), "line")
