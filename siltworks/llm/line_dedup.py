@@ -43,20 +43,27 @@ LEAST = 100 // (100 - SIMILAR) - 1
 BUCKETS, FEW, NEAR = 1 << 20, 64, 6
 
 
-def _spaced(text: Column) -> Column:
-    """Lower case, with the separators other than line ends as spaces; most texts have none and aren't rewritten."""
-    low = F.lower(text)
-    others = "\t\x0b\x0c\r"
-    return F.when(F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c")), F.translate(low, others, " " * len(others))).otherwise(low)
+_SEPARATORS = "\t\x0b\x0c\r"
+
+
+def _one_kind(low: Column) -> Column:
+    """The separators other than line ends as spaces; most texts have none and aren't rewritten."""
+    some = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    return F.when(some, F.translate(low, _SEPARATORS, " " * len(_SEPARATORS))).otherwise(low)
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _word_hashes(line: Column) -> Column:
+    """The distinct words of a lower-case line with spaces alone, as hashes, ascending."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))))
+
+
 def _hashes(line: Column) -> Column:
     """The distinct words of a line as hashes, ascending."""
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(_spaced(line), " "), ""), lambda w: F.xxhash64(w))))
+    return _word_hashes(_one_kind(F.lower(line)))
 
 
 def _parity(words: Column) -> Column:
@@ -156,8 +163,10 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, set): the lines to remove from ``docs`` (doc_id, text), by place and by the set's hash."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(_lines(F.col("text").cast("string"))).alias("line", "x"))
-    lines = rows.select("doc", "line", _hashes(F.col("x")).alias("words")).where(F.size("words") > 0)
+    # texts are lower-cased as a whole, once: within the functions over arrays each mention would be worked out anew for each line
+    low = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.lower(F.col("text").cast("string")).alias("low"))
+    rows = low.select("doc", _one_kind(F.col("low")).alias("low")).select("doc", F.posexplode(_lines(F.col("low"))).alias("line", "x"))
+    lines = rows.select("doc", "line", _word_hashes(F.col("x")).alias("words")).where(F.size("words") > 0)
     lines = cut(lines.select("doc", "line", F.xxhash64("words").alias("set"), _parity(F.col("words")).alias("sig"), F.size("words").alias("n"), "words"), "lines")
 
     # lines of one set: the earliest stands for all; the array joins each row only as an operand, so the two projections become one
