@@ -17,6 +17,7 @@ QUERY_ROWS, INDEX_ROWS, STEP = 4096, 16384, 256
 
 _PACKED = "ids binary, vectors binary, dim int"
 _FOUND = pa.schema([("query_id", pa.int64()), ("idx_id", pa.int64()), ("sim", pa.float64())])
+_COMPARED = _FOUND.append(pa.field("compared", pa.int64()))
 
 
 def _pack(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
@@ -107,6 +108,9 @@ def knn(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosine", ex
 #: Rows that cells are fitted on, and cells at most.
 SAMPLE_ROWS, MOST_CELLS = 20_000, 4096
 
+#: Numbers of index vectors that a task looks at together.
+GATHERED = 1 << 21
+
 
 def fit_cells(index: DataFrame, cells: int, sample: int = SAMPLE_ROWS, rounds: int = 10, seed: str = "cells") -> np.ndarray:
     """Centres of cells by spherical k-means over a bounded sample drawn by digest, at most ``sample`` rows of (id, vector), of the first one's length."""
@@ -119,7 +123,7 @@ def fit_cells(index: DataFrame, cells: int, sample: int = SAMPLE_ROWS, rounds: i
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
     c = x[: min(cells, len(x))].copy()
     for _ in range(rounds):
-        at = (x @ c.T).argmax(axis=1)
+        at = closest_cells(x, c)
         total = np.zeros_like(c)
         np.add.at(total, at, x)
         size = np.sqrt((total * total).sum(axis=1, keepdims=True))
@@ -127,10 +131,28 @@ def fit_cells(index: DataFrame, cells: int, sample: int = SAMPLE_ROWS, rounds: i
     return c
 
 
+def closest_cells(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cell of each row, ``STEP`` rows at a time."""
+    return np.concatenate([np.zeros(0, np.int64), *((x[s : s + STEP] @ centres.T).argmax(axis=1) for s in range(0, len(x), STEP))])
+
+
+def probed_cells(x: np.ndarray, centres: np.ndarray, held: np.ndarray, probe: float) -> np.ndarray:
+    """For each row, which cells it probes: its nearest ones, until they hold the share ``probe`` of all rows; eight cells a byte."""
+    out = [np.zeros((0, -(-len(held) // 8)), np.uint8)]
+    for s in range(0, len(x), STEP):
+        order = np.argsort(-(x[s : s + STEP] @ centres.T), axis=1, kind="stable")
+        there = held[order]
+        before = np.cumsum(there, axis=1) - there
+        probed = np.zeros(order.shape, bool)
+        np.put_along_axis(probed, order, (before < probe * held.sum()) & (there > 0), 1)
+        out.append(np.packbits(probed, axis=1))
+    return np.concatenate(out)
+
+
 def sketches(x: np.ndarray, bits: int) -> np.ndarray:
     """The signs of random projections, 64 to a word; the projections are the same everywhere."""
     planes = np.random.default_rng(20_260).standard_normal((x.shape[1], bits))
-    return np.packbits(x @ planes > 0, axis=1).view(np.uint64)
+    return np.concatenate([np.zeros((0, bits // 8), np.uint8), *(np.packbits(x[s : s + STEP] @ planes > 0, axis=1) for s in range(0, len(x), STEP))]).view(np.uint64)
 
 
 def closest_sketches(q: np.ndarray, i: np.ndarray, take: int) -> np.ndarray:
@@ -141,6 +163,31 @@ def closest_sketches(q: np.ndarray, i: np.ndarray, take: int) -> np.ndarray:
     return np.argpartition(apart, take - 1, axis=1)[:, :take] if take < len(i) else np.broadcast_to(np.arange(len(i)), apart.shape)
 
 
+def best_of_cells(q: np.ndarray, sq: np.ndarray, probed: np.ndarray, i_ids: np.ndarray, i: np.ndarray, si: np.ndarray, cell: np.ndarray, part: np.ndarray, k: int, refine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, id, sim) of each query's ``k`` best of the cells in a block that it probes, and how many rows each query was compared with.
+
+    Rows of the block are in order of cell, part and id; in each part of a cell the
+    sketches pick the share ``refine`` of its rows.
+    """
+    compared, found = np.zeros(len(q), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])]) if len(cell) else cell
+    for a, b in zip(starts, [*starts[1:], len(cell)], strict=True):
+        asking = np.flatnonzero(probed[:, cell[a] >> 3] >> (7 - (cell[a] & 7)) & 1)
+        y, ids, take = i[a:b], i_ids[a:b], max(1, round(refine * (b - a)))
+        compared[asking] += take
+        step = max(1, min(STEP, GATHERED // (take * y.shape[1])))
+        for s in range(0, len(asking), step):
+            row = asking[s : s + step]
+            at = np.sort(closest_sketches(sq[row], si[a:b], take), axis=1)
+            sim = np.round(np.matmul(y[at], q[row][:, :, None])[:, :, 0], 9)
+            near = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            found.append((np.repeat(row, near.shape[1]), ids[np.take_along_axis(at, near, 1)].ravel(), np.take_along_axis(sim, near, 1).ravel()))
+    row, ids, sim = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((ids, -sim, row))
+    order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+    return row[order], ids[order], sim[order], compared
+
+
 def knn_cells(queries: DataFrame, index: DataFrame, k: int, probe: float = 0.9, refine: float = 0.2, bits: int = 512, cells: int | None = None) -> DataFrame:
     """Approximate (query_id, idx_id, rank, sim, compared): ``compared`` is how many rows the query was compared with in full.
 
@@ -148,63 +195,70 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int, probe: float = 0.9,
     probes its nearest cells until they hold the share ``probe`` of all rows.  In
     each probed cell, sketches of ``bits`` signs pick the share ``refine`` of rows
     that are compared in full.  Cells are fitted on a bounded sample and split into
-    blocks of about ``INDEX_ROWS`` rows, so a cell with much of the index is many
-    tasks, and so are the queries that probe it.  ``probe`` spares work where vectors
+    parts of about ``INDEX_ROWS`` rows; neighbouring cells share a block of about as
+    many rows.  Queries are packed into blocks with a bitmap of the cells that each
+    probes, so a query goes once to each block of the index, not to each cell, and
+    the ``k`` best of a block come back.  ``probe`` spares work where vectors
     cluster; vectors without structure need most cells for a high recall, and then
     sketches spare the comparisons.  Rows are left out as by ``knn``, and so are
     vectors of another length than the sample's first.
     """
     q, i = _tidy(queries), _tidy(index)
-    n_q, n_i = q.count(), i.count()
+    spark, n_i = q.sparkSession, i.count()
     centres = fit_cells(i, cells or min(MOST_CELLS, max(8, int(n_i**0.5))))
-    shared = q.sparkSession.sparkContext.broadcast(centres)  # MOST_CELLS vectors at most
+    shared = spark.sparkContext.broadcast(centres)  # MOST_CELLS vectors at most
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                yield f.assign(cell=(_units(f["v"]) @ shared.value.T).argmax(axis=1))
+                yield f.assign(cell=closest_cells(_units(f["v"]), shared.value))
 
     dim = F.size("v") == centres.shape[1]
     placed = kept(i.where(dim).mapInPandas(place, "id long, v array<double>, cell int"), "cells")
     sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # a row a cell
     held = np.array([sizes.get(c, 0) for c in range(len(centres))])
     parts = np.maximum(1, -(-held // INDEX_ROWS))
+    layout = spark.createDataFrame([(c, int(parts[c]), int(held[:c].sum()), int(held[c])) for c in range(len(centres))], "cell int, parts int, first long, rows long")
+    placed = placed.join(F.broadcast(layout), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = placed.withColumn("ib", F.floor((F.col("first") + F.col("part") * F.col("rows") / F.col("parts")) / INDEX_ROWS).cast("int"))
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            order = np.argsort(-(_units(f["v"]) @ shared.value.T), axis=1, kind="stable")
-            before = np.cumsum(held[order], axis=1) - held[order]
-            row, col = np.nonzero((before < probe * held.sum()) & (held[order] > 0))
-            cell = order[row, col]
-            part = np.concatenate([np.arange(p) for p in parts[cell]]) if len(cell) else cell
-            row, cell = np.repeat(row, parts[cell]), np.repeat(cell, parts[cell])
-            yield pd.DataFrame({"id": f["id"].to_numpy()[row], "v": f["v"].to_numpy()[row], "cell": cell, "part": part})
-
-    n_b = max(1, -(-n_q // QUERY_ROWS))
-    asked = q.where(dim).mapInPandas(ask, "id long, v array<double>, cell int, part int").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_b)).cast("int"))
-    of_cell = F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("cell") + 1)
-    blocks = placed.withColumn("part", F.pmod(F.xxhash64("id"), of_cell).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "idx_id": [], "sim": [], "compared": []})
-        b = b.sort_values("id", kind="stable")
-        x, y, own, ids = _units(a["v"]), _units(b["v"]), a["id"].to_numpy(), b["id"].to_numpy()
-        take, sx, sy, out = max(1, round(refine * len(y))), sketches(x, bits), sketches(y, bits), []
-        for s in range(0, len(x), STEP):
-            at = np.sort(closest_sketches(sx[s : s + STEP], sy, take), axis=1)
-            sim = np.empty(at.shape)
-            for r in range(len(at)):
-                sim[r] = y[at[r]] @ x[s + r]
-            sim = np.round(sim, 9)
-            near = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(own[s : s + STEP], near.shape[1]), "idx_id": ids[np.take_along_axis(at, near, 1)].ravel(), "sim": np.take_along_axis(sim, near, 1).ravel(), "compared": np.where(np.arange(near.size) % near.shape[1] == 0, take, 0)}))
-        return pd.concat(out)
-
-    keys = ["qb", "cell", "part"]
-    found = kept(asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(compare, "query_id long, idx_id long, sim double, compared long"), "found")
+    def pack(t: pa.Table) -> pa.Table:
+        n = t["v"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        ids, cell, part = (t[c].to_numpy() for c in ("id", "cell", "part"))
+        order = np.lexsort((ids, part, cell))
+        ids, x = ids[order].astype("<i8").tobytes(), n[order].astype("<f8").tobytes()
+        signs = sketches(_matrix(ids, x, n.shape[1])[1], bits)
+        return pa.table({"ib": t["ib"][:1], "ids": pa.array([ids]), "vectors": pa.array([x]), "dim": pa.array([n.shape[1]], pa.int32()), "signs": pa.array([signs.tobytes()]), "cell": pa.array([cell[order].astype("<i4").tobytes()]), "part": pa.array([part[order].astype("<i4").tobytes()])})
+
+    def sign(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in blocks:
+            for at in range(len(t)):
+                r = t.slice(at, 1)
+                x = _matrix(*(r[c][0].as_py() for c in ("ids", "vectors", "dim")))[1]
+                more = {"signs": sketches(x, bits), "probed": probed_cells(x, shared.value, held, probe)}
+                yield pa.RecordBatch.from_arrays([*r.columns, *(pa.array([v.tobytes()]) for v in more.values())], names=[*r.schema.names, *more])
+
+    n_b = int(held.sum()) // INDEX_ROWS + 1
+    packed = kept(blocks.select("id", "v", "cell", "part", "ib").groupBy("ib").applyInArrow(pack, f"ib int, {_PACKED}, signs binary, cell binary, part binary"), "blocks")
+    asking, n_q = _pack(q.where(dim), QUERY_ROWS, "qb")
+    asked = kept(asking.mapInArrow(sign, f"qb int, {_PACKED}, signs binary, probed binary"), "asked")
+    # each block once for every block of the other side
+    left = asked.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    right = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        for x, y in ((x, y) for x in a.to_pylist() for y in b.to_pylist()):
+            (q_ids, u), (i_ids, v) = (_matrix(r["ids"], r["vectors"], r["dim"]) for r in (x, y))
+            sq, si = (np.frombuffer(r["signs"], np.uint64).reshape(-1, bits // 64) for r in (x, y))
+            probed, cell, part = np.frombuffer(x["probed"], np.uint8).reshape(len(u), -1), np.frombuffer(y["cell"], "<i4"), np.frombuffer(y["part"], "<i4")
+            row, ids, sim, compared = best_of_cells(u, sq, probed, i_ids, v, si, cell, part, k, refine)
+            first = np.r_[True, row[1:] != row[:-1]][: len(row)]
+            out.append(pa.table([q_ids[row], ids, sim, np.where(first, compared[row], 0)], schema=_COMPARED))
+        return pa.concat_tables([_COMPARED.empty_table(), *out])
+
+    keys = ["qb", "ib"]
+    found = kept(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, idx_id long, sim double, compared long"), "found")
     counted = found.groupBy("query_id").agg(F.sum("compared").alias("compared"))
     return ranked(found, k).join(counted, "query_id")
 

@@ -61,3 +61,19 @@ def test_cells_of_nothing(spark):
     assert [(r.query_id, r.idx_id, r.compared) for r in N.knn_cells(q, q, 3).collect()] == [(1, 1, 1)]
     mixed = spark.createDataFrame([(i, [1.0, float(i)] if i % 2 else [1.0]) for i in range(20)], "id long, v array<double>")
     assert {r.idx_id % 2 for r in N.knn_cells(mixed, mixed, 3).collect()} in ({0}, {1})
+
+
+def test_cells_send_a_query_once_to_a_block(spark, monkeypatch):
+    """The best of a block come back, not the best of each of its cells, and no query is repeated for its cells."""
+    rows, keep = {}, N.kept
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "kept", counted)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 8))
+    got = N.knn_cells(table(spark, np.arange(50), x[:50]), table(spark, np.arange(600), x), 4, cells=30).collect()
+    assert len(got) == 200 and rows["found"] == 50 * 4
