@@ -199,3 +199,20 @@ def test_pair_classes_count_pairs(spark):
     df = spark.createDataFrame([(1, ["x"]), (2, ["x"]), (3, ["y", "x"]), (4, ["x", "y"]), (5, ["y"]), (6, []), (7, None)], "id long, tags array<string>")
     got = {(r.a, r.b): r.pairs for r in joins.overlap_classes(df, "tags").collect()}
     assert got == {("x", "x"): 1, ("x", "x,y"): 4, ("x,y", "x,y"): 1, ("x,y", "y"): 2, ("y", "y"): 0}
+
+
+def test_overlap_pairs_of_many_blocks(spark, monkeypatch):
+    """Pairs of several blocks, with rows that share two tags, repeat tags or keys, or lack them; none is told by an aggregate over pairs."""
+    from siltworks.operators import joins as J
+
+    monkeypatch.setattr(J, "PAIR_ROWS", 7)
+    tags = [["x"], ["x", "y"], ["y", "z", "y"], [], None, ["z", None]]
+    rows = [(i, tags[i % 6]) for i in range(60)] + [(3, ["x"]), (None, ["x"])]
+    held = {}
+    for i, t in rows:
+        held.setdefault(i, set()).update(x for x in t or [] if x)
+    want = {(a, b) for a in held for b in held if None not in (a, b) and a < b and held[a] & held[b]}
+    pairs = J.overlap_pairs(spark.createDataFrame(rows, "k long, t array<string>"), "k", "t")
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "HashAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
