@@ -216,3 +216,21 @@ def test_overlap_pairs_of_many_blocks(spark, monkeypatch):
     got = [tuple(r) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "HashAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expanded_overlaps_equal_the_composition(spark, monkeypatch):
+    """Positives and shifted negatives with values, where keys have no value, two, or a null; pairs are joined once and never aggregated."""
+    from pyspark.sql import functions as F
+
+    from siltworks.operators import joins as J
+
+    monkeypatch.setattr(J, "PAIR_ROWS", 6)
+    tags = [["x"], ["x", "y"], ["z"], None, ["y", "z"]]
+    rows = spark.createDataFrame([(i, tags[i * i % 5]) for i in range(40) if i % 7], "k long, t array<string>")
+    values = spark.createDataFrame([(i, float(i) if i % 4 else None) for i in range(38)] + [(5, 0.5)], "id long, x double")
+    pos = J.overlap_pairs(rows, "k", "t").withColumn("label", F.lit(1))
+    want = J.expand_pairs(pos.unionByName(J.shifted_negatives(pos).withColumn("label", F.lit(-1))), values, "id", "x")
+    got = J.expanded_overlaps(rows, "k", "t", values, "id", "x")
+    cols = ["a", "b", "label", "a_x", "b_x"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and got.columns == cols
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
