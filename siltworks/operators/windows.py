@@ -29,13 +29,19 @@ def scraped_metric(lines: DataFrame, key: str, order: str, line: str, header: st
 
     The metric is the ``column``-th word of the first line that begins with ``row``
     after the section's last line that holds ``title`` (after its header, if there
-    is none), as a number; sections without such a line have none.
+    is none), as a number; sections without such a line have none.  Other lines are
+    left out at first; what is left of a section meets in one task.
     """
+    from .running import running_sums
+
     text = F.trim(F.col(line))
-    marked = sections(lines.withColumn("__head", F.col(line).startswith(header)), key, order, "__head").where("section > 0")
+    head, titled = F.col(line).startswith(header), F.contains(F.col(line), F.lit(title))
+    told = lines.withColumn("__head", head.cast("long")).where(head | titled | text.startswith(row))
+    # headers are counted over ranges of the order, so no task holds a log
+    marked = running_sums(told, [F.col(order)], ["__head"], [key]).withColumnRenamed("__head_upto", "section").where("section > 0")
     own = Window.partitionBy(key, "section")
-    from_title = F.col(order) > F.coalesce(F.max(F.when(F.contains(F.col(line), F.lit(title)), F.col(order))).over(own), F.min(order).over(own))
+    from_title = F.col(order) > F.coalesce(F.max(F.when(titled, F.col(order))).over(own), F.min(order).over(own))
     found = marked.withColumn("__hit", from_title & text.startswith(row))
     word = F.try_element_at(F.split(F.min_by(text, F.when(F.col("__hit"), F.col(order))), r"\s+"), F.lit(column))
-    run = F.max(F.when(F.col("__head"), F.element_at(F.split(F.trim(F.substring(line, len(header) + 1, 1 << 20)), r"\s+"), 1)))
+    run = F.max(F.when(F.col("__head") == 1, F.element_at(F.split(F.trim(F.substring(line, len(header) + 1, 1 << 20)), r"\s+"), 1)))
     return found.groupBy(key, "section").agg(run.alias("run"), word.try_cast("double").alias("metric")).where("metric is not null")

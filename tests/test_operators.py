@@ -234,3 +234,14 @@ def test_expanded_overlaps_equal_the_composition(spark, monkeypatch):
     cols = ["a", "b", "label", "a_x", "b_x"]
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and got.columns == cols
     assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scraped_metric_spreads_one_log(spark):
+    """All lines in one log: the largest task of the counting holds a part of them."""
+    from siltworks.operators.windows import scraped_metric
+
+    lines = [(7, i * 4 + j, t) for i in range(400) for j, t in enumerate((f"### RUN = r{i} x", "Title", f"10 a {i}", "other"))]
+    found = scraped_metric(spark.createDataFrame(lines, "log long, no long, line string"), "log", "no", "line", "### RUN = ", "Title", "10", 3)
+    assert sorted((r.section, r.run, r.metric) for r in found.collect()) == [(i + 1, f"r{i}", float(i)) for i in range(400)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(log" not in plan or "windowspecdefinition(__range" in plan
