@@ -245,3 +245,16 @@ def test_scraped_metric_spreads_one_log(spark):
     assert sorted((r.section, r.run, r.metric) for r in found.collect()) == [(i + 1, f"r{i}", float(i)) for i in range(400)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(log" not in plan or "windowspecdefinition(__range" in plan
+
+
+def test_first_nodes_and_their_edges(spark):
+    """What a graph's first nodes need: themselves, picked before the shuffle, and the edges at them."""
+    from siltworks.operators import graph as G
+
+    nodes = spark.createDataFrame([(g, f"n{i}") for g in (0, 1) for i in range(9)], "graph_id long, node string")
+    edges = spark.createDataFrame([(g, f"n{i}", f"n{(i * 5 + 3) % 9}") for g in (0, 1) for i in range(9)], "graph_id long, src string, dst string")
+    first = G.first_nodes(nodes, 2)
+    assert sorted(map(tuple, first.collect())) == [(0, "n0"), (0, "n1"), (1, "n0"), (1, "n1")]
+    assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
+    want = [tuple(r) for r in edges.collect() if {r.src, r.dst} & {"n0", "n1"}]
+    assert sorted(map(tuple, G.edges_at(edges, first).collect())) == sorted(want)
