@@ -258,3 +258,26 @@ def test_first_nodes_and_their_edges(spark):
     assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
     want = [tuple(r) for r in edges.collect() if {r.src, r.dst} & {"n0", "n1"}]
     assert sorted(map(tuple, G.edges_at(edges, first).collect())) == sorted(want)
+
+
+def test_walks_by_short_lists(spark, monkeypatch):
+    """A hub's neighbours in several rows; fewer rows are joined than there are edges, and walks are the same as from one list."""
+    from siltworks.operators import graph as G
+
+    edges = spark.createDataFrame([(0, "hub", f"n{i}") for i in range(23)] + [(0, f"n{i}", f"n{i + 1}") for i in range(22)] + [(1, "p", "q")], "graph_id long, src string, dst string")
+    rows, keep = {}, G.kept
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(G, "kept", counted)
+    walks = lambda: sorted(map(str, G.random_walks(edges, 5, 3, "s").collect()))
+    one = walks()
+    few = rows["neighbours"]
+    monkeypatch.setattr(G, "LISTED", 4)
+    assert walks() == one and len(one) == 26 * 3
+    assert few == 26 and rows["neighbours"] == 26 + 5
+    ends = {(r.graph_id, *p) for r in edges.collect() for p in ((r.src, r.dst), (r.dst, r.src))}
+    assert all((r.graph_id, a, b) in ends for r in G.random_walks(edges, 5, 3, "s").collect() for a, b in zip(r.path, r.path[1:]))
