@@ -15,6 +15,9 @@ from ..sources.tables import kept
 #: Rows of a query block and of an index block; a task multiplies one with one, ``STEP`` queries at a time.
 QUERY_ROWS, INDEX_ROWS, STEP = 4096, 16384, 256
 
+#: Similarities that a task holds at once, besides the best so far.
+TILE = 1 << 19
+
 _PACKED = "ids binary, vectors binary, dim int"
 _FOUND = pa.schema([("query_id", pa.int64()), ("idx_id", pa.int64()), ("sim", pa.float64())])
 _COMPARED = _FOUND.append(pa.field("compared", pa.int64()))
@@ -53,14 +56,17 @@ def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarra
 def best(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, i: np.ndarray, k: int, metric: str, exclude_self: bool) -> pa.Table:
     """(query_id, idx_id, sim) of each query's ``k`` best, ties to the lower id; ``i_ids`` ascend."""
     out, squares = [], (i * i).sum(axis=1)
-    for s in range(0, len(q), STEP):
-        a = q[s : s + STEP]
+    step = max(1, min(STEP, TILE // max(1, len(i))))
+    for s in range(0, len(q), step):
+        a = q[s : s + step]
         sim = a @ i.T
         if metric == "l2":
-            sim = 2 * sim - (a * a).sum(axis=1)[:, None] - squares
-        sim = np.round(sim, 9)
+            sim *= 2
+            sim -= (a * a).sum(axis=1)[:, None]
+            sim -= squares
+        np.round(sim, 9, out=sim)
         if exclude_self:
-            sim[q_ids[s : s + STEP, None] == i_ids] = -np.inf
+            sim[q_ids[s : s + step, None] == i_ids] = -np.inf
         take = min(k, sim.shape[1])
         least = np.partition(sim, -take, axis=1)[:, -take]
         row, col = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))

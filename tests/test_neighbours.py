@@ -77,3 +77,18 @@ def test_cells_send_a_query_once_to_a_block(spark, monkeypatch):
     x = rng.standard_normal((600, 8))
     got = N.knn_cells(table(spark, np.arange(50), x[:50]), table(spark, np.arange(600), x), 4, cells=30).collect()
     assert len(got) == 200 and rows["found"] == 50 * 4
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_a_block_product_holds_little_at_once(metric):
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    q, i = rng.standard_normal((512, 4)), rng.standard_normal((N.INDEX_ROWS, 4))
+    tracemalloc.start()
+    try:
+        found = N.best(np.arange(512), q, np.arange(N.INDEX_ROWS), i, 5, metric, False)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.num_rows == 512 * 5 and peak < 32e6
