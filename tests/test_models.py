@@ -89,3 +89,18 @@ def test_best_mix_takes_the_least_of_equal_weights(spark):
     assert (best.alpha, best.ap) == (0.0, 1.0)
     bad = spark.createDataFrame([(0.9, 0.1, 1), (0.2, 0.8, 0), (0.1, 0.9, 0)], "a double, b double, y int")
     assert M.best_mix(bad, "a", "b", "y").first().alpha == 0.6  # at 0.5 all three are equal
+
+
+def test_dropout_sweep_fits_on_kept_features(spark, sf_dir, monkeypatch):
+    """No pass of a fit works out digests or fusion anew."""
+    from siltworks.operators import models as L
+
+    plans, prepared = [], L.prepared
+
+    def seen(df, vector):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return prepared(df, vector)
+
+    monkeypatch.setattr(L, "prepared", seen)
+    QUERIES["dropout_sweep"](spark, sf_dir)
+    assert len(plans) == 3 and not any("sha2" in p or "zip_with" in p for p in plans)
