@@ -57,3 +57,43 @@ def test_results_do_not_depend_on_partitioning(spark, sf_dir, name):
         assert found[0] == found[1] == found[2]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_graph_vectors_read_all_nodes(spark, tmp_path):
+    """Graphs of more nodes than ``NODE_CAP``: read-outs are over all of them, message_pass_vectors' rows over the first ones; names don't follow degrees."""
+    import duckdb
+    import numpy as np
+
+    from siltworks.plans.learning import CATS, NODE_CAP
+
+    duck, d = duckdb.connect(), str(tmp_path)
+    made = {
+        "customer": f"SELECT i AS c_custkey, (i % 3)::INTEGER AS c_nationkey, (i * 37 % 1000)::DOUBLE - 300 AS c_acctbal, {CATS}[i % 5 + 1] AS c_mktsegment FROM range(360) r(i)",
+        "orders": "SELECT i AS o_orderkey, (i * i + i // 7) % 360 AS o_custkey FROM range(900) r(i)",
+        "lineitem": "SELECT i % 900 AS l_orderkey, (i * 13 + i // 11) % 50 AS l_suppkey FROM range(2400) r(i)",
+    }
+    for name, sql in made.items():
+        duck.execute(f"COPY ({sql}) TO '{d}/{name}.parquet' (FORMAT parquet)")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    got = {name: QUERIES[name](spark, d).toPandas() for name in ("graph_readout_vectors", "message_pass_vectors")}
+    for name, frame in got.items():
+        assert rows(frame) == rows(duck.execute(ORACLE_SQL[name]).df())
+    assert (got["message_pass_vectors"].groupby("graph_id")["node"].nunique() == NODE_CAP).all()
+
+    own = {f"c{k}": (g, math.log1p(n), math.log1p(math.floor(abs(a))), *(float(s == c) for c in CATS)) for k, g, a, s, n in duck.execute("SELECT c.*, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) FROM customer c").fetchall()}
+    edges = duck.execute("SELECT DISTINCT 'c' || c_custkey, c_nationkey, 's' || l_suppkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey").fetchall()
+    raw = {(v[0], k): [*v[1:], 0.0, 0.0, 0.0] for k, v in own.items()}
+    for c, g, s in edges:
+        raw.setdefault((g, s), [0.0] * 9 + [1.0])[7] += 1
+        raw[g, c][8] += 1
+    x = {k: np.array([*(round(v, 6) for v in f[:2]), *f[2:7], *(round(math.log1p(v), 6) for v in f[7:9]), f[9]]) for k, f in raw.items()}
+    fit = np.array(list(x.values()))  # graphs 0 to 2 all train
+    x = {k: (v - fit.mean(0)) / (fit.std(0) + 1e-6) for k, v in x.items()}
+    sent = {k: 1.1 * v for k, v in x.items()}
+    for c, g, s in edges:
+        sent[g, c], sent[g, s] = sent[g, c] + x[g, s], sent[g, s] + x[g, c]
+    for g in range(3):
+        every = np.array([v for k, v in sent.items() if k[0] == g])
+        assert len(every) > NODE_CAP
+        found = got["graph_readout_vectors"].query(f"graph_id == {g}").sort_values("pos")
+        assert np.allclose(found["mean"], every.mean(0), atol=2e-5) and np.allclose(found["max"], every.max(0), atol=2e-5)
